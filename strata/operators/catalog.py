@@ -80,7 +80,7 @@ def parse_schema_json(df: DataFrame, json_col: str, pk_col: str | None = None) -
     document = F.from_json(text, f"struct<fields:{FIELD_SCHEMA},primaryKeys:array<string>>")
     fields = F.when(text.startswith("["), F.from_json(text, FIELD_SCHEMA)).otherwise(document["fields"])
     if pk_col:
-        keys = F.transform(F.split(F.coalesce(F.col(pk_col), F.lit("")), "[,;]"), F.trim)
+        keys = F.transform(F.split(F.coalesce(F.col(pk_col), F.lit("")), "[,;]"), lambda key: F.trim(key))
     else:
         keys = F.coalesce(F.when(~text.startswith("["), document["primaryKeys"]), F.array().cast("array<string>"))
     kept = [name for name in df.columns if name not in (json_col, pk_col)]

@@ -131,11 +131,7 @@ def with_inputs(sql: str, names: tuple[str, ...]) -> str:
         return sql
     inputs = ", ".join(f"{name} AS ({twin_sql(name)})" for name in names)
     body = sql.strip()
-    recursive = ""
-    if body.upper().startswith("WITH RECURSIVE "):
-        body, recursive = body[len("WITH RECURSIVE "):], "RECURSIVE "
-    elif body.upper().startswith("WITH "):
-        body = body[len("WITH "):]
-    else:
+    own = re.match(r"WITH(\s+RECURSIVE)?\s", body)
+    if not own:
         return f"WITH {inputs} {body}"
-    return f"WITH {recursive}{inputs}, {body}"
+    return f"WITH{own.group(1) or ''} {inputs}, {body[own.end():]}"

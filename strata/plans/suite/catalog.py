@@ -156,17 +156,17 @@ def search_tables(d: Data):
 
 @register("""
     WITH j AS (
-      SELECT coalesce(b.table_id, a.table_id) AS table_id, b.name AS bn, a.name AS an, b.type AS bt, a.type AS at, b.sort_order AS bo, a.sort_order AS ao
+      SELECT coalesce(b.table_id, a.table_id) AS table_id, b.name AS bn, a.name AS an, b.type AS btype, a.type AS atype, b.sort_order AS bo, a.sort_order AS ao
       FROM cols b FULL JOIN cols_next a ON a.table_id = b.table_id AND a.name = b.name),
-    alters AS (SELECT table_id, 'alter_type' AS change, ao AS sort_order, bn AS name_before, an AS name_after, bt AS type_before, at AS type_after
-               FROM j WHERE bn IS NOT NULL AND an IS NOT NULL AND bt <> at),
+    alters AS (SELECT table_id, 'alter_type' AS change, ao AS sort_order, bn AS name_before, an AS name_after, btype AS type_before, atype AS type_after
+               FROM j WHERE bn IS NOT NULL AND an IS NOT NULL AND btype <> atype),
     drops AS (SELECT * FROM j WHERE an IS NULL), adds AS (SELECT * FROM j WHERE bn IS NULL),
-    renames AS (SELECT d.table_id, 'rename' AS change, d.bo AS sort_order, d.bn AS name_before, a.an AS name_after, d.bt AS type_before, a.at AS type_after
-                FROM drops d JOIN adds a ON a.table_id = d.table_id AND a.ao = d.bo AND a.at = d.bt)
+    renames AS (SELECT d.table_id, 'rename' AS change, d.bo AS sort_order, d.bn AS name_before, a.an AS name_after, d.btype AS type_before, a.atype AS type_after
+                FROM drops d JOIN adds a ON a.table_id = d.table_id AND a.ao = d.bo AND a.atype = d.btype)
     SELECT * FROM alters UNION ALL SELECT * FROM renames
-    UNION ALL SELECT table_id, 'drop', bo, bn, NULL, bt, NULL FROM drops d WHERE NOT EXISTS (
+    UNION ALL SELECT table_id, 'drop', bo, bn, NULL, btype, NULL FROM drops d WHERE NOT EXISTS (
       SELECT 1 FROM renames r WHERE r.table_id = d.table_id AND r.name_before = d.bn)
-    UNION ALL SELECT table_id, 'add', ao, NULL, an, NULL, at FROM adds a WHERE NOT EXISTS (
+    UNION ALL SELECT table_id, 'add', ao, NULL, an, NULL, atype FROM adds a WHERE NOT EXISTS (
       SELECT 1 FROM renames r WHERE r.table_id = a.table_id AND r.name_after = a.an)""", ("cols", "cols_next"))
 def schema_diff(d: Data):
     return op.schema_diff(d.fixture("cols"), d.fixture("cols_next"))
