@@ -10,6 +10,9 @@ from strata.session import checkpointed
 # Kinds of lineage edges.
 LINEAGE_TYPES = ("cdc_sync", "etl_transform", "materialized")
 
+# After so many rounds of a walk their results are merged into one, which keeps long walks cheap to plan.
+ROUNDS_PER_MERGE = 10
+
 
 def lineage_edges(mappings: DataFrame, etl_edges: DataFrame | None = None, task: str = "task_id") -> DataFrame:
     """Edges (src, dst, task, lineage_type) of parsed table mappings and of declared transforms."""
@@ -42,13 +45,15 @@ def reachable(edges: DataFrame, roots: DataFrame, direction: str = "downstream",
     """All nodes that can be reached from the roots (column ``node``), with the fewest steps.
 
     Round by round: the newest nodes join the edges, nodes seen before are taken out, and the round
-    is written to reliable storage, so plans stay short and a lost executor costs one round. A cycle
-    ends because its nodes have been seen; without ``max_depth`` rounds go on until none is new.
+    is written to reliable storage, so plans stay short and a lost executor costs one round. A few new
+    nodes are broadcast by the planner and the edges then only scanned; a hot node's edges are split
+    by the skew join. A cycle ends because its nodes have been seen; without ``max_depth`` rounds go
+    on until none is new.
     """
     if direction not in ("downstream", "upstream"):
         raise ValueError(f"unknown direction: {direction}")
     own, other = ("src", "dst") if direction == "downstream" else ("dst", "src")
-    steps = edges.select(F.col(own).alias("node"), F.col(other).alias("next")).distinct()
+    steps = edges.select(F.col(own).alias("node"), F.col(other).alias("next"))
     seen = frontier = checkpointed(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     depth = 0
     while max_depth is None or depth < max_depth:
@@ -58,6 +63,8 @@ def reachable(edges: DataFrame, roots: DataFrame, direction: str = "downstream",
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % ROUNDS_PER_MERGE == 0:
+            seen = checkpointed(seen)
     return seen
 
 

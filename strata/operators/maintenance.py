@@ -24,6 +24,7 @@ def _sized_session(spark: SparkSession, target_mb: int) -> SparkSession:
     size = str(target_mb * 1024 * 1024)
     sized.conf.set("spark.sql.files.maxPartitionBytes", size)
     sized.conf.set("spark.sql.files.openCostInBytes", "0")
+    sized.conf.set("spark.sql.files.minPartitionNum", "1")
     sized.conf.set("spark.sql.adaptive.enabled", "true")
     sized.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
     return sized

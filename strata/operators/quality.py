@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterable
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,11 +58,17 @@ class Rule:
     enabled: bool = True
 
 
-RULE_SCHEMA = (
-    "rule_id bigint, rule_type string, target_table string, target_column string, threshold double, "
-    "expression string, layer string, enabled boolean"
-)
-MEASURED_SCHEMA = "rule_id bigint, actual double, failure string"
+def _row(rule: Rule, actual: Column, failure: str | None = None) -> Column:
+    """One result row: the rule's own values travel with its measure, so no join is needed."""
+    return F.struct(
+        F.lit(rule.rule_id).cast("bigint").alias("rule_id"), F.lit(rule.rule_type).alias("rule_type"),
+        F.lit(rule.layer).cast("string").alias("layer"), F.lit(rule.target_table).alias("target_table"),
+        F.lit(rule.target_column).cast("string").alias("target_column"), actual.cast("double").alias("actual"),
+        F.lit(float(rule.threshold or 0.0)).alias("threshold"), F.lit(failure).cast("string").alias("failure"))
+
+
+def _literal_rows(spark: SparkSession, rows: list[Column]) -> list[DataFrame]:
+    return [spark.range(1).select(F.inline(F.array(*rows)))] if rows else []
 
 
 def read_rules(rules: DataFrame) -> list[Rule]:
@@ -83,28 +90,27 @@ def _measure(rule: Rule) -> Column | None:
     return None
 
 
-def _unfused(table: DataFrame, measures: dict[int, Column]) -> DataFrame:
-    """(rule_id, actual) of all given measures from one aggregate."""
-    pairs = [F.struct(F.lit(rule_id).cast("bigint").alias("rule_id"), F.col(f"r{rule_id}").alias("actual"))
-             for rule_id in measures]
-    fused = table.agg(*[column.alias(f"r{rule_id}") for rule_id, column in measures.items()])
-    return fused.select(F.inline(F.array(*pairs)))
+def _fused(table: DataFrame, measures: dict[Rule, Column]) -> DataFrame:
+    """Result rows of all given measures from one aggregate."""
+    names = {rule: f"r{index}" for index, rule in enumerate(measures)}
+    values = table.agg(*[column.alias(names[rule]) for rule, column in measures.items()])
+    return values.select(F.inline(F.array(*[_row(rule, F.col(name)) for rule, name in names.items()])))
 
 
-def _plans(table: DataFrame, rules: list[Rule], measures: dict[int, Column]) -> list[DataFrame]:
+def _plans(table: DataFrame, measures: dict[Rule, Column]) -> list[DataFrame]:
     """One aggregate for the cheap measures and the first distinct counts, more for further counts."""
-    distinct = list(dict.fromkeys(rule.target_column for rule in rules if rule.rule_type == "uniqueness"))
+    distinct = list(dict.fromkeys(rule.target_column for rule in measures if rule.rule_type == "uniqueness"))
     group_of = {column: index // DISTINCT_PER_PLAN for index, column in enumerate(distinct)}
     groups = defaultdict(dict)
-    for rule in rules:
+    for rule, column in measures.items():
         group = group_of[rule.target_column] if rule.rule_type == "uniqueness" else 0
-        groups[group][rule.rule_id] = measures[rule.rule_id]
-    return [_unfused(table, members) for members in groups.values()]
+        groups[group][rule] = column
+    return [_fused(table, members) for members in groups.values()]
 
 
 def measure_rules(spark: SparkSession, rules: Iterable[Rule], tables: Callable[[str], DataFrame],
-                  isolate_runtime: bool = False) -> DataFrame:
-    """(rule_id, actual, failure) of every rule that has something to measure.
+                  isolate_runtime: bool = False) -> DataFrame | None:
+    """Value or failure of every rule that has something to measure; None when there is no such rule.
 
     Rules on one table share its scan. A rule that does not analyse (missing column or table, bad
     expression) is set aside before any job runs and comes out with a failure; the others go on.
@@ -114,57 +120,48 @@ def measure_rules(spark: SparkSession, rules: Iterable[Rule], tables: Callable[[
     by_table, failed, parts = defaultdict(list), [], []
     for rule in rules:
         by_table[rule.target_table].append(rule)
+
+    def fail(rule: Rule, problem: PySparkException) -> None:
+        failed.append(_row(rule, F.lit(FAILED_VALUE), _short(problem)))
+
     for name, members in by_table.items():
-        try:
-            table = tables(name)
-        except PySparkException as problem:
-            failed += [(rule.rule_id, FAILED_VALUE, _short(problem)) for rule in members]
-            continue
-        good, measures = [], {}
+        measures, table = {}, None
         for rule in members:
-            if rule.rule_type == "custom_sql":
-                try:
-                    parts.append(custom_sql_check(spark, rule.expression).select(
-                        F.lit(rule.rule_id).cast("bigint").alias("rule_id"), "actual"))
-                except PySparkException as problem:
-                    failed.append((rule.rule_id, FAILED_VALUE, _short(problem)))
-                continue
-            column = _measure(rule)
-            if column is None:
-                continue
             try:
+                if rule.rule_type == "custom_sql":
+                    parts.append(custom_sql_check(spark, rule.expression).select(
+                        _row(rule, F.col("actual")).alias("r")).select("r.*"))
+                    continue
+                column = _measure(rule)
+                if column is None:
+                    continue
+                table = tables(name) if table is None else table
                 table.agg(column)
+                measures[rule] = column
             except PySparkException as problem:
-                failed.append((rule.rule_id, FAILED_VALUE, _short(problem)))
-                continue
-            good.append(rule)
-            measures[rule.rule_id] = column
-        if not good:
+                fail(rule, problem)
+        if not measures:
             continue
-        plans = _plans(table, good, measures)
+        plans = _plans(table, measures)
         if isolate_runtime:
-            plans, broken = _run_isolated(spark, table, good, measures, plans)
-            failed += broken
-        parts += plans
-    measured = spark.createDataFrame(failed, MEASURED_SCHEMA)
-    for part in parts:
-        measured = measured.unionByName(part.withColumn("failure", F.lit(None).cast("string")))
-    return measured
-
-
-def _run_isolated(spark, table, rules, measures, plans):
-    """Rows of the shared aggregates (one per rule), or of one aggregate per rule if those fail."""
-    try:
-        rows = [tuple(row) for plan in plans for row in plan.collect()]
-        return [spark.createDataFrame(rows, "rule_id bigint, actual double")], []
-    except PySparkException:
-        rows, broken = [], []
-        for rule in rules:
             try:
-                rows += [tuple(row) for row in _unfused(table, {rule.rule_id: measures[rule.rule_id]}).collect()]
-            except PySparkException as problem:
-                broken.append((rule.rule_id, FAILED_VALUE, _short(problem)))
-        return [spark.createDataFrame(rows, "rule_id bigint, actual double")], broken
+                plans = _literal_rows(spark, [row for plan in plans for row in _collected(plan, measures)])
+            except PySparkException:
+                plans = []
+                for rule, column in measures.items():
+                    try:
+                        plans += _literal_rows(spark, _collected(_fused(table, {rule: column}), {rule: column}))
+                    except PySparkException as problem:
+                        fail(rule, problem)
+        parts += plans
+    parts += _literal_rows(spark, failed)
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _collected(plan: DataFrame, rules: Iterable[Rule]) -> list[Column]:
+    """Measured values (one number per rule) as literals, so that a failing plan fails here."""
+    by_id = {rule.rule_id: rule for rule in rules}
+    return [_row(by_id[row.rule_id], F.lit(row.actual)) for row in plan.select("rule_id", "actual").collect()]
 
 
 def _short(problem: PySparkException) -> str:
@@ -178,36 +175,22 @@ def quality_results(spark: SparkSession, rules: Iterable[Rule], tables: Callable
     Status is pass, fail, no_data (rate of an empty table) or error.
     """
     enabled = [rule for rule in rules if rule.enabled]
-    if not enabled:
-        return judge(spark.createDataFrame([], MEASURED_SCHEMA), spark.createDataFrame([], RULE_SCHEMA))
     measured = measure_rules(spark, enabled, tables or spark.table, isolate_runtime)
-    return judge(measured, rule_table(spark, enabled))
-
-
-def rule_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
-    names = list(Rule.__dataclass_fields__)
-    rows = [tuple(float(v) if k == "threshold" and v is not None else v for k, v in asdict(rule).items())
-            for rule in rules]
-    return spark.createDataFrame(rows, RULE_SCHEMA).select(*names)
-
-
-def judge(measured: DataFrame, rules: DataFrame) -> DataFrame:
-    """Measured values against their rules."""
-    threshold = F.coalesce(F.col("threshold"), F.lit(0.0))
+    if measured is None:
+        nothing = Rule(0, "", "")
+        measured = _literal_rows(spark, [_row(nothing, F.lit(None))])[0].where(F.lit(False))
     failed = F.col("failure").isNotNull()
     status = (
         F.when(failed, "error").when(F.col("actual").isNull(), "no_data")
-        .when(breach("rule_type", "actual", threshold), "fail").otherwise("pass")
+        .when(breach("rule_type", "actual", "threshold"), "fail").otherwise("pass")
     )
     message = F.when(failed, F.concat(F.lit("quality check could not run: "), F.col("failure"))).when(
         F.col("status") == "fail",
         alert_message("target_table", "target_column", "rule_type", F.col("actual"), F.col("threshold")))
     level = F.when(failed, "error").when(F.col("status") == "fail", alert_level("actual", "threshold"))
-    return (
-        measured.join(rules, "rule_id").withColumn("threshold", threshold).withColumn("status", status)
-        .select("rule_id", "rule_type", "layer", "target_table", "target_column", "actual", "threshold", "status",
-                level.alias("level"), message.alias("message"))
-    )
+    return measured.withColumn("status", status).select(
+        "rule_id", "rule_type", "layer", "target_table", "target_column", "actual", "threshold", "status",
+        level.alias("level"), message.alias("message"))
 
 
 def run_checks(spark: SparkSession, rules: Iterable[Rule], tables: Callable[[str], DataFrame] | None = None,

@@ -5,21 +5,25 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strata.functions.money import exact_sum, units
 from strata.sources.tables import write_table
 
 # Days after the first active day at which retention is measured.
 RETENTION_DAYS = (1, 7, 14)
 
-MONEY = "decimal(18,2)"
-AMOUNT = "decimal(24,4)"
+# Decimal digits of a price, of a discount, and of the amount of a line.
+PRICE_DIGITS = 2
+DISCOUNT_DIGITS = 2
+AMOUNT_DIGITS = PRICE_DIGITS + DISCOUNT_DIGITS
 
 
 def line_amount() -> Column:
-    """Discounted price of a line, exact."""
-    one = F.lit(1).cast("decimal(4,2)")
-    return (F.col("l_extendedprice").cast(MONEY) * (one - F.col("l_discount").cast("decimal(4,2)"))).cast(AMOUNT)
+    """Discounted price of a line: the product of whole cents and whole percent, without rounding error."""
+    percent = 10**DISCOUNT_DIGITS - units("l_discount", DISCOUNT_DIGITS)
+    return units("l_extendedprice", PRICE_DIGITS) * percent / F.lit(10.0**AMOUNT_DIGITS)
 
 
 def insert_select(spark: SparkSession, sql: str, target: str, mode: str = "append", path: str | None = None,
@@ -49,7 +53,7 @@ def dwd_order_detail(orders: DataFrame, lineitem: DataFrame, customer: DataFrame
 def dwd_user_profile(customer: DataFrame, orders: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
     """One row per customer with place and order history; customers without orders stay."""
     history = orders.groupBy("o_custkey").agg(
-        F.count(F.lit(1)).alias("order_count"), F.sum(F.col("o_totalprice").cast(MONEY)).alias("total"),
+        F.count(F.lit(1)).alias("order_count"), exact_sum("o_totalprice", PRICE_DIGITS).alias("total"),
         F.min(F.to_date("o_orderdate")).alias("first_order"), F.max(F.to_date("o_orderdate")).alias("last_order"))
     places = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name")
     return (
@@ -58,14 +62,14 @@ def dwd_user_profile(customer: DataFrame, orders: DataFrame, nation: DataFrame,
         .select(
             F.col("c_custkey").alias("customer_key"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"),
             F.coalesce("order_count", F.lit(0).cast("bigint")).alias("order_count"),
-            F.coalesce("total", F.lit(0).cast(MONEY)).alias("total"), "first_order", "last_order"))
+            F.coalesce("total", F.lit(0).cast("decimal(38,2)")).alias("total"), "first_order", "last_order"))
 
 
 def dws_daily_sales(detail: DataFrame) -> DataFrame:
     """Orders, lines and amount per day."""
     return detail.groupBy("dt").agg(
         F.count_distinct("order_key").alias("orders"), F.count(F.lit(1)).alias("lines"),
-        F.sum("amount").alias("amount"))
+        exact_sum("amount", AMOUNT_DIGITS).alias("amount"))
 
 
 def dws_user_active(events: DataFrame, user: str = "user_id", time: str = "ts", approx: bool = False) -> DataFrame:
@@ -89,22 +93,22 @@ def ads_user_retention(events: DataFrame, days: Sequence[int] = RETENTION_DAYS,
                        time: str = "ts") -> DataFrame:
     """Share of each first-day cohort that is active again some days later.
 
-    Events shrink to one row per user and day before anything is joined, so the first day of a user is
-    a minimum over at most as many rows as there are days, and counting needs no second distinct.
+    Events are read once and shrink to one row per user and day. The first day is then a window minimum
+    over at most as many rows per user as there are days, and counting needs no second distinct.
     """
-    active = events.select(user, F.to_date(time).alias("day")).distinct()
-    first = events.groupBy(user).agg(F.min(F.to_date(time)).alias("cohort"))
+    active = events.where(F.col(user).isNotNull()).select(user, F.to_date(time).alias("day")).distinct()
+    first = active.withColumn("cohort", F.min("day").over(W.partitionBy(user)))
     age = F.date_diff("day", "cohort")
-    cohorts = active.join(first, user).groupBy("cohort").agg(
+    cohorts = first.groupBy("cohort").agg(
         F.count_if(age == 0).alias("cohort_size"), *[F.count_if(age == day).alias(f"d{day}") for day in days])
     offsets = F.array(*[F.struct(F.lit(day).alias("day_offset"), F.col(f"d{day}").alias("retained")) for day in days])
     return cohorts.select("cohort", "cohort_size", F.inline(offsets)).withColumn(
         "rate", F.col("retained").cast("double") / F.col("cohort_size"))
 
 
-def share_of_total(df: DataFrame, category: str, value: str) -> DataFrame:
+def share_of_total(df: DataFrame, category: str, value: str, digits: int = AMOUNT_DIGITS) -> DataFrame:
     """Percent of the total per category, to one decimal; the total is one number, no window over all groups."""
-    grouped = df.groupBy(category).agg(F.sum(value).alias("value"))
+    grouped = df.groupBy(category).agg(exact_sum(value, digits).alias("value"))
     total = grouped.agg(F.sum("value").cast("double")).scalar()
     share = F.floor(F.col("value").cast("double") * 1000 / total + F.lit(0.5)) / F.lit(10.0)
     return grouped.select(category, "value", share.alias("share"))

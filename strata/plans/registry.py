@@ -6,10 +6,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from strata.plans import fixtures
 
 
+# Schemas of the given tables, read once: finding a schema takes a job of its own.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 @dataclass(frozen=True)
 class Data:
     """The given tables of one folder, and the inputs derived from them."""
@@ -18,7 +23,10 @@ class Data:
     folder: str
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def tables(self, *names: str) -> dict[str, DataFrame]:
         return {name: self.table(name) for name in names}

@@ -35,7 +35,7 @@ def _money(df, *names):
 @register("WITH" + DAILY + " SELECT dt, CAST(amount AS DOUBLE) AS amount FROM daily")
 def insert_select(d: Data):
     table = op.insert_select(
-        d.spark, "SELECT dt, sum(amount) AS amount FROM {detail} GROUP BY dt", "strata_check.daily_amount", "overwrite",
+        d.spark, "SELECT dt, sum(CAST(amount AS DECIMAL(18,4))) AS amount FROM {detail} GROUP BY dt", "strata_check.daily_amount", "overwrite",
         fresh_path(d.spark, "daily"), detail=_detail(d))
     return _money(table, "amount")
 
@@ -59,7 +59,7 @@ def materialize_windows(d: Data):
 
 @register("WITH" + DETAIL + " SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM detail")
 def dwd_order_detail(d: Data):
-    return _money(_detail(d), "amount")
+    return _detail(d)
 
 
 @register("""

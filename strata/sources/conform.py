@@ -58,20 +58,25 @@ def warehouse_type(declared: str, reference_types: bool = False, postgres_names:
     bare, _, arguments = name.partition("(")
     if bare.strip() in ("DECIMAL", "NUMERIC") and re.fullmatch(r"\d+\s*(,\s*\d+)?\)", arguments):
         return WAREHOUSE_TYPES["DECIMAL"] if reference_types else f"decimal({arguments}".lower()
-    if bare.strip() in ("VARCHAR", "CHAR"):
-        return "string"
     return "string"
 
 
-def _conformed(column: Column, target: str) -> Column:
-    cast = column.cast(target)
-    return to_millis(cast) if target == "timestamp_ntz" else cast
+def _conformed(column: Column, target: str, time_type: bool) -> Column:
+    if target == "timestamp_ntz":
+        return to_millis(column.cast(target))
+    if target == "time(0)" and not time_type:
+        return F.date_format(column.cast("timestamp"), "HH:mm:ss")
+    return column.cast(target)
 
 
 def conform_types(df: DataFrame, declared: dict[str, str], reference_types: bool = False,
                   postgres_names: bool = False) -> DataFrame:
-    """All declared columns cast to warehouse types in one projection."""
+    """All declared columns cast to warehouse types in one projection.
+
+    A time of day needs ``spark.sql.timeType.enabled``; without it the column is text (HH:mm:ss).
+    """
+    time_type = df.sparkSession.conf.get("spark.sql.timeType.enabled", "false") == "true"
     return df.select(*[
-        _conformed(F.col(f"`{name}`"), warehouse_type(source, reference_types, postgres_names)).alias(name)
+        _conformed(F.col(f"`{name}`"), warehouse_type(source, reference_types, postgres_names), time_type).alias(name)
         for name, source in declared.items()
     ])

@@ -71,8 +71,8 @@ def parse_snapshots(df: DataFrame, json_col: str) -> DataFrame:
 def list_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Snapshot files of a folder, newest id first."""
     rows = (
-        spark.read.option("wholetext", "true").option("pathGlobFilter", "snapshot-*")
-        .option("recursiveFileLookup", "true").text(path)
+        spark.read.option("pathGlobFilter", "snapshot-*").option("recursiveFileLookup", "true")
+        .text(path, wholetext=True)
         .select("value", F.col("_metadata.file_name").alias("_file"))
         .where(F.col("_file").rlike(SNAPSHOT_FILES)).drop("_file")
     )

@@ -25,7 +25,7 @@ def as_event_time(df: DataFrame, time: str, delay: str) -> DataFrame:
 
 def throughput(df: DataFrame, time: str, width: str = "1 hour", by: Sequence[str] = ()) -> DataFrame:
     """Rows and rows per second in fixed windows, per stage when ``by`` names it."""
-    seconds = F.unix_micros(F.col("w.end").cast("timestamp")) - F.unix_micros(F.col("w.start").cast("timestamp"))
+    seconds = micros_between("w.start", "w.end")
     return df.groupBy(F.window(time, width).alias("w"), *by).agg(F.count(F.lit(1)).alias("rows")).select(
         F.col("w.start").alias("window_start"), *by, "rows",
         (F.col("rows").cast("double") / (seconds / 1_000_000)).alias("rows_per_second"))

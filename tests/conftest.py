@@ -1,0 +1,32 @@
+import os
+import sys
+
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
+
+from strata.session import build_session  # noqa: E402
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    base = tmp_path_factory.mktemp("spark")
+    session = build_session(
+        "tests", "local[4]", spark__sql__shuffle__partitions=4, spark__ui__enabled="false", spark__driver__memory="4g",
+        spark__checkpoint__dir=str(base / "shared"), spark__sql__warehouse__dir=str(base / "warehouse"))
+    session.sparkContext.setLogLevel("OFF")
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def make(spark):
+    """Rows with a schema text to a DataFrame."""
+    return lambda rows, schema: spark.createDataFrame(rows, schema)
+
+
+def rows_of(df, *names):
+    return sorted((tuple(row) for row in (df.select(*names) if names else df).collect()), key=repr)
