@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.session import written
+
 # Row kinds of an upstream changelog and the operation each stands for.
 ROW_KIND_OPS = {
     "INSERT": "c",
@@ -107,12 +109,14 @@ def upsert(state: DataFrame, changes: DataFrame, keys: Sequence[str], seq: str =
     """New state of a table after ``changes``; the input state is left as it is.
 
     The plain form is one full outer join of the state with the folded changes, at no shuffle
-    for the state when it is bucketed by key. ``patch`` suits few changes on a large state: the state
-    is only ever the streamed side of left joins, so the planner can broadcast the changes when they
-    are under its size limit and shuffles both sides when they are not.
+    for the state when it is bucketed by key. ``patch`` suits few changes on a large state: the folded
+    changes become a table of known size and the state is only ever the streamed side of left joins, so
+    the planner broadcasts the changes when they are under its limit and shuffles both when they are not.
     """
     last = _last_changes(state, changes, keys, seq, op)
     columns = state.columns
+    if patch:
+        last = written(last, "changes")
     if not patch:
         s, c = state.withColumn("_in_s", F.lit(True)).alias("s"), last.withColumn("_in_c", F.lit(True)).alias("c")
         joined = s.join(c, [F.col(f"s.{key}") == F.col(f"c.{key}") for key in keys], "full_outer")

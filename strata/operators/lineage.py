@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from strata.session import checkpointed
+from strata.session import fresh_path
 
 # Kinds of lineage edges.
 LINEAGE_TYPES = ("cdc_sync", "etl_transform", "materialized")
 
-# After so many rounds of a walk their results are merged into one, which keeps long walks cheap to plan.
-ROUNDS_PER_MERGE = 10
-
 
 def lineage_edges(mappings: DataFrame, etl_edges: DataFrame | None = None, task: str = "task_id") -> DataFrame:
     """Edges (src, dst, task, lineage_type) of parsed table mappings and of declared transforms."""
@@ -45,27 +43,33 @@ def reachable(edges: DataFrame, roots: DataFrame, direction: str = "downstream",
     """All nodes that can be reached from the roots (column ``node``), with the fewest steps.
 
     Round by round: the newest nodes join the edges, nodes seen before are taken out, and the round
-    is written to reliable storage, so plans stay short and a lost executor costs one round. A few new
-    nodes are broadcast by the planner and the edges then only scanned; a hot node's edges are split
-    by the skew join. A cycle ends because its nodes have been seen; without ``max_depth`` rounds go
-    on until none is new.
+    becomes a table in the shared folder. Plans stay short, a lost executor costs one round at most,
+    and the planner knows the size of each round: a few new nodes are broadcast, so the edges are
+    only scanned, while many are joined by key with skewed nodes split. A cycle ends because its nodes
+    have been seen; without ``max_depth`` rounds go on until none is new.
     """
     if direction not in ("downstream", "upstream"):
         raise ValueError(f"unknown direction: {direction}")
     own, other = ("src", "dst") if direction == "downstream" else ("dst", "src")
+    spark = edges.sparkSession
+    base = fresh_path(spark, "reachable")
+    node = roots.select("node").schema
     steps = edges.select(F.col(own).alias("node"), F.col(other).alias("next"))
-    seen = frontier = checkpointed(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+
+    def keep(found: DataFrame, depth: int) -> DataFrame:
+        found.write.parquet(f"{base}/depth={depth}")
+        return spark.read.schema(node).parquet(f"{base}/depth={depth}")
+
+    def seen() -> DataFrame:
+        return spark.read.schema(StructType([*node.fields, StructField("depth", IntegerType())])).parquet(base)
+
     depth = 0
-    while max_depth is None or depth < max_depth:
+    frontier = keep(roots.select("node").distinct(), depth)
+    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
         depth += 1
-        found = frontier.join(steps, "node").select(F.col("next").alias("node")).distinct()
-        frontier = checkpointed(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-        if depth % ROUNDS_PER_MERGE == 0:
-            seen = checkpointed(seen)
-    return seen
+        found = steps.join(frontier, "node").select(F.col("next").alias("node")).distinct()
+        frontier = keep(found.join(seen(), "node", "left_anti"), depth)
+    return seen()
 
 
 def lineage_for_layer(nodes: DataFrame, edges: DataFrame, layer: str) -> tuple[DataFrame, DataFrame]:

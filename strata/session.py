@@ -5,12 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "strata", master: str | None = None, **conf) -> SparkSession:
     """A session with adaptive execution on and time zone UTC.
 
+    Skewed joins are split even where that costs one more shuffle: a hot key must not sit in one task.
     Shuffle partition counts stay with the cluster: pass ``spark.sql.shuffle.partitions`` or
     ``spark.sql.adaptive.coalescePartitions.initialPartitionNum`` to fit the data at hand.
     """
@@ -21,6 +22,7 @@ def build_session(app: str = "strata", master: str | None = None, **conf) -> Spa
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         **{key.replace("__", "."): str(value) for key, value in conf.items()},
     }
@@ -49,9 +51,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df):
-    """``df`` written to reliable storage, its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage is cut, and its true size is known to the planner.
+
+    The file size is what lets the planner broadcast a small result and shuffle a large one.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
