@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strata.functions.money import exact_sum, units
+from strata.session import written
 from strata.sources.tables import write_table
 
 # Days after the first active day at which retention is measured.
@@ -84,11 +85,17 @@ def dws_user_active(events: DataFrame, user: str = "user_id", time: str = "ts",
 def ads_sales_report(daily: DataFrame) -> DataFrame:
     """Amount per month against the calendar month before.
 
-    The month before is found by an equi-join on the month, not by a window over all months.
+    Each month's amount also goes to the next month as its previous amount, and the two meet in one
+    aggregate: the days are computed once, and no window runs over all months.
     """
     monthly = daily.groupBy(F.trunc("dt", "month").alias("month")).agg(F.sum("amount").alias("amount"))
-    before = monthly.select(F.add_months("month", 1).alias("month"), F.col("amount").alias("previous_amount"))
-    return monthly.join(before, "month", "left").select(
+    nothing = F.lit(None).cast(monthly.schema["amount"].dataType)
+    own = F.struct("month", "amount", nothing.alias("previous_amount"), F.lit(True).alias("own"))
+    as_previous = F.struct(F.add_months("month", 1).alias("month"), nothing.alias("amount"),
+                           F.col("amount").alias("previous_amount"), F.lit(False).alias("own"))
+    met = monthly.select(F.inline(F.array(own, as_previous))).groupBy("month").agg(
+        F.max("amount").alias("amount"), F.max("previous_amount").alias("previous_amount"), F.max("own").alias("own"))
+    return met.where("own").select(
         "month", "amount", "previous_amount", (F.col("amount") - F.col("previous_amount")).alias("change"))
 
 
@@ -110,8 +117,12 @@ def ads_user_retention(events: DataFrame, days: Sequence[int] = RETENTION_DAYS,
 
 
 def share_of_total(df: DataFrame, category: str, value: str, digits: int = AMOUNT_DIGITS) -> DataFrame:
-    """Percent of the total per category, to one decimal; the total is one number, no window over all groups."""
-    grouped = df.groupBy(category).agg(exact_sum(value, digits).alias("value"))
+    """Percent of the total per category, to one decimal.
+
+    The grouped rows become a table, so the input is aggregated once; the total is one number from it,
+    not a window that brings all categories together.
+    """
+    grouped = written(df.groupBy(category).agg(exact_sum(value, digits).alias("value")), "shares")
     total = grouped.agg(F.sum("value").cast("double")).scalar()
     share = F.floor(F.col("value").cast("double") * 1000 / total + F.lit(0.5)) / F.lit(10.0)
     return grouped.select(category, "value", share.alias("share"))

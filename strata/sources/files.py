@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Name patterns of data files and snapshot files.
-DATA_FILES = r"^(data|changelog)-"
+# Name prefixes of data files and the name pattern of snapshot files.
+DATA_PREFIXES = ("data-", "changelog-")
 SNAPSHOT_FILES = r"^snapshot-\d+$"
 
 SNAPSHOT_SCHEMA = (
@@ -23,27 +23,32 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     )
 
 
+def _file_name(path: str = "path") -> Column:
+    return F.substring_index(path, "/", -1)
+
+
 def file_stats(listing: DataFrame, root: str, depth: int = 2) -> DataFrame:
     """Data file count and bytes per table; a table is the first ``depth`` folders below ``root``."""
-    steps = F.split(F.substring_index("path", f"{root.rstrip('/')}/", -1), "/")
+    below = F.substring_index("path", f"{root.rstrip('/')}/", -1)
+    data_file = _file_name().startswith(DATA_PREFIXES[0])
+    for prefix in DATA_PREFIXES[1:]:
+        data_file = data_file | _file_name().startswith(prefix)
     return (
-        listing.where(F.element_at(F.split("path", "/"), -1).rlike(DATA_FILES))
-        .select(F.array_join(F.slice(steps, 1, depth), "/").alias("table_path"), "length")
-        .groupBy("table_path")
+        listing.where(data_file)
+        .groupBy(F.substring_index(below, "/", depth).alias("table_path"))
         .agg(F.count(F.lit(1)).alias("file_count"), F.sum("length").alias("total_size_bytes"))
     )
 
 
 def latest_numbered(listing: DataFrame, prefix: str) -> DataFrame:
     """Per folder the file ``prefix`` + number with the highest number."""
-    name = F.element_at(F.split("path", "/"), -1)
-    number = F.regexp_extract(name, rf"^{prefix}(\d+)$", 1)
+    name = _file_name()
+    folder = F.substring("path", F.lit(1), F.length("path") - F.length(name) - 1)
+    number = F.when(name.startswith(prefix), F.substring(name, F.lit(len(prefix) + 1), F.length(name)))
     return (
-        listing.where(name.rlike(rf"^{prefix}\d+$"))
-        .select(F.expr("left(path, length(path) - length(element_at(split(path, '/'), -1)) - 1)").alias("folder"),
-                number.cast("bigint").alias("number"), "path")
-        .groupBy("folder")
-        .agg(F.max("number").alias("number"), F.max_by("path", "number").alias("path"))
+        listing.where(number.rlike("^[0-9]+$"))
+        .groupBy(folder.alias("folder")).agg(F.max(F.struct(number.cast("bigint").alias("number"), "path")).alias("_f"))
+        .select("folder", "_f.number", "_f.path")
     )
 
 
