@@ -16,11 +16,6 @@ from strata.functions.quality import alert_level, alert_message, breach
 # Fixed value: measured value recorded for a rule that could not run.
 FAILED_VALUE = -1.0
 
-# Every exact distinct count in one aggregate multiplies the rows it shuffles; more than this many
-# columns go to a further aggregate over the same table.
-DISTINCT_PER_PLAN = 3
-
-
 def null_rate(column: str) -> Column:
     return F.try_divide(F.count_if(F.col(column).isNull()).cast("double"), F.count(F.lit(1)))
 
@@ -73,9 +68,8 @@ def _literal_rows(spark: SparkSession, rows: list[Column]) -> list[DataFrame]:
 
 def read_rules(rules: DataFrame) -> list[Rule]:
     """Rules of a rule table. They are the program of a run, so they come to the driver."""
-    names = list(Rule.__dataclass_fields__)
-    return [Rule(**row.asDict()) for row in rules.select(*names).withColumn(
-        "threshold", F.col("threshold").cast("double")).orderBy("rule_id").toLocalIterator()]
+    rows = rules.select(*Rule.__dataclass_fields__).withColumn("threshold", F.col("threshold").cast("double")).collect()
+    return sorted((Rule(**row.asDict()) for row in rows), key=lambda rule: rule.rule_id)
 
 
 def _measure(rule: Rule) -> Column | None:
@@ -98,13 +92,14 @@ def _fused(table: DataFrame, measures: dict[Rule, Column]) -> DataFrame:
 
 
 def _plans(table: DataFrame, measures: dict[Rule, Column]) -> list[DataFrame]:
-    """One aggregate for the cheap measures and the first distinct counts, more for further counts."""
-    distinct = list(dict.fromkeys(rule.target_column for rule in measures if rule.rule_type == "uniqueness"))
-    group_of = {column: index // DISTINCT_PER_PLAN for index, column in enumerate(distinct)}
+    """One aggregate for all plain measures and one for each column counted exactly.
+
+    An exact distinct count reads and shuffles its own column only. Put into the shared aggregate,
+    every such count would multiply the rows of all others.
+    """
     groups = defaultdict(dict)
     for rule, column in measures.items():
-        group = group_of[rule.target_column] if rule.rule_type == "uniqueness" else 0
-        groups[group][rule] = column
+        groups[rule.target_column if rule.rule_type == "uniqueness" else None][rule] = column
     return [_fused(table, members) for members in groups.values()]
 
 
@@ -112,7 +107,7 @@ def measure_rules(spark: SparkSession, rules: Iterable[Rule], tables: Callable[[
                   isolate_runtime: bool = False) -> DataFrame | None:
     """Value or failure of every rule that has something to measure; None when there is no such rule.
 
-    Rules on one table share its scan. A rule that does not analyse (missing column or table, bad
+    Plain rules on one table share one scan. A rule that does not analyse (missing column or table, bad
     expression) is set aside before any job runs and comes out with a failure; the others go on.
     With ``isolate_runtime`` a table whose shared aggregate fails while running is measured again
     rule by rule, so that only the rule at fault reports the failure.

@@ -62,11 +62,13 @@ def test_runtime_failure_is_isolated(spark, tables):
     assert found[1].status == "error" and "DIVIDE_BY_ZERO" in found[1].message and found[2].status == "fail"
 
 
-def test_many_distinct_rules_split_into_plans_with_equal_results(spark, make):
+def test_distinct_rules_are_counted_apart(spark, make):
     table = make([(i % 2, i % 3, i % 5, i % 7, i) for i in range(35)], "a int, b int, c int, d int, e int")
     rules = [Rule(i, "uniqueness", "w", column, 0.5) for i, column in enumerate("abcde")] + [Rule(9, "volume_compare", "w", None, 1.0)]
     found = results(spark, rules, lambda name: table)
     assert [round(found[i].actual * 35) for i in range(5)] == [2, 3, 5, 7, 35]
+    plan = op.quality_results(spark, rules, lambda name: table)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
 
 
 def test_shared_scan(spark, tables):
