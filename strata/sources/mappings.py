@@ -48,26 +48,34 @@ def parse_mappings(df: DataFrame, json_col: str) -> DataFrame:
     return rows.withColumn("error", error).drop("_missing", "_blank")
 
 
-def start_at_latest(sync_mode, task_incremental: bool = False):
+def start_at_latest(sync_mode: str | None, task_incremental: bool = False) -> bool:
     """Whether a mapping skips the full copy: by its own mode or by the task's strategy."""
-    return (F.lower(sync_mode) == "incremental") | F.lit(task_incremental)
+    return task_incremental or (sync_mode or DEFAULT_MODE).lower() == "incremental"
 
 
 def sync_tables(spark: SparkSession, mappings: Iterable[dict], read: Callable[[str], DataFrame],
-                declared: dict[str, dict[str, str]] | None = None,
-                keys: dict[str, list[str]] | None = None,
-                location: str | None = None) -> list[str]:
-    """Copy each mapped source table whole into the warehouse; returns the tables written.
+                declared: dict[str, dict[str, str]] | None = None, keys: dict[str, list[str]] | None = None,
+                location: str | None = None, task_incremental: bool = False) -> list[str]:
+    """Create each mapped table with all source columns and copy the source rows; returns the tables.
 
-    ``mappings`` are the job's own settings (a short list). ``read`` opens a source table, for
-    instance ``read_source`` bound to a url. Tables are independent writes.
+    ``mappings`` are the job's own settings (a short list, such as rows of ``parse_mappings``). ``read``
+    opens a source table, for instance ``read_source`` bound to a url. An incremental mapping creates
+    its table empty: its rows come from the change stream alone. Tables are independent writes.
     """
+    mappings = list(mappings)
+    if not mappings:
+        raise ValueError("no table mapping")
+    for mapping in mappings:
+        if mapping.get("error"):
+            raise ValueError(f"mapping of {mapping['source_table']}: {mapping['error']}")
     written = []
     for mapping in mappings:
         source = mapping["source_table"]
         df = read(source)
         if declared and source in declared:
             df = conform_types(df, declared[source])
+        if start_at_latest(mapping.get("sync_mode"), task_incremental):
+            df = df.limit(0)
         name = f"{mapping.get('target_db') or DEFAULT_DATABASE}.{mapping['target_table']}"
         path = f"{location}/{name.replace('.', '/')}" if location else None
         write_table(df, name, keys=(keys or {}).get(source, ()), mode="overwrite", path=path)

@@ -3,7 +3,6 @@ from decimal import Decimal
 
 import pytest
 from conftest import rows_of
-from pyspark.sql import functions as F
 
 from strata.functions.money import exact_sum
 from strata.sources import conform, export, jdbc, mappings, tables
@@ -65,10 +64,23 @@ def test_mapping_errors(make):
     assert errors("") == ["no mapping"] and errors(None) == ["no mapping"] and errors("[]") == ["not a mapping list"]
 
 
-def test_start_mode(make):
-    df = make([("incremental",), ("full+incremental",)], "m string")
-    assert [r[0] for r in df.select(mappings.start_at_latest(F.col("m"))).collect()] == [True, False]
-    assert [r[0] for r in df.select(mappings.start_at_latest(F.col("m"), True)).collect()] == [True, True]
+def test_start_mode():
+    assert [mappings.start_at_latest(mode) for mode in ("incremental", "Incremental", "full+incremental", None)] == [True, True, False, False]
+    assert mappings.start_at_latest("full+incremental", task_incremental=True)
+
+
+def test_sync_copies_or_only_creates(spark, make, tmp_path):
+    text = """[{"sourceTable":"a","targetDb":"sync_check","targetTable":"a_copy"},
+               {"sourceTable":"b","targetDb":"sync_check","targetTable":"b_copy","syncMode":"incremental"}]"""
+    rows = [row.asDict() for row in mappings.parse_mappings(make([(text,)], "m string"), "m").collect()]
+    read = {"a": make([("1",), ("2",)], "id string"), "b": make([("3",)], "id string")}.__getitem__
+    assert mappings.sync_tables(spark, rows, read, {"a": {"id": "BIGINT"}}, {"a": ["id"]}, str(tmp_path)) == [
+        "sync_check.a_copy", "sync_check.b_copy"]
+    assert rows_of(spark.table("sync_check.a_copy")) == [(1,), (2,)] and tables.table_keys(spark, "sync_check.a_copy") == ["id"]
+    assert spark.table("sync_check.b_copy").count() == 0 and spark.table("sync_check.b_copy").columns == ["id"]
+    for bad in ([], [{"source_table": "a", "error": "unsafe name"}]):
+        with pytest.raises(ValueError):
+            mappings.sync_tables(spark, bad, read)
 
 
 def test_csv(spark, make, tmp_path):
