@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -143,6 +144,25 @@ def compaction_candidates(tables: DataFrame, layer: str | None = None, threshold
     return search(tables, layer=layer).where(F.col("file_count") >= max(1, threshold))
 
 
+def run_batch(tables: DataFrame, operation: Callable[[Row], None], name: str) -> DataFrame:
+    """One maintenance operation on each table of a catalog selection; a failure does not stop the rest.
+
+    The loop runs over catalog rows on the driver, one at a time; the work of each operation is a Spark
+    job of its own. Returns one result row per table for ``maintenance_report``.
+    """
+    results = []
+    for table in tables.toLocalIterator():
+        begun, status, message = time.monotonic(), "success", None
+        try:
+            operation(table)
+        except Exception as problem:
+            status, message = "failed", str(problem) or "operation failed"
+        results.append((table["id"], f"{table['db']}.{table['table_name']}", name, status, message,
+                        int((time.monotonic() - begun) * 1000)))
+    return tables.sparkSession.createDataFrame(
+        results, "table_id bigint, table string, operation string, status string, message string, duration_ms bigint")
+
+
 def maintenance_report(results: DataFrame, operation: str = "operation", failed=None) -> DataFrame:
     """Per operation: how many were triggered and how many failed."""
     failed = F.col("status") == "failed" if failed is None else failed

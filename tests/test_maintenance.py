@@ -84,3 +84,18 @@ def test_log_covers_tables_that_came_or_went(make):
     log = op.maintenance_log(make([("a", 9, 90), ("b", 1, 10)], schema), make([("a", 2, 80), ("c", 1, 5)], schema), "compact", duration_ms=5)
     assert rows_of(log, "table_path", "file_count_before", "file_count_after", "total_size_bytes_after") == [
         ("a", 9, 2, 80), ("b", 1, None, None), ("c", None, 1, 5)]
+
+
+def test_batch_goes_on_after_a_failure(spark, make, tmp_path):
+    tables = make([(1, "ods", "a"), (2, "ods", "missing"), (3, "ods", "c")], "id bigint, db string, table_name string")
+    for name in ("a", "c"):
+        spark.range(30).repartition(6).write.parquet(str(tmp_path / name))
+
+    def work(table):
+        op.compact(spark, str(tmp_path / table.table_name), str(tmp_path / f"{table.table_name}-new"), "full")
+
+    results = op.run_batch(tables, work, "compact")
+    assert rows_of(results, "table", "status") == [("ods.a", "success"), ("ods.c", "success"), ("ods.missing", "failed")]
+    assert rows_of(op.maintenance_report(results)) == [("compact", 2, 1)]
+    assert [row.table_id for row in op.maintenance_failures(results).collect()] == [2]
+    assert len(parquet_files(str(tmp_path / "a-new"))) == 1
