@@ -31,19 +31,24 @@ def build_session(app: str = "strata", master: str | None = None, **conf) -> Spa
     return builder.getOrCreate()
 
 
+# Folders of local sessions that name none, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that driver and executors both reach: ``spark.checkpoint.dir`` of the session.
 
     Only a local session may go without the setting; it then gets its own temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all nodes can reach")
-    folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="strata-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="strata-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
