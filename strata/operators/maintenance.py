@@ -72,9 +72,13 @@ def switch_small_files(spark: SparkSession, path: str, compacted: str, target_mb
     """Put the files of a minor compaction in the place of the small files they came from.
 
     The small files are moved to a hidden folder inside the table (the returned path) and the new
-    files moved in; nothing is deleted, and large files are not touched. Moves are one by one, so
-    readers must wait until the switch is over.
+    files moved in; nothing is deleted, and large files are not touched. Small files written since the
+    compaction make the row counts differ, and then nothing is moved. Moves are one by one, so readers
+    and writers must wait until the switch is over.
     """
+    rows = spark.read.parquet(path).where(F.col("_metadata.file_size") < target_mb * 1024 * 1024).count()
+    if rows != spark.read.parquet(compacted).count():
+        raise RuntimeError(f"{path} has changed since it was compacted")
     hadoop = spark._jvm.org.apache.hadoop.fs
     files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     hidden = f"{path.rstrip('/')}/_replaced-{uuid.uuid4().hex}"
