@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strata.llm import blocks
+from strata.llm import blocks, metricjoin, packing, ring, setjoin, topk
 from strata.llm.frames import importable
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -34,3 +35,30 @@ def query(sql: str | None = None):
 @query()
 def op9_token_blocks(table) -> DataFrame:
     return blocks.checksums(blocks.token_files(table("documents"), WORD_BPE))
+
+
+@query()
+def op3_packing(table) -> DataFrame:
+    return packing.pack(table("documents"), WORD_BPE)
+
+
+@query()
+def op4_vector_links(table) -> DataFrame:
+    return metricjoin.linked(table("embeddings"))
+
+
+@query()
+def op6_ring_shards(table) -> DataFrame:
+    return ring.shard(table("documents"), 8).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op8_top_k(table) -> DataFrame:
+    return topk.search(table("embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op10_shingle_groups(table) -> DataFrame:
+    return setjoin.grouped(table("documents"))

@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-MEMORY = 250_000  # chunks and words each; a full memory is emptied, which costs time only
+MEMORY = 500_000  # chunks and words each; a full memory is emptied, which costs time only
 _LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
 _MARKED = re.compile("<\\|")
 
