@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SHINGLE = 5
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -103,8 +104,8 @@ def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, most: int = 4 << 20):
-    """Parts of a batch (doc_id, text) with about ``most`` bytes of text; one longer text is a part of its own."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch["text"]), 0).to_numpy()
+    """Parts of a batch with a column ``text`` with about ``most`` bytes of text; one longer text is a part of its own."""
+    lengths = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy()
     at, total = 0, 0
     for i, length in enumerate(lengths):
         if total and total + length > most:
