@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import blocks, metricjoin, packing, ring, setjoin, topk
+from strata.llm import blocks, html, lines, metricjoin, packing, ring, setjoin, topk, toxicity, unigram
 from strata.llm.frames import importable
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -62,3 +63,45 @@ def op8_top_k(table) -> DataFrame:
 @query()
 def op10_shingle_groups(table) -> DataFrame:
     return setjoin.grouped(table("documents"))
+
+
+# The rule on lines themselves, without hashes.
+OP1_SQL = """
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS nr FROM cut),
+keyed AS (SELECT doc_id, line, nr, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line),
+common AS (SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 20 GROUP BY key
+    HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.last_doc AS gone FROM keyed k LEFT JOIN common c USING (key))
+SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@query(OP1_SQL)
+def op1_line_dedup(table) -> DataFrame:
+    return lines.kept(table("documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+@query()
+def op2_toxicity(table) -> DataFrame:
+    docs = table("documents")
+    model = toxicity.fit(docs, table("labels"), ~held_out())
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query()
+def op5_main_text(table) -> DataFrame:
+    return html.extracted(table("pages"))
+
+
+@query()
+def op7_pieces(table) -> DataFrame:
+    return unigram.round_trips(table("documents"), PIECE_MODEL)
