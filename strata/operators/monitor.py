@@ -14,11 +14,9 @@ from strata.session import written
 
 # Minutes a submission may take, and the error text of one that took longer.
 SUBMIT_MINUTES = 5
-SUBMIT_TIMEOUT = "submission timed out: no job id within {minutes} minutes"
-
-# A key with more rows than this is ordered in ranges, not in one task.
-HOT_ROWS = 1_000_000
+SUBMIT_TIMEOUT = "still without a job after {minutes} minutes, given up"
 
+# Field names of a checkpoint document.
 CHECKPOINT_SCHEMA = (
     "struct<counts:struct<completed:bigint>,"
     "latest:struct<completed:struct<latest_ack_timestamp:bigint,state_size:bigint>>>"
@@ -39,33 +37,31 @@ def task_status(log: DataFrame, task: str = "task_id", seq: str = "seq") -> Data
 
 
 def previous_value(df: DataFrame, key: Sequence[str], seq: str, value: str, alias: str,
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``lag`` of ``value`` per key in ``seq`` order, also for keys that hold much of the table.
+                   parts: int | None = None) -> DataFrame:
+    """``lag`` of ``value`` per key in ``seq`` order; a key may hold any share of the rows.
 
-    Keys with more than ``hot_rows`` rows are found first. Without any, this is one window. Else each
-    hot key is cut into ranges of ``hot_rows`` sequence numbers, so no task sorts more than one range;
-    the first row of a range takes its value from the last row of the range before, and only these
-    last rows, one per range, are ordered per hot key. ``seq`` is unique within a key.
+    All rows are cut into ranges of (key, seq), so a hot key spreads over many tasks. The cut is written
+    once; each range looks back within itself, and the first row of a key in a range takes the value from
+    the key's last row in the ranges before. A key has at most as many such border rows as there are ranges.
+    ``seq`` has any orderable type, is unique within a key, and null comes first.
     """
-    hot = written(df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).drop("n"), "hot-keys")
-    if hot.isEmpty():
-        return df.withColumn(alias, F.lag(value).over(W.partitionBy(*key).orderBy(seq)))
-    same = [F.col(f"d.{name}").eqNullSafe(F.col(f"h.{name}")) for name in key]
-    tagged = df.alias("d").join(hot.withColumn("_hot", F.lit(True)).alias("h"), same, "left").select(
-        "d.*", F.when(F.col("_hot"), F.floor(F.col(seq) / hot_rows)).otherwise(F.lit(0).cast("bigint")).alias("_range"), "_hot")
-    rows = tagged.withColumn("_before", F.lag(F.struct(value)).over(W.partitionBy(*key, "_range").orderBy(seq)))
-    ends = tagged.where("_hot").groupBy(*key, "_range").agg(F.max_by(F.struct(value), seq).alias("_end"))
-    carried = ends.select(*key, "_range", F.lag("_end").over(W.partitionBy(*key).orderBy("_range")).alias("_carry"))
-    same = [F.col(f"r.{name}").eqNullSafe(F.col(f"c.{name}")) for name in key] + [F.col("r._range") == F.col("c._range")]
-    return rows.alias("r").join(carried.alias("c"), same, "left").select(
+    order = [*key, seq]
+    cut = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    rows = written(cut.withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = rows.withColumn("_before", F.lag(F.struct(value)).over(W.partitionBy("_range", *key).orderBy(seq)))
+    ends = rows.groupBy("_range", *key).agg(F.max(F.struct(seq, value)).alias("_end"))
+    carried = ends.select("_range", *key, F.lag(F.struct(f"_end.{value}")).over(
+        W.partitionBy(*key).orderBy("_range")).alias("_carry"))
+    same = [F.col(f"r.{name}").eqNullSafe(F.col(f"c.{name}")) for name in ("_range", *key)]
+    return inside.alias("r").join(carried.alias("c"), same, "left").select(
         *[F.col(f"r.{name}") for name in df.columns], F.coalesce("_before", "_carry")[value].alias(alias))
 
 
-def invalid_transitions(log: DataFrame, task: str = "task_id", seq: str = "seq", hot_rows: int = HOT_ROWS) -> DataFrame:
+def invalid_transitions(log: DataFrame, task: str = "task_id", seq: str = "seq", parts: int | None = None) -> DataFrame:
     """State changes of a task that its life cycle does not allow; staying in a state is no change."""
     states = log.where(F.col("job_state").isNotNull()).select(
         task, seq, "at_time", map_job_state("job_state").alias("to_status"))
-    moves = previous_value(states, [task], seq, "to_status", "from_status", hot_rows)
+    moves = previous_value(states, [task], seq, "to_status", "from_status", parts)
     return moves.where(F.col("from_status").isNotNull() & (F.col("from_status") != F.col("to_status"))).where(
         ~transition_allowed(F.col("from_status"), F.col("to_status")))
 

@@ -6,15 +6,12 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strata.operators.quality import search
-from strata.sources.export import EXPORT_ROWS
 
-# Row cap of an ad-hoc query, largest history page, and the catalog statements
-# that may run besides queries.
-ADHOC_ROWS = 1000
-LARGEST_PAGE = 100
+# The catalog statements that may run besides queries.
 CATALOG_STATEMENTS = ("SHOW", "DESCRIBE", "DESC", "EXPLAIN")
 
 
@@ -33,35 +30,36 @@ def run_query(spark: SparkSession, sql: str, args: dict | None = None, **tables:
 
 
 @dataclass
-class Capped:
-    """At most ``cap`` rows of a result."""
+class Result:
+    """Rows of a query, all of them or the first ``cap`` with the flag ``truncated`` on each."""
 
     source: DataFrame
-    cap: int
+    cap: int | None = None
 
     @property
     def rows(self) -> DataFrame:
-        return self.source.limit(self.cap)
-
-    def truncated(self) -> bool:
-        """Whether the result has more rows; reads one row beyond the cap, no more."""
-        return self.source.limit(self.cap + 1).count() > self.cap
+        """All rows, or the first ``cap`` and a column ``truncated``: one run of the query gives both."""
+        return self.source if self.cap is None else capped(self.source, self.cap)
 
 
 def capped(df: DataFrame, n: int) -> DataFrame:
-    """First ``n`` rows with a column ``truncated`` that tells whether there were more."""
-    more = df.limit(n + 1).agg((F.count(F.lit(1)) > n).alias("truncated")).scalar()
-    return df.limit(n).withColumn("truncated", more)
-
+    """First ``n`` rows with a column ``truncated`` that tells whether there were more.
 
-def row_cap(asked: int | None, ceiling: int) -> int:
-    return max(1, min(ceiling if asked is None else asked, ceiling))
+    The query runs once, up to one row beyond the cap; those at most n + 1 rows decide the flag.
+    """
+    if n < 0:
+        raise ValueError("a row cap cannot be negative")
+    first = df.limit(n + 1).withColumn("_place", F.monotonically_increasing_id())
+    last = F.max("_place").over(W.partitionBy())
+    count = F.count(F.lit(1)).over(W.partitionBy())
+    return (first.withColumn("truncated", count > n).withColumn("_last", last)
+            .where(~F.col("truncated") | (F.col("_place") < F.col("_last"))).drop("_place", "_last"))
 
 
 def adhoc_query(spark: SparkSession, sql: str, max_rows: int | None = None, args: dict | None = None,
-                ceiling: int = ADHOC_ROWS, **tables: DataFrame) -> Capped:
-    """A user's query with the row cap of the editor."""
-    return Capped(run_query(spark, sql, args, **tables), row_cap(max_rows, ceiling))
+                **tables: DataFrame) -> Result:
+    """A user's query; without ``max_rows`` its whole result."""
+    return Result(run_query(spark, sql, args, **tables), max_rows)
 
 
 @dataclass(frozen=True)
@@ -72,21 +70,29 @@ class Report:
     params: tuple[str, ...] = ()
 
 
-def report_data(spark: SparkSession, report: Report, args: dict | None = None, **tables: DataFrame) -> Capped:
+def report_data(spark: SparkSession, report: Report, args: dict | None = None, max_rows: int | None = None,
+                **tables: DataFrame) -> Result:
     """Rows of a published report with its filter values bound as named parameters."""
     if not report.published:
         raise ValueError(f"report {report.report_id} is not published")
     unknown = set(args or {}) - set(report.params)
     if unknown:
         raise ValueError(f"report {report.report_id} has no parameter {sorted(unknown)}")
-    return adhoc_query(spark, report.sql, EXPORT_ROWS, args, EXPORT_ROWS, **tables)
+    return adhoc_query(spark, report.sql, max_rows, args, **tables)
 
 
-def history_page(history: DataFrame, user, page: int = 0, size: int = 20) -> DataFrame:
-    """One page of a user's queries, newest first; tasks keep only the rows up to the end of the page."""
-    size = max(1, min(size, LARGEST_PAGE))
-    own = history.where(F.col("user_id") == user).orderBy(F.desc("created_at"), F.desc("id"))
-    return own.offset(max(0, page) * size).limit(size)
+def history_page(history: DataFrame, user, page: int = 0, size: int = 20, after: tuple | None = None) -> DataFrame:
+    """One page of a user's queries, newest first.
+
+    ``after`` is the (created_at, id) of the last row seen: a deep page then costs as little as the first.
+    """
+    if size < 1 or page < 0:
+        raise ValueError("a page needs a size of 1 or more and a number of 0 or more")
+    own = history.where(F.col("user_id") == user)
+    if after is not None:
+        time, id_ = (F.lit(value) for value in after)
+        own = own.where((F.col("created_at") < time) | ((F.col("created_at") == time) & (F.col("id") < id_)))
+    return own.orderBy(F.desc("created_at"), F.desc("id")).offset(page * size).limit(size)
 
 
 def history_by_status(history: DataFrame, status: str) -> DataFrame:

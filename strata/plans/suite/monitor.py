@@ -67,7 +67,7 @@ def invalid_transitions(d: Data):
 @register(INVALID, ("tasklog",))
 def invalid_transitions_split(d: Data):
     """Tasks with more polls than an even share of these tables count as hot and are ordered in ranges."""
-    return op.invalid_transitions(d.fixture("tasklog"), hot_rows=64)
+    return op.invalid_transitions(d.fixture("tasklog"), parts=64)
 
 
 @register(f"""

@@ -59,7 +59,7 @@ for _name in EDITOR:
     _register_editor(_name)
 
 
-@register("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 1000")
+@register("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey DESC")
 def adhoc_query(d: Data):
     sql = "SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} ORDER BY o_orderkey DESC"
     return op.adhoc_query(d.spark, sql, orders=d.table("orders")).rows
@@ -72,14 +72,14 @@ def capped(d: Data):
     return op.capped(d.table("events").select("event_id", "value").orderBy("value", "event_id", ascending=[False, True]), 500)
 
 
-@register(_twin(DAILY % "") + " ORDER BY dt LIMIT 50000")
+@register(_twin(DAILY % "") + " ORDER BY dt")
 def report_data(d: Data):
     report = op.Report(1, DAILY % "" + " ORDER BY dt", published=True)
     return op.report_data(d.spark, report, **d.tables("lineitem", "orders")).rows
 
 
 @register(_twin(DAILY % "WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1999-01-01 00:00:00'")
-          + " ORDER BY dt LIMIT 50000")
+          + " ORDER BY dt")
 def report_data_params(d: Data):
     report = op.Report(2, DAILY % "WHERE o_orderdate >= :start AND o_orderdate < :stop" + " ORDER BY dt", True, ("start", "stop"))
     return op.report_data(d.spark, report, {"start": "1996-01-01 00:00:00", "stop": "1999-01-01 00:00:00"},

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Byte order mark in front of the header, row cap of an export.
+# Fixed value: byte order mark in front of the header.
 BYTE_ORDER_MARK = "\ufeff"
-EXPORT_ROWS = 50_000
 
 
 def _quoted(value: Column) -> Column:
@@ -16,7 +15,7 @@ def _quoted(value: Column) -> Column:
                     F.lit('"'))
 
 
-def csv_lines(df: DataFrame, max_rows: int | None = EXPORT_ROWS) -> DataFrame:
+def csv_lines(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Column ``line``: every field quoted, quotes doubled, null as an empty field."""
     capped = df if max_rows is None else df.limit(max_rows)
     line = F.concat_ws(",", *[_quoted(F.col(f"`{name}`")) for name in df.columns])
@@ -27,11 +26,17 @@ def csv_header(names: list[str]) -> str:
     return BYTE_ORDER_MARK + ",".join('"' + name.replace('"', '""') + '"' for name in names)
 
 
-def export_csv(df: DataFrame, path: str, max_rows: int = EXPORT_ROWS) -> None:
-    """One CSV file with header. The row cap is the bound that lets a single task write it."""
-    header = df.sparkSession.createDataFrame([(csv_header(df.columns),)], "line string")
-    lines = header.withColumn("_part", F.lit(0)).union(csv_lines(df, max_rows).withColumn("_part", F.lit(1)))
-    lines.coalesce(1).sortWithinPartitions("_part").select("line").write.mode("overwrite").text(path)
+def export_csv(df: DataFrame, path: str, max_rows: int | None = None) -> None:
+    """CSV files with a header each, written where the rows are; a row cap is the caller's choice.
+
+    A sorted result is written as sorted parts whose names are in order.
+    """
+    header = csv_header(df.columns)
+    lines = csv_lines(df, max_rows).select(F.col("line").alias(header))
+    # Quotes and commas are in the text already, so the writer must add none.
+    lines.write.mode("overwrite").option("header", True).option("quote", "\u0000").option("sep", "\u0001").option(
+        "escapeQuotes", False).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def json_safe(df: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from conftest import rows_of
 
 from strata.functions.states import TRANSITIONS, map_job_state, transition_allowed
@@ -26,22 +27,27 @@ def test_transition_table(make):
     assert allowed == {(a, b) for a, targets in TRANSITIONS.items() for b in targets}
 
 
-def test_previous_value_equals_plain_order_whatever_counts_as_hot(make):
+@pytest.mark.parametrize("kind,of", [
+    ("bigint", lambda seq: seq), ("bigint", lambda seq: seq * 10 ** 7), ("string", lambda seq: f"{seq:04d}"),
+    ("timestamp_ntz", lambda seq: T + dt.timedelta(seconds=seq)), ("bigint", lambda seq: seq or None)])
+def test_previous_value_equals_plain_order_for_any_sequence(make, kind, of):
     rng = random.Random(5)
-    rows = [(rng.choice([1, 1, 1, None, 2, 3]), seq, rng.choice([None, "a", "b"])) for seq in rng.sample(range(500), 200)]
+    seqs = {key: rng.sample(range(500), n) for key, n in ((1, 150), (None, 30), (2, 15), (3, 1))}
+    seqs[1][0] = 0
+    rows = [(key, seq, rng.choice([None, "a", "b"])) for key, own in seqs.items() for seq in own]
     last, expected = {}, []
     for key, seq, value in sorted(rows, key=lambda row: row[1]):
-        expected.append((key, seq, value, last.get(key)))
+        expected.append((key, of(seq), value, last.get(key)))
         last[key] = value
-    df = make(rows, "k int, seq bigint, v string")
-    for hot_rows in (1, 7, 40, 10_000):
-        assert rows_of(op.previous_value(df, ["k"], "seq", "v", "p", hot_rows)) == sorted(expected, key=repr)
+    df = make([(key, of(seq), value) for key, seq, value in rows], f"k int, seq {kind}, v string")
+    for parts in (1, 3, 40, None):
+        assert rows_of(op.previous_value(df, ["k"], "seq", "v", "p", parts)) == sorted(expected, key=repr)
 
 
 def test_invalid_moves(make):
     log = make([(1, 1, "CREATED", 0, T), (1, 2, "RUNNING", 0, T), (1, 3, "RESTARTING", 0, T), (1, 4, "FINISHED", 0, T),
                 (1, 5, "RUNNING", 0, T), (2, 1, "CREATED", 0, T), (2, 2, None, 0, T), (2, 3, "FINISHED", 0, T)], LOG)
-    assert rows_of(op.invalid_transitions(log, hot_rows=2), "task_id", "seq", "from_status", "to_status") == [
+    assert rows_of(op.invalid_transitions(log, parts=6), "task_id", "seq", "from_status", "to_status") == [
         (1, 5, "finished", "running"), (2, 3, "submitting", "finished")]
 
 

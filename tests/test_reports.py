@@ -32,10 +32,11 @@ def test_catalog_statements(spark, t):
 
 
 def test_row_caps(spark, t):
-    assert op.adhoc_query(spark, "SELECT * FROM {t}", 5, t=t).rows.count() == 5
-    assert op.adhoc_query(spark, "SELECT * FROM {t}", 5, t=t).truncated()
-    assert not op.adhoc_query(spark, "SELECT * FROM {t}", 20, t=t).truncated()
-    assert [op.row_cap(asked, 1000) for asked in (None, 0, -3, 7, 5000)] == [1000, 1, 1, 7, 1000]
+    assert op.adhoc_query(spark, "SELECT * FROM {t}", t=t).rows.count() == 20
+    assert op.adhoc_query(spark, "SELECT * FROM {t}", t=t).rows.columns == ["id", "k"]
+    assert [row.truncated for row in op.adhoc_query(spark, "SELECT * FROM {t}", 5, t=t).rows.collect()] == [True] * 5
+    assert [row.truncated for row in op.adhoc_query(spark, "SELECT * FROM {t}", 20, t=t).rows.collect()] == [False] * 20
+    assert op.capped(t, 0).count() == 0 and op.capped(t.limit(0), 3).count() == 0
     assert rows_of(op.capped(t.orderBy("id"), 2)) == [(0, 0, True), (1, 1, True)]
     assert {row.truncated for row in op.capped(t, 20).collect()} == {False}
 
@@ -59,4 +60,8 @@ def test_pages(make):
     hist = make([(i, 1 + i % 2, i // 4) for i in range(12)], "id int, user_id int, created_at int")
     assert [row.id for row in op.history_page(hist, 1, 0, 4).collect()] == [10, 8, 6, 4]
     assert [row.id for row in op.history_page(hist, 1, 1, 4).collect()] == [2, 0]
-    assert op.history_page(hist, 1, -5, 0).count() == 1 and op.history_page(hist, 1, 9, 500).count() == 0
+    assert op.history_page(hist, 1, 0, 500).count() == 6 and op.history_page(hist, 1, 9, 500).count() == 0
+    assert [row.id for row in op.history_page(hist, 1, size=3, after=(1, 6)).collect()] == [4, 2, 0]
+    for page, size in ((-1, 5), (0, 0)):
+        with pytest.raises(ValueError):
+            op.history_page(hist, 1, page, size)
