@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -20,46 +19,62 @@ RETAIN_LAST = 10
 
 
 def _sized_session(spark: SparkSession, target_mb: int) -> SparkSession:
-    """A session of its own, so that the size settings do not leak into the caller's queries."""
+    """A session of its own, so that the settings do not leak into the caller's queries.
+
+    Partition values stay the text of their folder, so ``007`` comes out as ``007``.
+    """
     sized = spark.newSession()
     size = str(target_mb * 1024 * 1024)
     sized.conf.set("spark.sql.files.maxPartitionBytes", size)
     sized.conf.set("spark.sql.files.openCostInBytes", "0")
     sized.conf.set("spark.sql.files.minPartitionNum", "1")
+    sized.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
     sized.conf.set("spark.sql.adaptive.enabled", "true")
     sized.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
     return sized
 
 
+def _content(rows: DataFrame) -> tuple[int, int | None]:
+    """Row count and the sum of a hash over all values of each row, whatever the order of rows."""
+    maps = {field.name for field in rows.schema.fields if "map<" in field.dataType.simpleString()}
+    values = [F.to_json(F.struct(F.col(f"`{name}`"))) if name in maps else F.col(f"`{name}`") for name in sorted(rows.columns)]
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*values).cast("decimal(38,0)")).alias("h")).first()
+    return found.n, found.h
+
+
 def compact(spark: SparkSession, path: str, output: str, strategy: str = "minor", target_mb: int = 128,
             partition_by: Sequence[str] = ()) -> dict[str, int]:
-    """Rewrite small files (minor) or all files (full) of a Parquet table into ``output``.
-
-    The input is only read. A table without partitions needs no shuffle: the scan itself packs small
-    files into tasks of the target size and splits large ones. With partitions the rows are rebalanced
-    by partition, where the adaptive planner joins small pieces and splits a large partition.
-    Row counts of both sides are compared before the new files may be used.
+    """Rewrite all partitions of a Parquet table (full) or those with small files (minor) into ``output``.
+
+    The input is only read, with the columns of all its files. A partition is rewritten whole, so that a
+    reader switches from the old folder to the new one at once; a table without partitions is one partition.
+    Without partitions no shuffle is needed: the scan itself packs small files into tasks of the target
+    size and splits large ones. With partitions the rows are rebalanced by partition, where the adaptive
+    planner joins small pieces and splits a large partition. Columns, row counts and contents of both
+    sides are compared before the new files may be used.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy}")
     sized = _sized_session(spark, target_mb)
-    rows = sized.read.parquet(path)
+    whole = rows = sized.read.option("mergeSchema", True).parquet(path)
     if strategy == "minor":
-        rows = rows.where(F.col("_metadata.file_size") < target_mb * 1024 * 1024)
+        small = whole.where(F.col("_metadata.file_size") < target_mb * 1024 * 1024)
+        rows = _in_same_partition(whole, small.select(*partition_by).distinct(), partition_by) if partition_by else (
+            whole.limit(0) if small.isEmpty() else whole)
     packed = rows.hint("rebalance", *partition_by) if partition_by else rows
     packed.write.mode("errorifexists").partitionBy(*partition_by).parquet(output)
-    before, after = rows.count(), spark.read.schema(rows.schema).parquet(output).count()
+    new = sized.read.option("mergeSchema", True).parquet(output) if partition_by else sized.read.schema(rows.schema).parquet(output)
+    before, after = _content(rows), _content(new.select(*[f"`{name}`" for name in rows.columns]) if new.columns else rows.limit(0))
     if before != after:
-        raise RuntimeError(f"compaction of {path} wrote {after} of {before} rows")
-    return {"rows": after, "files_before": _file_count(sized, path, strategy, target_mb),
+        raise RuntimeError(f"compaction of {path} wrote other rows than it read: {before[0]} and {after[0]}")
+    return {"rows": after[0], "files_before": rows.select("_metadata.file_path").distinct().count(),
             "files_after": list_files(spark, output, "*.parquet").count()}
 
 
-def _file_count(spark: SparkSession, path: str, strategy: str, target_mb: int) -> int:
-    files = list_files(spark, path, "*.parquet")
-    if strategy == "minor":
-        files = files.where(F.col("length") < target_mb * 1024 * 1024)
-    return files.count()
+def _in_same_partition(rows: DataFrame, chosen: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    other = chosen.toDF(*[f"_{name}" for name in partition_by])
+    same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in partition_by]
+    return rows.join(other, same, "left_semi")
 
 
 def switch_table(spark: SparkSession, table: str, location: str) -> None:
@@ -68,42 +83,21 @@ def switch_table(spark: SparkSession, table: str, location: str) -> None:
     spark.catalog.refreshTable(table)
 
 
-def switch_small_files(spark: SparkSession, path: str, compacted: str, target_mb: int = 128) -> str:
-    """Put the files of a minor compaction in the place of the small files they came from.
+def switch_partitions(spark: SparkSession, table: str, compacted: str, partition_by: Sequence[str]) -> int:
+    """Point the rewritten partitions of a catalog table at their new folders; returns how many.
 
-    The small files are moved to a hidden folder inside the table (the returned path) and the new
-    files moved in; nothing is deleted, and large files are not touched. Small files written since the
-    compaction make the row counts differ, and then nothing is moved. Moves are one by one, so readers
-    and writers must wait until the switch is over.
+    Each switch is one catalog change, so a reader sees a partition either old or new. The old folders
+    stay for a later cleanup.
     """
-    rows = spark.read.parquet(path).where(F.col("_metadata.file_size") < target_mb * 1024 * 1024).count()
-    if rows != spark.read.parquet(compacted).count():
-        raise RuntimeError(f"{path} has changed since it was compacted")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    hidden = f"{path.rstrip('/')}/_replaced-{uuid.uuid4().hex}"
-    root = files.makeQualified(hadoop.Path(path)).toString().rstrip("/")
-    source = files.makeQualified(hadoop.Path(compacted)).toString().rstrip("/")
-    small = list_files(spark, path, "*.parquet").where(F.col("length") < target_mb * 1024 * 1024)
-
-    def move(origin: str, base: str, target: str) -> None:
-        destination = hadoop.Path(target + _below(origin, base))
-        files.mkdirs(destination.getParent())
-        if not files.rename(hadoop.Path(origin), destination):
-            raise RuntimeError(f"could not move {origin}")
-
-    old = [row.path for row in small.toLocalIterator()]
-    new = [row.path for row in list_files(spark, compacted, "*.parquet").toLocalIterator()]
-    for origin in old:
-        move(origin, root, hidden)
-    for origin in new:
-        move(origin, source, path.rstrip("/"))
-    return hidden
-
-
-def _below(file: str, base: str) -> str:
-    strip = lambda text: text.split(":", 1)[-1].replace("//", "/")
-    return strip(file)[len(strip(base)):]
+    sized = _sized_session(spark, 128)
+    parts = sized.read.parquet(compacted).select(*partition_by).distinct().collect()  # one row per rewritten partition
+    for row in parts:
+        spec = {name: "__HIVE_DEFAULT_PARTITION__" if row[name] is None else row[name] for name in partition_by}
+        where = ", ".join(f"`{name}` = " + ("NULL" if row[name] is None else "'" + spec[name].replace("'", "\\'") + "'") for name in spec)
+        folder = "/".join(f"{name}={value}" for name, value in spec.items())
+        spark.sql(f"ALTER TABLE {table} PARTITION ({where}) SET LOCATION '{compacted.rstrip('/')}/{folder}'")
+    spark.catalog.refreshTable(table)
+    return len(parts)
 
 
 def snapshots_to_expire(snapshots: DataFrame, retain_last: int = RETAIN_LAST, now=None,
@@ -125,8 +119,14 @@ def snapshots_to_expire(snapshots: DataFrame, retain_last: int = RETAIN_LAST, no
     return expired.select(*snapshots.columns)
 
 
-def orphan_files(listing: DataFrame, referenced: DataFrame, path: str = "path") -> DataFrame:
-    """Listed files that nothing refers to. This only reports; see ``delete_files``."""
+def orphan_files(listing: DataFrame, referenced: DataFrame, path: str = "path", before=None,
+                 modified: str = "modificationTime") -> DataFrame:
+    """Listed files that nothing refers to. This only reports; see ``delete_files``.
+
+    With ``before`` only files last modified earlier count, so those of a running job are left alone.
+    """
+    if before is not None:
+        listing = listing.where(F.col(modified) < F.lit(before).cast("timestamp"))
     return listing.join(referenced.select(path), path, "left_anti")
 
 

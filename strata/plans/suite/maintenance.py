@@ -1,5 +1,7 @@
 """Table upkeep over the given tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strata.functions.catalog import file_health as health_of
@@ -27,11 +29,28 @@ def compact_full(d: Data):
 
 @register("SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate, l_returnflag FROM lineitem")
 def compact_minor(d: Data):
-    """Small files of a partitioned table are rewritten and put in the place of the old ones."""
+    """Partitions with small files are rewritten, and the table is pointed at their new folders."""
     path, output = _table_of_small_files(d, ["l_returnflag"]), fresh_path(d.spark, "compacted")
-    op.compact(d.spark, path, output, "minor", partition_by=["l_returnflag"])
-    op.switch_small_files(d.spark, path, output)
-    return d.spark.read.parquet(path)
+    name = f"small_files_{uuid.uuid4().hex}"
+    d.spark.read.parquet(path).write.partitionBy("l_returnflag").option("path", f"{path}-table").saveAsTable(name)
+    op.compact(d.spark, f"{path}-table", output, "minor", partition_by=["l_returnflag"])
+    op.switch_partitions(d.spark, name, output, ["l_returnflag"])
+    return d.spark.table(name)
+
+
+@register("""
+    SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 2 THEN l_quantity END AS l_quantity,
+           lpad(CAST(l_linenumber AS VARCHAR), 1 + CAST(l_linenumber % 3 AS INTEGER), '0') AS code
+    FROM lineitem""")
+def compact_evolved(d: Data):
+    """A table whose later files have one more column, with partition values such as 07 and 007."""
+    path, output = fresh_path(d.spark, "evolved"), fresh_path(d.spark, "compacted")
+    code = F.lpad(F.col("l_linenumber").cast("string"), (F.col("l_linenumber") % 3 + 1).cast("int"), "0").alias("code")
+    rows = d.table("lineitem")
+    rows.where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", code).write.partitionBy("code").parquet(path)
+    rows.where("l_linenumber > 2").select("l_orderkey", "l_linenumber", "l_quantity", code).write.mode("append").partitionBy("code").parquet(path)
+    op.compact(d.spark, path, output, "full", partition_by=["code"])
+    return d.spark.read.schema("l_orderkey bigint, l_linenumber int, l_quantity double, code string").parquet(output)
 
 
 @register("SELECT * FROM snap QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY snapshot_id DESC) > 10", ("snap",))

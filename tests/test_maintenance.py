@@ -20,28 +20,37 @@ def test_full_compaction_joins_small_files(spark, tmp_path):
     assert rows_of(spark.read.parquet(output)) == rows_of(spark.range(1000)) and len(parquet_files(source)) == 12
 
 
-def test_minor_compaction_leaves_large_files_alone(spark, tmp_path):
+def test_minor_compaction_rewrites_partitions_with_small_files(spark, tmp_path):
     path, output = str(tmp_path / "t"), str(tmp_path / "out")
-    spark.range(400_000).selectExpr("id", "uuid() AS u", "id % 2 AS part").coalesce(1).write.partitionBy("part").parquet(path)
-    large = parquet_files(path)
-    spark.range(400_000, 400_100).selectExpr("id", "uuid() AS u", "id % 2 AS part").repartition(5).write.mode("append").partitionBy("part").parquet(path)
-    expected = rows_of(spark.read.parquet(path), "id", "u", "part")
+    rows = spark.range(200_000).selectExpr("id", "uuid() AS u", "id % 3 AS part")
+    rows.coalesce(1).write.option("path", path).partitionBy("part").saveAsTable("minor_check")
+    spark.range(200_000, 200_100).selectExpr("id", "uuid() AS u", "1 AS part").repartition(5).write.mode("append").option(
+        "path", path).partitionBy("part").saveAsTable("minor_check")
+    expected = rows_of(spark.table("minor_check"), "id", "u", "part")
+    kept = {f for f in parquet_files(path) if "part=1" not in f}
     summary = op.compact(spark, path, output, "minor", target_mb=1, partition_by=["part"])
-    assert summary["rows"] == 100 and summary["files_before"] == 10 and summary["files_after"] == 2
-    hidden = op.switch_small_files(spark, path, output, target_mb=1)
-    assert set(large) <= set(parquet_files(path)) and len(parquet_files(path)) == 4
-    assert rows_of(spark.read.parquet(path), "id", "u", "part") == expected
-    assert len([n for _, _, names in os.walk(hidden) for n in names if n.endswith(".parquet")]) == 10
+    assert summary["rows"] < 200_100 and summary["files_before"] == 6
+    assert op.switch_partitions(spark, "minor_check", output, ["part"]) == 1
+    assert rows_of(spark.table("minor_check"), "id", "u", "part") == expected
+    files = {"/" + f.split(":", 1)[-1].lstrip("/") for f in spark.table("minor_check").inputFiles()}
+    assert kept <= files and all(f in kept or "/out/" in f for f in files)
 
 
-def test_no_switch_after_new_files_came(spark, tmp_path):
+def test_compaction_keeps_new_columns_and_partition_values(spark, make, tmp_path):
     path, output = str(tmp_path / "t"), str(tmp_path / "out")
-    spark.range(20).repartition(4).write.parquet(path)
-    op.compact(spark, path, output, "minor")
-    spark.range(20, 25).coalesce(1).write.mode("append").parquet(path)
-    with pytest.raises(RuntimeError):
-        op.switch_small_files(spark, path, output)
-    assert spark.read.parquet(path).count() == 25 and len(parquet_files(path)) == 5
+    make([(1, "007"), (2, "7")], "id int, code string").write.partitionBy("code").parquet(path)
+    make([(3, 5, "012")], "id int, v int, code string").write.mode("append").partitionBy("code").parquet(path)
+    assert op.compact(spark, path, output, "full", partition_by=["code"])["rows"] == 3
+    got = spark.read.schema("id int, v int, code string").parquet(output)
+    assert rows_of(got) == [(1, None, "007"), (2, None, "7"), (3, 5, "012")]
+
+
+def test_orphans_of_a_running_job_are_left_alone(make):
+    listing = make([("a", "2024-01-01 00:00:00"), ("b", "2024-01-03 00:00:00"), ("c", "2024-01-01 00:00:00")], "path string, t string")
+    listing = listing.selectExpr("path", "CAST(t AS timestamp) AS modificationTime")
+    used = make([("c",)], "path string")
+    assert rows_of(op.orphan_files(listing, used, before="2024-01-02 00:00:00"), "path") == [("a",)]
+    assert rows_of(op.orphan_files(listing, used), "path") == [("a",), ("b",)]
 
 
 def test_switch_of_a_catalog_table(spark, tmp_path):
