@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strata.functions.catalog import infer_layer
@@ -22,6 +23,7 @@ TABLE_OPTIONS = {
 # Fixed value: type of a schema field that names none.
 DEFAULT_TYPE = "STRING"
 
+# Field names of a schema document.
 FIELD_SCHEMA = "array<struct<name:string,type:string,comment:string,nullable:boolean,default:string>>"
 
 
@@ -30,19 +32,38 @@ def stale_tables(current: DataFrame, incoming: DataFrame, key: Sequence[str] = T
     return current.join(incoming.select(*key), list(key), "left_anti")
 
 
-def sync_catalog(current: DataFrame, incoming: DataFrame, key: Sequence[str] = TABLE_KEY) -> DataFrame:
+def stale_columns(columns: DataFrame, stale: DataFrame, table_id: str = "table_id") -> DataFrame:
+    """Columns that go because their table goes; ``stale`` is what ``stale_tables`` gives."""
+    return columns.join(stale.select(F.col("id").alias(table_id)), table_id, "left_semi")
+
+
+def _blank(name: str) -> Column:
+    return F.trim(F.coalesce(name, F.lit(""))) == ""
+
+
+def sync_catalog(current: DataFrame, incoming: DataFrame, key: Sequence[str] = TABLE_KEY,
+                 texts: Sequence[str] = (), cleared: Sequence[str] = ()) -> DataFrame:
     """What a catalog sync does to each table: insert, update or delete.
 
     Incoming values win where present, the layer always follows the database name, and a known
-    table keeps its id.
+    table keeps its id. Known ``texts`` (such as a description) stay unless they are blank. ``cleared``
+    values (such as the latest snapshot) are those of the source even where it has none.
     """
     values = [name for name in current.columns if name not in {*key, "id", "layer"}]
     c = current.select(*key, F.struct("id", *values).alias("c"))
     i = incoming.select(*key, F.struct("id", *values).alias("i"))
     op = F.when(F.col("c").isNull(), "insert").when(F.col("i").isNull(), "delete").otherwise("update")
+
+    def value(name: str) -> Column:
+        if name in texts:
+            return F.when(_blank(f"c.{name}"), F.coalesce(f"i.{name}", f"c.{name}")).otherwise(F.col(f"c.{name}"))
+        if name in cleared:
+            return F.when(F.col("i").isNull(), F.col(f"c.{name}")).otherwise(F.col(f"i.{name}"))
+        return F.coalesce(f"i.{name}", f"c.{name}")
+
     return c.join(i, list(key), "full_outer").select(
         op.alias("op"), F.coalesce("c.id", "i.id").alias("id"), infer_layer("db").alias("layer"), *key,
-        *[F.coalesce(f"i.{name}", f"c.{name}").alias(name) for name in values])
+        *[value(name).alias(name) for name in values])
 
 
 def apply_sync(synced: DataFrame) -> DataFrame:
@@ -55,6 +76,7 @@ def merge_columns(current: DataFrame, incoming: DataFrame, key: Sequence[str] =
     """Incoming columns replace the known ones; a blank comment falls back to the known one.
 
     ``kept`` columns (such as the source column) always come from the known row when there is one.
+    A table without any incoming column (its document could not be read) keeps its own.
     """
     c = current.select(*key, F.struct(comment, *kept).alias("c"))
     fallback = F.when(F.trim(F.coalesce(comment, F.lit(""))) != "", F.col(comment)).otherwise(
@@ -67,7 +89,10 @@ def merge_columns(current: DataFrame, incoming: DataFrame, key: Sequence[str] =
             chosen.append(F.when(F.col("c").isNotNull(), F.col(f"c.{name}")).otherwise(F.col(name)).alias(name))
         else:
             chosen.append(F.col(name))
-    return incoming.join(c, list(key), "left").select(*chosen)
+    table = list(key[:-1])
+    unread = current.join(incoming.select(*table).distinct(), table, "left_anti")
+    return incoming.join(c, list(key), "left").select(*chosen).unionByName(
+        unread.select(*[name for name in incoming.columns if name in current.columns]), allowMissingColumns=True)
 
 
 def parse_schema_json(df: DataFrame, json_col: str, pk_col: str | None = None) -> DataFrame:
@@ -144,12 +169,13 @@ def search_tables(tables: DataFrame, layer: str | None = None, db: str | None =
 def schema_diff(before: DataFrame, after: DataFrame, key: str = "table_id") -> DataFrame:
     """Added, dropped, renamed and retyped columns between two versions of many schemas.
 
-    A dropped and an added column at the same position with the same type are one rename.
+    One dropped and one added column at the same known position with the same type are one rename; where
+    several compete, the first of each by name, and the others stay what they are.
     """
     b = before.select(key, "name", F.struct("type", "sort_order").alias("b"))
     a = after.select(key, "name", F.struct("type", "sort_order").alias("a"))
     both = b.join(a, [key, "name"], "full_outer")
-    changed = both.where(F.col("b").isNull() | F.col("a").isNull() | (F.col("a.type") != F.col("b.type")))
+    changed = both.where(F.col("b").isNull() | F.col("a").isNull() | ~F.col("a.type").eqNullSafe(F.col("b.type")))
     altered = F.col("b").isNotNull() & F.col("a").isNotNull()
     # Drops and adds meet by position and type; a retyped column stays a group of its own.
     placed = changed.select(
@@ -159,7 +185,10 @@ def schema_diff(before: DataFrame, after: DataFrame, key: str = "table_id") -> D
         F.when(altered, F.col("b.type")).alias("type_before"), F.when(altered, F.col("a.type")).alias("type_after"),
         F.when(F.col("a").isNull(), F.col("name")).alias("dropped"),
         F.when(F.col("b").isNull(), F.col("name")).alias("added"))
-    pairs = placed.groupBy(key, "sort_order", "type", "altered").agg(
+    place = W.partitionBy(key, "sort_order", "type", "altered", F.col("dropped").isNull()).orderBy("dropped", "added")
+    alone = F.col("sort_order").isNull() | (F.row_number().over(place) > 1)
+    placed = placed.withColumn("alone", F.when(alone, F.coalesce("dropped", "added")))
+    pairs = placed.groupBy(key, "sort_order", "type", "altered", "alone").agg(
         *[F.max(name).alias(name) for name in ("type_before", "type_after", "dropped", "added")])
     change = (
         F.when(F.col("altered").isNotNull(), "alter_type")

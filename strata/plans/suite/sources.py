@@ -1,5 +1,7 @@
 """Sources and sinks over the given tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strata.plans.registry import Data, register
@@ -22,14 +24,14 @@ DECLARED = {
     SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS l_partkey, l_linenumber, CAST(l_quantity AS VARCHAR) AS l_quantity,
            CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS DOUBLE) AS l_extendedprice,
            CAST(CAST(l_discount AS FLOAT) AS DOUBLE) AS l_discount, l_tax, l_returnflag,
-           date_trunc('millisecond', l_shipdate) AS l_shipdate
+           date_trunc('millisecond', l_shipdate) AS l_shipdate, l_suppkey, l_linestatus
     FROM lineitem""")
 def conform_types(d: Data):
     return conform(d.table("lineitem"), DECLARED).withColumns({
         "l_extendedprice": F.col("l_extendedprice").cast("double"), "l_discount": F.col("l_discount").cast("double")})
 
 
-@register("SELECT event_id, date_trunc('millisecond', ts) AS ts FROM events")
+@register("SELECT * REPLACE (date_trunc('millisecond', ts) AS ts) FROM events")
 def conform_timestamps(d: Data):
     return conform(d.table("events"), {"event_id": "BIGINT", "ts": "TIMESTAMP(6)"})
 
@@ -85,6 +87,22 @@ def sync_tables(d: Data):
     return result
 
 
+@register("""
+    SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS VARCHAR) AS l_quantity,
+           CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS DOUBLE) AS l_extendedprice,
+           CAST(CAST(l_discount AS FLOAT) AS DOUBLE) AS l_discount, l_tax, l_returnflag, l_linestatus,
+           date_trunc('millisecond', l_shipdate) AS l_shipdate
+    FROM lineitem""")
+def sync_tables_rows(d: Data):
+    """The rows of a synced table after the same table was named once more, then incrementally."""
+    name = f"lineitem_{uuid.uuid4().hex}"
+    mapping = {"source_table": "lineitem", "target_db": "dwd", "target_table": name}
+    for mode in ("full+incremental", "incremental"):
+        sync(d.spark, [{**mapping, "sync_mode": mode}], d.table, declared={"lineitem": DECLARED}, location=fresh_path(d.spark, "sync"))
+    return d.spark.table(f"dwd.{name}").withColumns({
+        "l_extendedprice": F.col("l_extendedprice").cast("double"), "l_discount": F.col("l_discount").cast("double")})
+
+
 @register("""
     SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, CAST(year(o_orderdate) AS INTEGER) AS order_year FROM orders""")
 def write_table(d: Data):
@@ -97,9 +115,9 @@ def write_table(d: Data):
 @register("""
     SELECT concat('"', c_custkey, '","', replace(c_name, '"', '""'), '","', CASE WHEN c_nationkey <> 3 THEN c_nationkey END, '","',
                   c_acctbal, '","', CASE WHEN c_mktsegment = 'MACHINERY' THEN concat('a ""', c_mktsegment, '""') ELSE c_mktsegment END, '"') AS line
-    FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 50000) c""")
+    FROM customer""")
 def csv_lines(d: Data):
-    rows = d.table("customer").orderBy("c_custkey").select(
+    rows = d.table("customer").select(
         "c_custkey", "c_name", F.when(F.col("c_nationkey") != 3, F.col("c_nationkey")).alias("c_nationkey"), "c_acctbal",
         F.when(F.col("c_mktsegment") == "MACHINERY", F.concat(F.lit('a "'), "c_mktsegment", F.lit('"')))
         .otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))

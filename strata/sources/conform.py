@@ -71,12 +71,16 @@ def _conformed(column: Column, target: str, time_type: bool) -> Column:
 
 def conform_types(df: DataFrame, declared: dict[str, str], reference_types: bool = False,
                   postgres_names: bool = False) -> DataFrame:
-    """All declared columns cast to warehouse types in one projection.
+    """Every column in one projection: declared ones cast to warehouse types, others as they are.
 
     A time of day needs ``spark.sql.timeType.enabled``; without it the column is text (HH:mm:ss).
     """
     time_type = df.sparkSession.conf.get("spark.sql.timeType.enabled", "false") == "true"
+    absent = [name for name in declared if name not in df.columns]
+    if absent:
+        raise ValueError(f"declared columns that the source lacks: {absent}")
     return df.select(*[
-        _conformed(F.col(f"`{name}`"), warehouse_type(source, reference_types, postgres_names), time_type).alias(name)
-        for name, source in declared.items()
+        _conformed(F.col(f"`{name}`"), warehouse_type(declared[name], reference_types, postgres_names), time_type).alias(name)
+        if name in declared else F.col(f"`{name}`")
+        for name in df.columns
     ])

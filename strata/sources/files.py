@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 DATA_PREFIXES = ("data-", "changelog-")
 SNAPSHOT_FILES = r"^snapshot-\d+$"
 
+# Field names of a snapshot document.
 SNAPSHOT_SCHEMA = (
     "id bigint, schemaId bigint, commitKind string, timeMillis bigint, totalRecordCount bigint, "
     "deltaRecordCount bigint, baseManifestListSize bigint, deltaManifestListSize bigint"
@@ -16,10 +17,10 @@ SNAPSHOT_SCHEMA = (
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Path and length of all files below a folder; contents are never opened."""
+    """Path, length and modification time of all files below a folder; contents are never opened."""
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern).load(root).select("path", "length")
+        .option("pathGlobFilter", pattern).load(root).select("path", "length", "modificationTime")
     )
 
 
@@ -27,14 +28,24 @@ def _file_name(path: str = "path") -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def below_root(path: str, root: str) -> Column:
+    """The part of a path below the folder ``root``, which only counts where the path begins with it.
+
+    Listings give paths with a scheme; a root without one stands for the local path in them.
+    """
+    bare = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:/*(?=/)", "") if "://" not in root and ":/" not in root else F.col(path)
+    base = f"{root.rstrip('/')}/"
+    return F.when(bare.startswith(base), F.substring(bare, F.lit(len(base) + 1), F.length(bare)))
+
+
 def file_stats(listing: DataFrame, root: str, depth: int = 2) -> DataFrame:
     """Data file count and bytes per table; a table is the first ``depth`` folders below ``root``."""
-    below = F.substring_index("path", f"{root.rstrip('/')}/", -1)
+    below = below_root("path", root)
     data_file = _file_name().startswith(DATA_PREFIXES[0])
     for prefix in DATA_PREFIXES[1:]:
         data_file = data_file | _file_name().startswith(prefix)
     return (
-        listing.where(data_file)
+        listing.where(data_file & below.isNotNull())
         .groupBy(F.substring_index(below, "/", depth).alias("table_path"))
         .agg(F.count(F.lit(1)).alias("file_count"), F.sum("length").alias("total_size_bytes"))
     )
@@ -74,11 +85,15 @@ def parse_snapshots(df: DataFrame, json_col: str) -> DataFrame:
 
 
 def list_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Snapshot files of a folder, newest id first."""
+    """Snapshot files below a folder with the path of their table, newest id first.
+
+    The files of a table lie in its folder ``snapshot``; ``table_path`` is that folder's parent below ``path``.
+    """
     rows = (
         spark.read.option("pathGlobFilter", "snapshot-*").option("recursiveFileLookup", "true")
         .text(path, wholetext=True)
-        .select("value", F.col("_metadata.file_name").alias("_file"))
-        .where(F.col("_file").rlike(SNAPSHOT_FILES)).drop("_file")
+        .select("value", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_path").alias("_path"))
+        .where(F.col("_file").rlike(SNAPSHOT_FILES))
+        .select("value", F.regexp_replace(below_root("_path", path), "/?(snapshot/)?[^/]*$", "").alias("table_path"))
     )
     return parse_snapshots(rows, "value").orderBy(F.desc("snapshot_id"))

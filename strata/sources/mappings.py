@@ -16,6 +16,7 @@ DEFAULT_MODE = "full+incremental"
 SYNC_MODES = ("full+incremental", "incremental")
 SAFE_NAME = "^[A-Za-z_][A-Za-z0-9_]*$"
 
+# Field names of a mapping.
 MAPPING_SCHEMA = "array<struct<sourceTable:string,targetDb:string,targetTable:string,syncMode:string>>"
 
 
@@ -59,8 +60,9 @@ def sync_tables(spark: SparkSession, mappings: Iterable[dict], read: Callable[[s
     """Create each mapped table with all source columns and copy the source rows; returns the tables.
 
     ``mappings`` are the job's own settings (a short list, such as rows of ``parse_mappings``). ``read``
-    opens a source table, for instance ``read_source`` bound to a url. An incremental mapping creates
-    its table empty: its rows come from the change stream alone. Tables are independent writes.
+    opens a source table, for instance ``read_source`` bound to a url. A full copy replaces the rows of its
+    table. An incremental mapping creates its table empty where it is missing and leaves an existing one as
+    it is: its rows come from the change stream alone. Tables are independent writes.
     """
     mappings = list(mappings)
     if not mappings:
@@ -74,10 +76,11 @@ def sync_tables(spark: SparkSession, mappings: Iterable[dict], read: Callable[[s
         df = read(source)
         if declared and source in declared:
             df = conform_types(df, declared[source])
-        if start_at_latest(mapping.get("sync_mode"), task_incremental):
-            df = df.limit(0)
         name = f"{mapping.get('target_db') or DEFAULT_DATABASE}.{mapping['target_table']}"
         path = f"{location}/{name.replace('.', '/')}" if location else None
-        write_table(df, name, keys=(keys or {}).get(source, ()), mode="overwrite", path=path)
+        if not start_at_latest(mapping.get("sync_mode"), task_incremental):
+            write_table(df, name, keys=(keys or {}).get(source, ()), mode="overwrite", path=path)
+        elif not spark.catalog.tableExists(name):
+            write_table(df.limit(0), name, keys=(keys or {}).get(source, ()), mode="errorifexists", path=path)
         written.append(name)
     return written

@@ -36,6 +36,13 @@ def test_conformed_values(make):
     assert row.t == dt.datetime(2024, 1, 1, 10, 0, 0, 123000)
 
 
+def test_undeclared_columns_stay_and_absent_ones_are_told(make):
+    df = make([("7", "x")], "i string, `odd name` string")
+    assert rows_of(conform.conform_types(df, {"i": "INT"})) == [(7, "x")]
+    with pytest.raises(ValueError):
+        conform.conform_types(df, {"j": "INT"})
+
+
 def test_time_of_day(spark, make):
     df = make([("10:11:12",)], "c string")
     spark.conf.set("spark.sql.timeType.enabled", "true")
@@ -78,6 +85,9 @@ def test_sync_copies_or_only_creates(spark, make, tmp_path):
         "sync_check.a_copy", "sync_check.b_copy"]
     assert rows_of(spark.table("sync_check.a_copy")) == [(1,), (2,)] and tables.table_keys(spark, "sync_check.a_copy") == ["id"]
     assert spark.table("sync_check.b_copy").count() == 0 and spark.table("sync_check.b_copy").columns == ["id"]
+    again = [{**row, "sync_mode": "incremental"} for row in rows]
+    mappings.sync_tables(spark, again, read, {"a": {"id": "BIGINT"}}, {"a": ["id"]}, str(tmp_path / "other"))
+    assert rows_of(spark.table("sync_check.a_copy")) == [(1,), (2,)]
     for bad in ([], [{"source_table": "a", "error": "unsafe name"}]):
         with pytest.raises(ValueError):
             mappings.sync_tables(spark, bad, read)
