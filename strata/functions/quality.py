@@ -39,7 +39,7 @@ def alert_message(table, column, rule_type, actual, threshold) -> Column:
     rule_type = _col(rule_type)
     side = F.when(rule_type.isin(*MINIMUM_RULES), "below").otherwise("above")
     return F.format_string(
-        "quality check failed: table %s column %s: %s is %.4f, %s threshold %.4f",
+        "%s, %s: measured %s of %.4f, which is %s the limit of %.4f",
         _col(table), F.coalesce(_col(column), F.lit("(whole table)")), rule_type,
         _col(actual), side, _col(threshold),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -36,9 +37,14 @@ def out_of_range_rate(predicate: str | Column) -> Column:
 
 
 def custom_sql_check(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
-    """One row ``actual``: first column of the first row of a query."""
-    result = spark.sql(sql, **tables)
-    return result.select(F.col(f"`{result.columns[0]}`").cast("double").alias("actual")).limit(1)
+    """One row ``actual``: the first column of a query's only row, null without a row.
+
+    The query runs as a subquery, so nothing that writes can stand there. More than one row is an error.
+    """
+    result = spark.sql(f"SELECT * FROM (\n{re.sub(r';\s*$', '', sql.strip())}\n) AS result", **tables)
+    first = result.select(F.col(f"`{result.columns[0]}`").cast("double").alias("actual")).limit(2)
+    several = F.raise_error(F.lit("the check query gives more than one row")).cast("double")
+    return first.agg(F.when(F.count(F.lit(1)) > 1, several).otherwise(F.first("actual")).alias("actual"))
 
 
 @dataclass(frozen=True)
@@ -104,13 +110,13 @@ def _plans(table: DataFrame, measures: dict[Rule, Column]) -> list[DataFrame]:
 
 
 def measure_rules(spark: SparkSession, rules: Iterable[Rule], tables: Callable[[str], DataFrame],
-                  isolate_runtime: bool = False) -> DataFrame | None:
+                  isolate_runtime: bool = True) -> DataFrame | None:
     """Value or failure of every rule that has something to measure; None when there is no such rule.
 
     Plain rules on one table share one scan. A rule that does not analyse (missing column or table, bad
-    expression) is set aside before any job runs and comes out with a failure; the others go on.
-    With ``isolate_runtime`` a table whose shared aggregate fails while running is measured again
-    rule by rule, so that only the rule at fault reports the failure.
+    expression) is set aside before any job runs and comes out with a failure; the others go on. A shared
+    aggregate that fails while running is halved until the rules at fault are found; the others keep
+    sharing. ``isolate_runtime=False`` gives one lazy plan instead, which any failing rule stops.
     """
     by_table, failed, parts = defaultdict(list), [], []
     for rule in rules:
@@ -119,13 +125,26 @@ def measure_rules(spark: SparkSession, rules: Iterable[Rule], tables: Callable[[
     def fail(rule: Rule, problem: PySparkException) -> None:
         failed.append(_row(rule, F.lit(FAILED_VALUE), _short(problem)))
 
+    def isolated(table: DataFrame, measures: dict[Rule, Column]) -> list[Column]:
+        try:
+            return [row for plan in _plans(table, measures) for row in _collected(plan, measures)]
+        except PySparkException as problem:
+            if len(measures) == 1:
+                fail(next(iter(measures)), problem)
+                return []
+            both = list(measures.items())
+            return isolated(table, dict(both[:len(both) // 2])) + isolated(table, dict(both[len(both) // 2:]))
+
     for name, members in by_table.items():
         measures, table = {}, None
         for rule in members:
             try:
                 if rule.rule_type == "custom_sql":
-                    parts.append(custom_sql_check(spark, rule.expression).select(
-                        _row(rule, F.col("actual")).alias("r")).select("r.*"))
+                    plan = custom_sql_check(spark, rule.expression)
+                    if isolate_runtime:
+                        parts += _literal_rows(spark, [_row(rule, F.lit(plan.first().actual))])
+                    else:
+                        parts.append(plan.select(_row(rule, F.col("actual")).alias("r")).select("r.*"))
                     continue
                 column = _measure(rule)
                 if column is None:
@@ -135,20 +154,8 @@ def measure_rules(spark: SparkSession, rules: Iterable[Rule], tables: Callable[[
                 measures[rule] = column
             except PySparkException as problem:
                 fail(rule, problem)
-        if not measures:
-            continue
-        plans = _plans(table, measures)
-        if isolate_runtime:
-            try:
-                plans = _literal_rows(spark, [row for plan in plans for row in _collected(plan, measures)])
-            except PySparkException:
-                plans = []
-                for rule, column in measures.items():
-                    try:
-                        plans += _literal_rows(spark, _collected(_fused(table, {rule: column}), {rule: column}))
-                    except PySparkException as problem:
-                        fail(rule, problem)
-        parts += plans
+        if measures:
+            parts += _literal_rows(spark, isolated(table, measures)) if isolate_runtime else _plans(table, measures)
     parts += _literal_rows(spark, failed)
     return reduce(DataFrame.unionByName, parts) if parts else None
 
@@ -164,7 +171,7 @@ def _short(problem: PySparkException) -> str:
 
 
 def quality_results(spark: SparkSession, rules: Iterable[Rule], tables: Callable[[str], DataFrame] | None = None,
-                    isolate_runtime: bool = False) -> DataFrame:
+                    isolate_runtime: bool = True) -> DataFrame:
     """One row per enabled rule that could be measured: value, threshold, status, level, message.
 
     Status is pass, fail, no_data (rate of an empty table) or error.
@@ -189,12 +196,18 @@ def quality_results(spark: SparkSession, rules: Iterable[Rule], tables: Callable
 
 
 def run_checks(spark: SparkSession, rules: Iterable[Rule], tables: Callable[[str], DataFrame] | None = None,
-               isolate_runtime: bool = False) -> DataFrame:
+               isolate_runtime: bool = True) -> DataFrame:
     """Alert rows of a run: broken rules and rules that could not run."""
     results = quality_results(spark, rules, tables, isolate_runtime)
     return results.where(F.col("status").isin("fail", "error"))
 
 
+def alert_rows(alerts: DataFrame, at) -> DataFrame:
+    """Alerts of a run at a time as rows of the alert table: with id, time, and not resolved."""
+    time = F.lit(at).cast("timestamp_ntz")
+    return alerts.select(F.xxhash64("rule_id", time).alias("id"), "*", time.alias("triggered_at"), F.lit(False).alias("resolved"))
+
+
 def run_checks_for_layer(spark: SparkSession, rules: Iterable[Rule], layer: str, tables=None) -> DataFrame:
     return run_checks(spark, [rule for rule in rules if rule.layer == layer], tables)
 

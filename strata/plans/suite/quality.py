@@ -37,7 +37,7 @@ MEASURED = """
       SELECT rule_id, rule_type, layer, target_table, target_column, actual, threshold,
              CASE WHEN broken THEN 'fail' ELSE 'pass' END AS status,
              CASE WHEN NOT broken THEN NULL WHEN deviation > 2 THEN 'error' WHEN deviation > 1 THEN 'warn' ELSE 'info' END AS level,
-             CASE WHEN broken THEN printf('quality check failed: table %s column %s: %s is %.4f, %s threshold %.4f', target_table,
+             CASE WHEN broken THEN printf('%s, %s: measured %s of %.4f, which is %s the limit of %.4f', target_table,
                   coalesce(target_column, '(whole table)'), rule_type, actual,
                   CASE WHEN rule_type IN ('uniqueness', 'volume_compare') THEN 'below' ELSE 'above' END, threshold) END AS message
       FROM judged)"""
@@ -107,7 +107,7 @@ def alert_level(d: Data):
 
 
 @register("WITH" + GRID + """
-    SELECT event_id, printf('quality check failed: table %s column %s: %s is %.4f, %s threshold %.4f', 'events',
+    SELECT event_id, printf('%s, %s: measured %s of %.4f, which is %s the limit of %.4f', 'events',
            coalesce(target_column, '(whole table)'), rule_type, actual,
            CASE WHEN rule_type IN ('uniqueness', 'volume_compare') THEN 'below' ELSE 'above' END, threshold) AS message FROM grid""")
 def alert_message(d: Data):

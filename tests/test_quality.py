@@ -29,7 +29,7 @@ def test_measures(spark, tables):
         1: (0.25, "fail"), 2: (0.5, "pass"), 3: (4.0, "fail"), 4: (0.25, "pass")}
     assert found[3].level == "info" and found[1].level == "warn"
     assert found[3].message == (
-        "quality check failed: table t column (whole table): volume_compare is 4.0000, below threshold 5.0000")
+        "t, (whole table): measured volume_compare of 4.0000, which is below the limit of 5.0000")
 
 
 def test_empty_table_has_no_rate_but_a_volume(spark, tables):
@@ -58,7 +58,7 @@ def test_bad_rules_fail_alone(spark, tables, make):
 
 def test_runtime_failure_is_isolated(spark, tables):
     rules = [Rule(1, "range_check", "t", None, 0.0, "1 / (a - a) > 0"), Rule(2, "volume_compare", "t", None, 5.0)]
-    found = results(spark, rules, tables, isolate_runtime=True)
+    found = results(spark, rules, tables)
     assert found[1].status == "error" and "DIVIDE_BY_ZERO" in found[1].message and found[2].status == "fail"
 
 
@@ -67,13 +67,13 @@ def test_distinct_rules_are_counted_apart(spark, make):
     rules = [Rule(i, "uniqueness", "w", column, 0.5) for i, column in enumerate("abcde")] + [Rule(9, "volume_compare", "w", None, 1.0)]
     found = results(spark, rules, lambda name: table)
     assert [round(found[i].actual * 35) for i in range(5)] == [2, 3, 5, 7, 35]
-    plan = op.quality_results(spark, rules, lambda name: table)._jdf.queryExecution().executedPlan().toString()
+    plan = op.quality_results(spark, rules, lambda name: table, isolate_runtime=False)._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan
 
 
 def test_shared_scan(spark, tables):
     rules = [Rule(1, "null_rate", "t", "a"), Rule(2, "null_rate", "t", "b"), Rule(3, "range_check", "t", None, 0.0, "c < 1")]
-    plan = op.quality_results(spark, rules, tables)._jdf.queryExecution().executedPlan().toString()
+    plan = op.quality_results(spark, rules, tables, isolate_runtime=False)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ExistingRDD") == 1
 
 
@@ -82,6 +82,27 @@ def test_custom_sql_rule_compares_like_any_other(spark, tables):
     assert (found[1].actual, found[1].status) == (3.0, "fail")
 
 
+def test_custom_checks_without_a_row_with_several_and_failing(spark, tables):
+    texts = ["SELECT 1 AS n WHERE false", "SELECT id FROM range(2)", "SELECT 1 / (id - id) FROM range(1)", "DROP TABLE x", "SELECT 4;"]
+    found = results(spark, [Rule(i, "custom_sql", "t", None, 2.0, text) for i, text in enumerate(texts)], tables)
+    assert [found[i].status for i in range(5)] == ["no_data", "error", "error", "error", "fail"]
+
+
+def test_one_bad_rule_of_many_is_found(spark, tables):
+    rules = [Rule(i, "range_check", "t", None, 0.0, "1 / (a - a) > 0" if i == 5 else "a > 0") for i in range(8)]
+    assert [i for i, row in results(spark, rules, tables).items() if row.status == "error"] == [5]
+
+
+def test_alerts_of_a_run_feed_the_alert_reports(spark, tables):
+    rules = [Rule(1, "volume_compare", "t", None, 1000.0), Rule(2, "volume_compare", "t", None, 0.0)]
+    alerts = op.alert_rows(op.run_checks(spark, rules, tables), "2024-05-01 00:00:00").unionByName(
+        op.alert_rows(op.run_checks(spark, rules[:1], tables), "2024-05-02 00:00:00"))
+    rule_rows = spark.createDataFrame([(1, True), (2, True)], "rule_id bigint, enabled boolean")
+    assert rows_of(op.rule_status(rule_rows, alerts), "rule_id", "status") == [(1, "failing"), (2, "passing")]
+    assert op.latest_alert_per_rule(alerts).first()["triggered_at"].day == 2
+    assert op.pass_rate(rule_rows, alerts).first().open_alerts == 2 and op.search_alerts(alerts, resolved=False).count() == 2
+
+
 def test_single_rule_runs(spark, tables):
     rules = [Rule(1, "null_rate", "t", "a", 0.1, layer="ods"), Rule(2, "null_rate", "t", "b", 0.1, enabled=False)]
     assert op.run_check(spark, rules, 1, tables).count() == 1
