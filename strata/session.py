@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,24 +32,18 @@ def build_session(app: str = "strata", master: str | None = None, **conf) -> Spa
     return builder.getOrCreate()
 
 
-# Folders of local sessions that name none, by application.
-_LOCAL_FOLDERS: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
     """Folder that driver and executors both reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session may go without the setting; it then gets its own temporary folder.
+    Where it is unset, a folder in the warehouse takes its place on a local master; a cluster must name one.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder all nodes can reach")
-    if context.applicationId not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="strata-")
-    return _LOCAL_FOLDERS[context.applicationId]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work/{context.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -64,3 +59,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_work(spark: SparkSession, keep_hours: float = 0.0) -> int:
+    """Remove intermediate folders of ``fresh_path`` that are older than so many hours; returns how many.
+
+    For the end of a job: results that still read such a folder must have been written elsewhere by then.
+    The loop is over the folder's direct entries, one for each intermediate table, not over files.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(shared_folder(spark))
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return 0
+    before, gone = (time.time() - keep_hours * 3600) * 1000, 0
+    for entry in files.listStatus(root):
+        named = re.search(r"-[0-9a-f]{32}$", entry.getPath().getName())
+        if named and entry.getModificationTime() <= before:
+            gone += bool(files.delete(entry.getPath(), True))
+    return gone
