@@ -31,6 +31,7 @@ from strata.llm.graph import components
 from strata.llm.shingles import mixed, sets, slices
 from strata.session import written
 
+ENTRY_COST = 3     # what an entry of an inverted list costs (order, pivot, comparison), a subset's order being 1
 X = 15             # per cent of a set that its prefix has beyond what a single common shingle needs
 SEEN = 1 << 18     # sets that a task remembers, to count copies once
 
@@ -129,7 +130,7 @@ def _meetings(docs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
     paired = F.slice("tokens", 1, (F.col("s") - F.col("k") + 2).cast("int"))
     size = F.least(F.col("s") - F.col("k") + 2, F.col("s")).cast("double")
     nodes = written(ordered.withColumn("subsets", size * (size - 1) / 2)
-                    .withColumn("scans", F.aggregate(scanned, F.lit(0.0), lambda a, x: a + x["df"])), "nodes")
+                    .withColumn("scans", F.size(scanned).cast("double") * ENTRY_COST), "nodes")
     # Sets below ``least`` cannot promise two common shingles, so they and what may link with them are scanned.
     least_n = next(n for n in range(1, 1000) if X * ((threshold * n + 99) // 100) // 100 >= 1)
     bound = max(_boundary(nodes.where(F.col("n") >= least_n)), least_n - 1)

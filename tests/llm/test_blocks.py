@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from strata.llm import blocks
 from strata.llm.wordbpe import encoder
-from tests.llm.conftest import table
+from tests.llm.common import docs, table, workers  # noqa: F401
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)

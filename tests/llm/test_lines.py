@@ -3,7 +3,7 @@ import random
 from collections import defaultdict
 
 from strata.llm import cuckoo, lines
-from tests.llm.conftest import table
+from tests.llm.common import docs, table, workers  # noqa: F401
 
 
 def brute(rows, least=3, length=20):

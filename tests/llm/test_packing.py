@@ -6,6 +6,7 @@ import public_tokenizers
 
 from strata.llm import packing
 from strata.llm.wordbpe import encoder
+from tests.llm.common import docs, workers  # noqa: F401
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strata.llm import ring
+from tests.llm.common import docs, workers  # noqa: F401
 
 
 @given(st.lists(st.integers(0, 30), min_size=33, max_size=33), st.sampled_from([1.0, 1.25]))

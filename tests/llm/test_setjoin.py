@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strata.llm import setjoin, shingles
 from strata.llm.graph import components
-from tests.llm.conftest import linked_groups, table
+from tests.llm.common import docs, linked_groups, table, workers  # noqa: F401
 
 
 def brute_set(text):

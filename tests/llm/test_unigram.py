@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strata.llm import unigram
-from tests.llm.conftest import table
+from tests.llm.common import docs, table, workers  # noqa: F401
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.llm import metricjoin, topk
-from tests.llm.conftest import linked_groups, table
+from tests.llm.common import linked_groups, table, workers  # noqa: F401
 
 NAN, INF = float("nan"), float("inf")
 
