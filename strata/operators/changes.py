@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,25 @@ def parse_changes(df: DataFrame, json_col: str, schema: str | T.StructType) -> D
                        F.col("_e.op").alias("op"), F.col("_e.seq").alias("seq"))
 
 
+def bad_changes(df: DataFrame, json_col: str, schema: str | T.StructType) -> DataFrame:
+    """Envelopes that ``parse_changes`` cannot take whole: other columns, the text, and a ``reason``.
+
+    Either the text is no envelope with an operation, or a value is there that its column's type cannot hold.
+    """
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    kept = [name for name in df.columns if name != json_col]
+    rows = parse_changes(df.withColumn("_text", F.col(json_col)), json_col, fields)
+    side = F.when(F.col("op") == DELETE, "before").otherwise("after")
+    reason = F.when(F.col("op").isNull(), "not a change envelope")
+    for field in fields:
+        if field.name in kept:
+            continue
+        given = F.when(side == "before", F.get_json_object("_text", f"$.before.{field.name}")).otherwise(
+            F.get_json_object("_text", f"$.after.{field.name}"))
+        reason = reason.when(F.col(field.name).isNull() & given.isNotNull(), f"no {field.dataType.simpleString()}: {field.name}")
+    return rows.withColumn("reason", reason).where("reason IS NOT NULL").select(*kept, F.col("_text").alias(json_col), "reason")
+
+
 def from_row_kinds(df: DataFrame, kind: str = "kind") -> DataFrame:
     """Upstream row kinds as ``op``; the image before an update carries nothing new and is left out."""
     ops = F.create_map(*[F.lit(part) for pair in ROW_KIND_OPS.items() for part in pair])
@@ -131,6 +150,44 @@ def upsert(state: DataFrame, changes: DataFrame, keys: Sequence[str], seq: str =
     return updated.unionByName(added)
 
 
+STATE_PART = "_part"
+
+
+def apply_to_state(path: str, changes: DataFrame, keys: Sequence[str], seq: str = "seq", op: str = "op",
+                   parts: int = 64) -> None:
+    """Fold ``changes`` into the state kept in the Parquet folder ``path``, which is created if missing.
+
+    The state is partitioned by a hash of the key. Only partitions that have changes are read and
+    rewritten; each is replaced whole. One writer at a time.
+    """
+    spark = changes.sparkSession
+    payload = [name for name in changes.columns if name not in {*keys, seq, op}]
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+    last = written(_last_changes(to_state(changes.select(*keys, *payload), 0), changes, keys, seq, op)
+                   .withColumn(STATE_PART, part), "changes")
+    new = last
+    if _exists(spark, path):
+        state = spark.read.parquet(path).select(*last.columns)
+        old = state.join(last.select(STATE_PART).distinct(), STATE_PART, "left_semi")
+        both = old.select(*last.columns).withColumn("_late", F.lit(0)).unionByName(last.withColumn("_late", F.lit(1)))
+        rest = [name for name in last.columns if name not in {*keys, SEQ}]
+        newest = F.max_by(F.struct(SEQ, *rest), F.struct(SEQ, "_late")).alias("_n")
+        new = written(both.groupBy(*keys).agg(newest).select(*[
+            F.col(name) if name in keys else F.col(f"_n.{name}").alias(name) for name in last.columns]), "state")
+    new.repartition(STATE_PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        STATE_PART).parquet(path)
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """The table that a state folder stands for."""
+    return visible(spark.read.parquet(path).drop(STATE_PART))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def append_changes(target: DataFrame, changes: DataFrame, op: str = "op", seq: str = "seq") -> DataFrame:
     """A table without key takes every inserted row as it comes."""
     return target.unionByName(changes.where(F.col(op) == "c").select(*target.columns))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from strata.session import fresh_path
+from strata.session import fresh_path, written
 
 # Kinds of lineage edges.
 LINEAGE_TYPES = ("cdc_sync", "etl_transform", "materialized")
@@ -54,7 +54,8 @@ def reachable(edges: DataFrame, roots: DataFrame, direction: str = "downstream",
     spark = edges.sparkSession
     base = fresh_path(spark, "reachable")
     node = roots.select("node").schema
-    steps = edges.select(F.col(own).alias("node"), F.col(other).alias("next"))
+    # Two columns, written once: rounds read them instead of deriving the edges from their sources again.
+    steps = written(edges.select(F.col(own).alias("node"), F.col(other).alias("next")).distinct(), "steps")
 
     def keep(found: DataFrame, depth: int) -> DataFrame:
         found.write.parquet(f"{base}/depth={depth}")

@@ -135,6 +135,25 @@ def evaluate_alert_rules(rules: DataFrame, metrics: DataFrame) -> DataFrame:
         "rule_id", "rule_type", "subject", "value", "limit_value")
 
 
+# Level of an alert by the type of its rule; others are errors.
+RULE_LEVELS = {"task_failure": "error", "data_delay": "warn", "quality_failure": "error"}
+
+
+def alert_log(alerts: DataFrame, at=None) -> DataFrame:
+    """What ``evaluate_alert_rules`` gives as rows of the alert table: id, level, message, time, not resolved.
+
+    ``at`` is the time of the evaluation, on a stream the current time.
+    """
+    time = F.current_timestamp().cast("timestamp_ntz") if at is None else F.lit(at).cast("timestamp_ntz")
+    level = F.lit("error")
+    for rule_type, name in RULE_LEVELS.items():
+        level = F.when(F.col("rule_type") == rule_type, name).otherwise(level)
+    message = F.format_string("%s of %s is %.1f, limit %.1f", "rule_type", "subject", "value", "limit_value")
+    return alerts.withColumn("triggered_at", time).select(
+        F.xxhash64("rule_id", "subject", "triggered_at").alias("id"), "*", level.alias("level"), message.alias("message"),
+        F.lit(False).alias("resolved"))
+
+
 def route_alerts(alerts: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per alert and channel of its rule."""
     channels = rules.select("rule_id", F.explode(F.split("channels", ",")).alias("channel")).select(

@@ -35,6 +35,21 @@ def fold_changes(d: Data):
     return op.fold_changes(d.fixture("chg"), ["id"])
 
 
+@register("SELECT id, status, amount, event_time FROM (" + LAST.format(source="chg") + ") WHERE op <> 'd'", ("chg",))
+def apply_to_state(d: Data):
+    """A kept state after two rounds of changes, the later ones first."""
+    path, rows, middle = fresh_path(d.spark, "state"), d.fixture("chg"), _middle(d)
+    for part in (rows.where(F.col("seq") > middle), rows.where(F.col("seq") <= middle)):
+        op.apply_to_state(path, part, ["id"])
+    return op.read_state(d.spark, path)
+
+
+@register("SELECT concat('x', seq) AS body, 'not a change envelope' AS reason FROM chg WHERE seq % 5 = 0", ("chg",))
+def bad_changes(d: Data):
+    rows = d.fixture("chg").select("seq", F.to_json(F.struct("op", "seq", F.struct("id", "status").alias("after"))).alias("body"))
+    return op.bad_changes(rows.select(F.when(F.col("seq") % 5 == 0, F.concat(F.lit("x"), "seq")).otherwise(F.col("body")).alias("body")), "body", ROW)
+
+
 ORDER_CHANGES = """
     SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey + 1000000000 ELSE o_custkey END AS c_custkey,
            o_orderkey AS seq, CASE WHEN o_orderstatus = 'P' THEN 'd' ELSE 'u' END AS op,

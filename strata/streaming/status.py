@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strata.functions.states import map_job_state
 from strata.operators.monitor import evaluate_alert_rules, task_metrics, task_status
 
 
-def task_status_stream(polls: DataFrame, name: str, checkpoint: str | None = None, once: bool = False) -> StreamingQuery:
-    """Current status per task as an in-memory table for a dashboard session.
+def task_status_stream(polls: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Status rows of tasks that changed, appended as files per batch; ``read_status`` gives the newest of each.
 
-    The fold is the batch one; its state is one row per task in the streaming state store.
+    The fold is the batch one; its state is one row per task in the streaming state store. A batch that is
+    run again after a failure replaces its own files.
     """
-    writer = task_status(polls).writeStream.format("memory").queryName(name).outputMode("complete")
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(path)
+
+    writer = task_status(polls).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(keep)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def read_status(spark: SparkSession, path: str, task: str = "task_id") -> DataFrame:
+    """Current status per task from the files of ``task_status_stream``."""
+    rows = spark.read.parquet(path)
+    rest = [name for name in rows.columns if name not in (task, "_batch")]
+    return rows.groupBy(task).agg(F.max_by(F.struct(*rest), "_batch").alias("_s")).select(task, "_s.*")
+
+
 def alert_stream(polls: DataFrame, rules: DataFrame) -> DataFrame:
     """Alerts of every poll as it comes in: no state, each poll row is tested against the rules."""
     metrics = task_metrics(polls.where("job_state IS NOT NULL").withColumn("status", map_job_state("job_state")))

@@ -6,7 +6,7 @@ from conftest import rows_of
 
 from strata.functions.states import TRANSITIONS, map_job_state, transition_allowed
 from strata.operators import monitor as op
-from strata.streaming.status import alert_stream, task_status_stream
+from strata.streaming.status import alert_stream, read_status, task_status_stream
 
 LOG = "task_id int, seq bigint, job_state string, lag_ms bigint, at_time timestamp_ntz"
 T = dt.datetime(2024, 1, 1)
@@ -106,8 +106,9 @@ def test_streamed_status_and_alerts_equal_batch(spark, make, tmp_path):
     log = make(rows, LOG)
     log.repartition(3).write.parquet(str(tmp_path / "polls"))
     polls = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "polls"))
-    task_status_stream(polls, "status_now", once=True).awaitTermination()
-    assert rows_of(spark.table("status_now")) == rows_of(op.task_status(log))
+    where = str(tmp_path / "status"), str(tmp_path / "progress")
+    task_status_stream(polls, *where, once=True).awaitTermination()
+    assert rows_of(read_status(spark, where[0])) == rows_of(op.task_status(log))
 
     rules = make([(1, "task_failure", "0", True), (2, "data_delay", "150ms", True)],
                  "rule_id int, rule_type string, expression string, enabled boolean")
@@ -115,3 +116,13 @@ def test_streamed_status_and_alerts_equal_batch(spark, make, tmp_path):
     failed = sum(state == "FAILED" for _, _, state, _, _ in rows)
     late = sum(lag > 150 for _, _, _, lag, _ in rows)
     assert rows_of(spark.table("alerts_now").groupBy("rule_id").count()) == [(1, failed), (2, late)]
+
+
+def test_alerts_as_rows_of_the_alert_table(make):
+    status = make([(1, "failed", 10), (2, "running", 9000)], "task_id int, status string, lag_ms bigint")
+    rules = make([(1, "task_failure", "0", True), (2, "data_delay", "5000ms", True)],
+                 "rule_id int, rule_type string, expression string, enabled boolean")
+    log = op.alert_log(op.evaluate_alert_rules(rules, op.task_metrics(status)), "2024-01-02 00:00:00")
+    assert rows_of(log, "rule_id", "subject", "level", "message", "resolved") == [
+        (1, "1", "error", "task_failure of 1 is 1.0, limit 0.0", False), (2, "2", "warn", "data_delay of 2 is 9000.0, limit 5000.0", False)]
+    assert [row.level for row in op.alert_feed(log, level="warn").collect()] == ["warn"]
