@@ -3,7 +3,7 @@
 Only the histogram of piece lengths is planned, and its size is bounded by the sequence length. For each length,
 longest first, the gap it leaves is looked up among single lengths, then pair sums, then triple sums of the
 lengths still available; a combination is used as often as its scarcest length allows. What has no exact
-complement is placed best-fit, longest first. The plan says which ranks of each length go where; Spark ranks the
+complement is placed best-fit, longest first. The depth of the look-up that needs the fewest sequences counts. The plan says which ranks of each length go where; Spark ranks the
 pieces by a range sort, so a third of all pieces may share one length.
 
 Defined cases: null and empty texts have only the end id; repeated rows and null ids are documents of their own;
@@ -64,7 +64,17 @@ def _times(left: np.ndarray, lengths: tuple[int, ...]) -> int:
 
 
 def plan(counts: dict[int, int], size: int) -> list[Pattern]:
-    """Sequences for so many pieces of each length: exact complements first, then best fit."""
+    """Sequences for so many pieces of each length: exact complements first, then best fit.
+
+    Complements of several parts use up short pieces, which are sometimes needed more for gaps that nothing
+    fills exactly. So the plan is made with up to one, two and three parts for lengths over half a sequence, and
+    with three for all lengths; the one with the fewest sequences counts.
+    """
+    plans = [_plan(counts, size, parts, least) for parts, least in ((3, 1), (3, size // 2 + 1), (2, size // 2 + 1), (1, size // 2 + 1))]
+    return min(plans, key=lambda patterns: sum(times for _, times in patterns))
+
+
+def _plan(counts: dict[int, int], size: int, most_parts: int, least: int) -> list[Pattern]:
     left = np.zeros(size + 1, dtype=np.int64)
     for length, count in counts.items():
         left[length] = count
@@ -79,9 +89,9 @@ def plan(counts: dict[int, int], size: int) -> list[Pattern]:
     if left[size]:
         use((size,), int(left[size]))
     sums = _Sums(left)
-    for length in range(size - 1, 0, -1):
+    for length in range(size - 1, least - 1, -1):
         gap, parts = size - length, 1
-        while left[length] and parts <= 3:
+        while left[length] and parts <= most_parts:
             # The piece itself is no part of its own complement unless there are more of its length.
             left[length] -= 1
             sums.single[length] = left[length] > 0

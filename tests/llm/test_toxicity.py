@@ -31,29 +31,46 @@ def test_penalty_takes_the_group_out_of_the_score(docs, spark, monkeypatch):
     fair = fitted(docs, spark, rows)
     monkeypatch.setattr(toxicity, "PENALTY", 0.0)
     biased = fitted(docs, spark, rows)
-    gap = {name: model.weights.get("muslims", 0) - model.weights.get("christians", 0) for name, model in (("fair", fair), ("biased", biased))}
-    assert abs(gap["fair"]) < 0.5 * abs(gap["biased"])
-    assert fair.weights["vile"] > 2
 
+    def gap(model):
+        return abs(sum(model.weights.get(name, 0.0) for name in toxicity.names_of("muslims"))
+                   - sum(model.weights.get(name, 0.0) for name in toxicity.names_of("christians")))
+    assert gap(fair) < 0.5 * gap(biased)
+    assert sum(fair.weights.get(name, 0.0) for name in toxicity.names_of("vile")) > 2
 
-def test_gradient_of_the_penalised_loss():
+
+def test_the_fit_is_a_minimum_of_the_penalised_loss():
     rng = np.random.default_rng(0)
     x = (rng.random((30, 6)) < 0.4).astype(np.float32)
     x[:, 4], x[:, 5] = 1, 0
     y = (rng.random(30) < 0.5).astype(float)
-    plain = np.array([[i, 4] for i in range(30)])
-    model = toxicity._train(list("abcdef"), x, y, plain, np.full(30, 5))
-    w, b = np.array([model.weights.get(c, 0.0) for c in "abcdef"]), model.bias
+    other = x.copy()
+    other[:, 4], other[:, 5] = 0, 1
+    row = np.arange(30)
+    model = toxicity._train(list("abcdef"), x, y, row, other)
+    best = np.append([model.weights.get(c, 0.0) for c in "abcdef"], model.bias)
 
     def loss(v):
-        p = toxicity._sigmoid(x @ v[:-1] + v[-1])
-        q = toxicity._sigmoid(x @ v[:-1] + v[-1] - v[4] + v[5])
+        p, q = toxicity._sigmoid(x @ v[:-1] + v[-1]), toxicity._sigmoid(other @ v[:-1] + v[-1])
         return (-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + toxicity.RIDGE / 2 * (v[:-1] ** 2).sum()
-                + toxicity.PENALTY * np.mean((p - q) ** 2))
-    best = np.append(w, b)
+                + toxicity.PENALTY * np.mean((p[row] - q) ** 2))
     assert all(loss(best) <= loss(best + 0.3 * step) + 1e-4 for step in rng.normal(size=(40, 7)))
 
 
+def test_values_of_words_and_beginnings():
+    features = toxicity._Features(["vile", "vil*", "gr*"])
+    words = toxicity.words_of("Vile vilest grey " + "x " * 97)
+    assert features.values(words) == {"vile": 1.0, "vil*": 1.0}
+    assert toxicity._Features(["grey", "gre*"]).values(["grey"] + ["x"] * 199) == {"grey": 1.0, "gre*": 0.25}
+    assert features.values([]) == {}
+
+
+def test_swaps_stay_within_their_kind():
+    swaps = list(toxicity._swapped(toxicity.words_of("Some women and a vile man")))
+    assert len(swaps) == 2 * toxicity.SWAPS and all(len(words) == 6 for words in swaps)
+    assert {words[1] for words in swaps} - {"women"} <= set(toxicity.IDENTITY[0])
+
+
 def test_held_out_accuracy_on_the_given_labels(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
@@ -62,7 +79,7 @@ def test_held_out_accuracy_on_the_given_labels(spark):
     found = toxicity.score(docs, model).join(labels, "doc_id").where(held)
     right = found.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")).alias("all"),
                       F.avg(F.when(F.col("predicted") == 1, F.col("toxic"))).alias("precision")).first()
-    assert right["all"] > 0.95 and right["precision"] > 0.95
+    assert right["all"] > 0.98 and right["precision"] > 0.95
 
 
 def test_defined_cases(docs, spark):
@@ -70,7 +87,7 @@ def test_defined_cases(docs, spark):
     model = fitted(docs, spark, rows + [(1, "", 1), (9999, None, 0), (None, "x", 1), (3, "vile", None)])
     empty = toxicity._sigmoid(model.bias)
     got = table(toxicity.score(docs([(1, None), (2, ""), (2, "Vile, VILE!"), (None, "vile " * 5000)]), model), "doc_id", "score", "predicted")
-    assert [(doc, predicted) for doc, _, predicted in got] == sorted([(1, 0), (2, 0), (2, 1), (None, 1)], key=repr) or len(got) == 4
+    assert [(doc, predicted) for doc, _, predicted in got] == [(1, 0), (2, 0), (2, 1), (None, 1)]
     assert [score for doc, score, _ in got if doc == 1] == [empty]
     assert toxicity.score(docs([]), model).count() == 0
     assert {"key", "row", "index"} <= set(toxicity.score(docs([]), model).columns)
