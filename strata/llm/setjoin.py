@@ -1,17 +1,22 @@
 """Near-duplicate documents by word shingles: a size-aware heavy-light set similarity join.
 
-Two sets link when their Jaccard similarity is at least ``threshold`` per cent. A set misses at most
-``a = n - ceil(t n)`` of its n shingles in a partner. So the first ``a + 1 + x`` shingles of two partners, in one
-order of all shingles, have more than x' in common, where x' is x of the smallest partner (``X`` per cent of its
-size). These prefixes are counted; a set with fewer shared shingles has no partner. Of the shared ones, rarest
-first, all but the last x' are enough to meet:
+Two sets link when their Jaccard similarity is at least ``threshold`` per cent. They then have at least
+``o = ceil(t n)`` of the n shingles of either in common. Two filters come first, both without loss:
 
-* light sets, up to a size chosen by cost, enumerate pairs (fixed-size subsets) of theirs;
-* heavy sets are met by scanning the inverted lists of theirs, one by one.
+* Of the first ``n - o + 1 + x`` shingles of a set in the order of their hashes (x is ``X`` per cent of its size),
+  more than x' are in any partner's, where x' is x of the smallest partner. Sets with fewer shared ones are done.
+* Of the others all shingles are counted. Those in no other set cannot be in common; with less than ``o`` left a
+  set is done, and two sets are never compared when what both have left is too little for their sizes.
 
-Equal sets are joined once. A list first compares everyone with one pivot, which links groups of near copies in
-as many steps as they have members; only members that are then still apart in some list are compared with the
-others. All comparisons are exact and none between sets that are still apart is left out.
+Of a set's s shared shingles, rarest first, the first ``s - o + 1`` are enough to meet a partner in one:
+
+* heavy sets are met by scanning the inverted lists of these, one by one;
+* light sets, up to a size chosen by cost, enumerate pairs (subsets of a fixed size) of one shingle more.
+
+Equal sets are joined once. A list first compares everyone with its pivot, the set whose shingles are the most
+common, which links groups of near copies in as many steps as they have members. Only members that are then still
+apart in some list are compared with the others. All comparisons are exact, and none between sets that are still
+apart is left out.
 
 Defined cases: a null text counts as empty; documents without words link with nothing; a text of one to four words
 is one shingle; rows that share a ``doc_id`` count as one document; a null id links with nothing; an empty table
@@ -32,7 +37,8 @@ from strata.llm.shingles import mixed, sets, slices
 from strata.session import written
 
 ENTRY_COST = 3     # what an entry of an inverted list costs (order, pivot, comparison), a subset's order being 1
-X = 15             # per cent of a set that its prefix has beyond what a single common shingle needs
+X = 12             # per cent of a set that its prefix has beyond what a single common shingle needs
+CELLS = 256        # bits that tell apart what two sets can have in common
 SEEN = 1 << 18     # sets that a task remembers, to count copies once
 
 
@@ -41,10 +47,6 @@ def _missing(n, threshold: int):
     return n - (threshold * n + 99) // 100
 
 
-def _missing_column(n: Column, threshold: int) -> Column:
-    return n - F.floor((n * threshold + 99) / 100)
-
-
 def _least_common(n: Column, threshold: int) -> Column:
     """Prefix shingles that a set of n has in common with any partner, at least."""
     return F.floor(F.floor((n * threshold + 99) / 100) * X / 100) + 1
@@ -93,13 +95,20 @@ def _prefixes(docs: DataFrame, threshold: int) -> DataFrame:
                     seen.clear()
                 owner = np.repeat(np.arange(len(counts)), size)
                 at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + first[owner]
+                # 48 bits are enough to count by: a token that seems shared only makes a set go on to the exact count.
+                tokens = (values[at] & ~np.uint64(0xFFFF)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[at].view(np.int64)), rows["doc_id"].take(pa.array(owner))], names=["token", "doc"])
+                    [pa.array(tokens), rows["doc_id"].take(pa.array(owner))], names=["token", "doc"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(
         prefix, "token long, doc long")
 
 
+def _least_overlap(n: Column, threshold: int) -> Column:
+    """Shingles that a set of n has in common with any partner, at least."""
+    return F.floor((n * threshold + 99) / 100)
+
+
 def _boundary(nodes: DataFrame) -> int:
     """Size up to which enumerating pairs costs no more than scanning lists, from sums by size class."""
     step = F.floor(F.ln("n") * 20).cast("int")
@@ -114,41 +123,61 @@ def _boundary(nodes: DataFrame) -> int:
     return bound
 
 
-def _meetings(docs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
-    """key, node, n: sets that may link have a key in common."""
-    by_token = Window.partitionBy("token")
-    shared = written(_prefixes(docs, threshold).withColumn("df", F.count("*").over(by_token)).where("df > 1"), "shared-tokens")
-    least = _least_common(F.col("n"), threshold)
-    able = (shared.groupBy("doc").agg(F.count("*").alias("s"))
-            .join(members.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "rep"), "doc")
-            .withColumn("k", least).where("s >= k"))
-    # One document stands for its class.
-    chosen = able.groupBy("rep").agg(F.min(F.struct("doc", "n", "s", "k")).alias("x")).select("rep", "x.*")
-    ordered = (shared.join(chosen, "doc").groupBy("rep", "n", "s", "k")
-               .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens")))
-    scanned = F.slice("tokens", 1, (F.col("s") - F.col("k") + 1).cast("int"))
-    paired = F.slice("tokens", 1, (F.col("s") - F.col("k") + 2).cast("int"))
-    size = F.least(F.col("s") - F.col("k") + 2, F.col("s")).cast("double")
-    nodes = written(ordered.withColumn("subsets", size * (size - 1) / 2)
-                    .withColumn("scans", F.size(scanned).cast("double") * ENTRY_COST), "nodes")
-    # Sets below ``least`` cannot promise two common shingles, so they and what may link with them are scanned.
-    least_n = next(n for n in range(1, 1000) if X * ((threshold * n + 99) // 100) // 100 >= 1)
-    bound = max(_boundary(nodes.where(F.col("n") >= least_n)), least_n - 1)
-    light = nodes.where((F.col("n") >= least_n) & (F.col("n") <= bound * 100 // threshold)) if bound >= least_n else None
-    heavy = nodes.where((F.col("n") > bound) | (F.col("n") < least_n * 100 // threshold + 1))
-    keys = heavy.select("rep", "n", F.explode(scanned).alias("t")).select(
-        F.col("t.token").alias("key"), F.col("rep").alias("node"), "n")
-    if light is not None:
-        subsets = light.select("rep", "n", paired.alias("ts")).select(
-            "rep", "n", "ts", F.posexplode("ts").alias("i", "t")).select(
-            "rep", "n", F.explode(F.transform(F.slice("ts", F.col("i") + 2, F.size("ts")),
-                                              lambda u: F.xxhash64(F.col("t.token"), u["token"]))).alias("key"))
-        keys = keys.unionByName(subsets.select("key", F.col("rep").alias("node"), "n"))
-    return keys
-
-
-def _close(n: str, m: str, threshold: int) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * threshold
+def _able(docs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """node: representatives of the sets that share enough of their first shingles to have a partner."""
+    shared = (_prefixes(docs, threshold).withColumn("df", F.count("*").over(Window.partitionBy("token")))
+              .where("df > 1").groupBy("doc").agg(F.count("*").alias("s")))
+    return (shared.join(members.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "rep"), "doc")
+            .where(F.col("s") >= _least_common(F.col("n"), threshold)).select(F.col("rep").alias("node")).distinct())
+
+
+def _meetings(texts: DataFrame, threshold: int) -> DataFrame:
+    """key, centre and ``about`` (node, n, s, k, b0 to b3): sets that may link have a key in common.
+
+    s counts the shingles that some other set has, centre says how common they are. The 256 bits in b mark the
+    cells that these shingles fall into, of a large set a share of 1 / 2^k of them.
+    """
+    rows = texts.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    o = _least_overlap(F.col("n"), threshold)
+    counted = (rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+               .withColumn("k", F.greatest(F.lit(0), F.floor(F.log2(F.col("n") / CELLS))).cast("int"))
+               .withColumn("cell", F.col("token").bitwiseAND(F.lit(CELLS - 1)).cast("int"))
+               .withColumn("marks", F.expr("shiftright(token, 8) & (shiftleft(1L, k) - 1) = 0")))
+    nodes = written(
+        counted.groupBy("node", "n", "k").agg(
+            F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"), (F.sum("df") / F.col("n")).alias("centre"),
+            *[F.expr(f"bit_or(CASE WHEN marks AND cell DIV 64 = {w} THEN shiftleft(1L, cell % 64) ELSE 0L END)").alias(f"b{w}")
+              for w in range(CELLS // 64)])
+        .withColumn("s", F.size("tokens").cast("long")).where(F.col("s") >= o)
+        .withColumn("scanned", F.slice("tokens", 1, (F.col("s") - o + 1).cast("int")))
+        .withColumn("paired", F.slice("tokens", 1, F.least(F.col("s"), F.col("s") - o + 2).cast("int"))).drop("tokens")
+        .withColumn("subsets", F.size("paired") * (F.size("paired") - 1) / 2)
+        .withColumn("scans", F.size("scanned").cast("double") * ENTRY_COST), "nodes")
+    # A pair is met by pairs of shingles if its smaller set is light, so light sets and what may link with them
+    # enumerate; and by single shingles if both are heavy.
+    bound = _boundary(nodes)
+    light = nodes.where(F.col("n") * threshold <= bound * 100)
+    heavy = nodes.where((F.col("n") > bound) | (F.col("n") < 2))
+    columns = [F.struct("node", "n", "s", "k", *[f"b{w}" for w in range(CELLS // 64)]).alias("about"), "centre"]
+    keys = heavy.select(*columns, F.explode("scanned").alias("t")).select(
+        F.col("t.token").alias("key"), "about", "centre")
+    subsets = light.where("n > 1").select(*columns, "paired", F.posexplode("paired").alias("i", "t")).select(
+        F.explode(F.transform(F.slice("paired", F.col("i") + 2, F.size("paired")),
+                              lambda u: F.xxhash64(F.col("t.token"), u["token"]))).alias("key"), "about", "centre")
+    return keys.unionByName(subsets)
+
+
+def _may_link(a: str, b: str, threshold: int) -> Column:
+    """Whether the sizes of two sets, and what both can have in common, allow a link.
+
+    A marked cell of one that the other has not marked, though it marks at least as large a share of its
+    shingles, holds a shingle that the other lacks.
+    """
+    def common(x: str, y: str) -> Column:
+        lacks = sum((F.bit_count(F.col(f"{x}.b{w}").bitwiseAND(F.bitwise_not(f"{y}.b{w}"))) for w in range(CELLS // 64)), F.lit(0))
+        return F.col(f"{x}.s") - F.when(F.col(f"{x}.k") >= F.col(f"{y}.k"), lacks).otherwise(0)
+
+    return F.least(common(a, b), common(b, a)) * (100 + threshold) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * threshold
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -182,13 +211,13 @@ def grouped(docs: DataFrame, threshold: int = 75) -> DataFrame:
     some = profile.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     members = written(some.join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", "rep"), "members")
+    texts = written(_sets_of(docs, _able(docs, members, threshold)), "sets")
     by_key = Window.partitionBy("key")
-    lists = written(_meetings(docs, members, threshold)
-                    .withColumn("pivot", F.min(F.struct("node", "n")).over(by_key))
-                    .withColumn("size", F.count("*").over(by_key)).where("size > 1"), "lists")
-    texts = written(_sets_of(docs, lists), "sets")
-    first = (lists.where((F.col("node") != F.col("pivot.node")) & _close("n", "pivot.n", threshold))
-             .select(F.col("pivot.node").alias("u"), F.col("node").alias("v")).distinct())
+    lists = written(_meetings(texts, threshold)
+                    .withColumn("pivot", F.max_by("about", F.struct("centre", "about.node")).over(by_key))
+                    .withColumn("size", F.count("*").over(by_key)).where("size > 1").select("key", "about", "pivot"), "lists")
+    first = (lists.where((F.col("about.node") != F.col("pivot.node")) & _may_link("about", "pivot", threshold))
+             .select(F.col("pivot.node").alias("u"), F.col("about.node").alias("v")).distinct())
     linked = written(_verified(first, texts, threshold), "pivot-links")
     apart = _apart(lists, components(linked), threshold)
     linked = linked.unionByName(_verified(apart, texts, threshold))
@@ -205,15 +234,14 @@ def _apart(lists: DataFrame, names: DataFrame, threshold: int) -> DataFrame:
 
     The largest component of a list is not joined with itself, only with those outside it.
     """
-    rows = (lists.select("key", "node", "n").join(names, "node", "left")
-            .withColumn("component", F.coalesce("component", "node")))
+    rows = (lists.select("key", "about", F.col("about.node").alias("node")).join(names, "node", "left")
+            .select("key", "about", F.coalesce("component", "node").alias("component")))
     parts = rows.groupBy("key", "component").agg(F.count("*").alias("rows"))
     several = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("rows", "component")).alias("main"))
-    several = several.where("parts > 1").drop("parts")
-    open_rows = written(rows.join(several, "key"), "open-lists")
-    outside = open_rows.where("component <> main").select("key", F.col("node").alias("u"), F.col("n").alias("m"),
-                                                            F.col("component").alias("c"))
-    return (open_rows.join(outside, "key")
-            .where((F.col("component") != F.col("c")) & ((F.col("component") == F.col("main")) | (F.col("u") < F.col("node")))
-                   & _close("n", "m", threshold))
-            .select("u", F.col("node").alias("v")).distinct())
+    open_rows = written(rows.join(several.where("parts > 1").drop("parts"), "key"), "open-lists")
+    outside = open_rows.where("component <> main").select(
+        "key", F.col("about").alias("other"), F.col("component").alias("other_component"))
+    apart = (F.col("component") != F.col("other_component")) & (
+        (F.col("component") == F.col("main")) | (F.col("other.node") < F.col("about.node")))
+    return (open_rows.join(outside, "key").where(apart & _may_link("about", "other", threshold))
+            .select(F.col("other.node").alias("u"), F.col("about.node").alias("v")).distinct())
