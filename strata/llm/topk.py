@@ -31,6 +31,7 @@ from strata.session import written
 CANDIDATES = 4096  # candidates of a block
 QUERIES = 1024     # queries of a block
 PARTS = 2          # parts of the components
+COPIES = 64        # copies of a query block, so that its meetings with candidates spread over as many tasks
 
 
 def _dense(lists: list[list[int]], width: int) -> np.ndarray:
@@ -150,12 +151,12 @@ def search(table: DataFrame, is_query: Column, k: int = 10, scale: int = 1024) -
         return grouped.mapInArrow(
             split, "block int, part int, query_ids array<long>, query_points binary, cutoffs array<double>")
 
-    each = nodes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    each = nodes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
+        "copy", F.pmod(F.xxhash64("ids"), F.lit(COPIES)).cast("int"))
 
     def meet(cutoffs: DataFrame | None) -> DataFrame:
-        # Dealt evenly before the join's rows reach Python: a node is one block, the work of one step.
-        return each.repartition("block", "part", F.xxhash64("ids")).join(
-            written(asked(cutoffs), "query-blocks").hint("shuffle_hash"), ["block", "part"])
+        copies = written(asked(cutoffs), "query-blocks").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+        return each.join(copies.hint("shuffle_hash"), ["block", "part", "copy"])
 
     local = written(meet(None).mapInArrow(
         _local_best(k), "query_id long, part int, vec_id long, partial double, low double, high double"), "local-lists")
