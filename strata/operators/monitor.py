@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strata.functions.states import map_job_state, overall_status, transition_allowed
-from strata.operators.quality import search
+from strata.operators.quality import search, search_alerts
 from strata.session import written
 
 # Minutes a submission may take, and the error text of one that took longer.
@@ -162,7 +162,8 @@ def route_alerts(alerts: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def alert_feed(alerts: DataFrame, level=None, resolved=None, rule_type=None) -> DataFrame:
-    return search(alerts, "triggered_at", "id", level=level, resolved=resolved, rule_type=rule_type)
+    """Alerts of quality and task rules alike, newest first."""
+    return search_alerts(alerts, level, resolved, rule_type)
 
 
 def _roles(core: str, data: Sequence[str]) -> tuple[Column, Column]:

@@ -6,7 +6,7 @@ from strata.plans import layers as op
 from strata.plans.registry import Data, register
 from strata.session import fresh_path
 from strata.streaming import ingest
-from strata.streaming.materialize import materialize, materialize_stream, windowed_counts
+from strata.streaming.materialize import materialize, materialize_stream, windowed_counts, with_open_windows
 
 DETAIL = """
     detail AS (
@@ -57,6 +57,12 @@ def materialize_windows(d: Data):
     return d.spark.read.parquet(f"{base}/table")
 
 
+@register("SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS rows FROM events GROUP BY 1")
+def materialize_all_windows(d: Data):
+    """Closed windows of a stream and the open ones from the rows after them: every day."""
+    return with_open_windows(materialize_windows(d), d.table("events"), windowed_counts, "ts")
+
+
 @register("WITH" + DETAIL + " SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM detail")
 def dwd_order_detail(d: Data):
     return _detail(d)

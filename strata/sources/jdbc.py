@@ -37,9 +37,19 @@ def key_bounds(spark: SparkSession, url: str, table: str, key: str, **extra) ->
     return tuple(spark.read.format("jdbc").options(**jdbc_options(url, query, **extra)).load().first())
 
 
+def split_or_whole(key: str, bounds: tuple, parts: int) -> tuple:
+    """Key, bounds and parts of a read; of a whole read where the source has no key value."""
+    return (None, None, 1) if None in bounds else (key, bounds, parts)
+
+
 def read_source(spark: SparkSession, url: str, table: str, key: str | None = None,
                 bounds: tuple | None = None, parts: int = 1, **extra) -> DataFrame:
-    """A source table as a DataFrame; filters and column choice are pushed to the source."""
+    """A source table as a DataFrame; filters and column choice are pushed to the source.
+
+    One part is for small tables: a table of any size needs ``parts`` and a split ``key``. A source
+    without rows has no bounds and is read unsplit.
+    """
     if parts > 1 and key and bounds is None:
         bounds = key_bounds(spark, url, table, key, **extra)
+        key, bounds, parts = split_or_whole(key, bounds, parts)
     return spark.read.format("jdbc").options(**jdbc_options(url, table, key, bounds, parts, **extra)).load()

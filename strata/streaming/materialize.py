@@ -34,3 +34,14 @@ def materialize_stream(stream: DataFrame, aggregate: Callable[[DataFrame, str],
     State holds the open windows only. Rows later than ``delay`` are left out.
     """
     return ingest_stream(aggregate(as_event_time(stream, time, delay), time), path, checkpoint, interval_ms, once=once)
+
+
+def with_open_windows(closed: DataFrame, rows: DataFrame, aggregate: Callable[[DataFrame, str], DataFrame], time: str,
+                      width: str = "1 day") -> DataFrame:
+    """The closed windows of ``materialize_stream`` and, from the source rows after them, the open ones.
+
+    One value, the end of the last closed window, decides which rows are read again.
+    """
+    end = closed.agg((F.max("window_start") + F.expr(f"INTERVAL {width}")).alias("end")).first()["end"]
+    later = rows if end is None else rows.where(F.col(time) >= F.lit(end))
+    return closed.unionByName(aggregate(later, time))

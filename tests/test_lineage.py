@@ -36,7 +36,7 @@ def test_random_graph_against_a_plain_walk(make):
     assert rows_of(op.reachable(make(sorted(pairs), EDGE), make([("n1",), ("n2",)], "node string"))) == walk(pairs, ["n1", "n2"])
 
 
-def test_long_chain_is_merged_on_the_way(make):
+def test_a_long_chain_is_followed_to_its_end(make):
     pairs = [(f"n{i:02}", f"n{i + 1:02}") for i in range(13)]
     assert rows_of(op.reachable(make(pairs, EDGE), make([("n00",)], "node string"))) == walk(pairs, ["n00"])
 

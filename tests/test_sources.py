@@ -19,6 +19,11 @@ def test_jdbc_options():
         jdbc.jdbc_options("postgresql://host", "t")
 
 
+def test_a_source_without_keys_is_read_whole():
+    assert jdbc.split_or_whole("id", (None, None), 8) == (None, None, 1)
+    assert jdbc.split_or_whole("id", (3, 90), 8) == ("id", (3, 90), 8)
+
+
 def test_types():
     kind = conform.warehouse_type
     assert [kind(t) for t in ("varchar", "VARCHAR(20)", "longtext", "tinyint", "YEAR", "BIGINT UNSIGNED", "json", "Bool", "time", "TIMESTAMP(6)")] == [
