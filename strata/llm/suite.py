@@ -33,6 +33,62 @@ def query(sql: str | None = None):
     return register
 
 
+# The rule on lines themselves, without hashes.
+OP1_SQL = """
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS nr FROM cut),
+keyed AS (SELECT doc_id, line, nr, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line),
+common AS (SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 20 GROUP BY key
+    HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.last_doc AS gone FROM keyed k LEFT JOIN common c USING (key))
+SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+# Links made transitive: the smallest id that each one reaches.
+CLOSURE = """
+both_ways AS (SELECT u, v FROM link UNION SELECT v, u FROM link),
+reach(node, seen) AS (SELECT u, v FROM both_ways UNION SELECT r.node, b.v FROM reach r JOIN both_ways b ON r.seen = b.u),
+root AS (SELECT node, least(node, min(seen)) AS component_id FROM reach GROUP BY node)"""
+
+OP4_SQL = """
+WITH RECURSIVE good AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.9),""" + CLOSURE + """,
+counted AS (SELECT u, count(*) AS n FROM both_ways GROUP BY u)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, coalesce(r.component_id, e.vec_id) AS component_id,
+    coalesce(r.component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counted c ON c.u = e.vec_id LEFT JOIN root r ON r.node = e.vec_id
+"""
+
+OP8_SQL = """
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+OP10_SQL = """
+WITH RECURSIVE word AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingle AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5
+    THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS x FROM word),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM shingle a JOIN shingle b ON a.x = b.x AND a.doc_id < b.doc_id
+    GROUP BY ALL),
+link AS (SELECT u, v FROM common JOIN size a ON a.doc_id = u JOIN size b ON b.doc_id = v WHERE 100 * k >= 75 * (a.n + b.n - k)),""" + CLOSURE + """
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(r.component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN size s USING (doc_id) LEFT JOIN root r ON r.node = d.doc_id
+"""
+
+
 @query()
 def op9_token_blocks(table) -> DataFrame:
     return blocks.checksums(blocks.token_files(table("documents"), WORD_BPE))
@@ -43,7 +99,7 @@ def op3_packing(table) -> DataFrame:
     return packing.pack(table("documents"), WORD_BPE)
 
 
-@query()
+@query(OP4_SQL)
 def op4_vector_links(table) -> DataFrame:
     return metricjoin.linked(table("embeddings"))
 
@@ -55,31 +111,16 @@ def op6_ring_shards(table) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query()
+@query(OP8_SQL)
 def op8_top_k(table) -> DataFrame:
     return topk.search(table("embeddings"), F.col("vec_id") % 100 == 0)
 
 
-@query()
+@query(OP10_SQL)
 def op10_shingle_groups(table) -> DataFrame:
     return setjoin.grouped(table("documents"))
 
 
-# The rule on lines themselves, without hashes.
-OP1_SQL = """
-WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS nr FROM cut),
-keyed AS (SELECT doc_id, line, nr, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line),
-common AS (SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 20 GROUP BY key
-    HAVING count(DISTINCT doc_id) >= 3),
-marked AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.last_doc AS gone FROM keyed k LEFT JOIN common c USING (key))
-SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped,
-    sha256(coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
-"""
-
-
 @query(OP1_SQL)
 def op1_line_dedup(table) -> DataFrame:
     return lines.kept(table("documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
