@@ -37,7 +37,7 @@ from strata.llm.shingles import mixed, sets, slices
 from strata.session import written
 
 ENTRY_COST = 3     # what an entry of an inverted list costs (order, pivot, comparison), a subset's order being 1
-X = 12             # per cent of a set that its prefix has beyond what a single common shingle needs
+X = 15             # per cent of a set that its prefix has beyond what a single common shingle needs
 CELLS = 256        # bits that tell apart what two sets can have in common
 SEEN = 1 << 18     # sets that a task remembers, to count copies once
 
@@ -132,8 +132,10 @@ def _able(docs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
 
 
 def _meetings(texts: DataFrame, threshold: int) -> DataFrame:
-    """key, centre and ``about`` (node, n, s, k, b0 to b3): sets that may link have a key in common.
+    """key, centre and ``about`` (node, n, s, k, b0 to b3, at): sets that may link have a key in common.
 
+    ``at`` is the place of the key's (first) shingle among the s, from 0: of two partners' common shingles the
+    rarest meets them, and all others come after it in both.
     s counts the shingles that some other set has, centre says how common they are. The 256 bits in b mark the
     cells that these shingles fall into, of a large set a share of 1 / 2^k of them.
     """
@@ -158,18 +160,18 @@ def _meetings(texts: DataFrame, threshold: int) -> DataFrame:
     bound = _boundary(nodes)
     light = nodes.where(F.col("n") * threshold <= bound * 100)
     heavy = nodes.where((F.col("n") > bound) | (F.col("n") < 2))
-    columns = [F.struct("node", "n", "s", "k", *[f"b{w}" for w in range(CELLS // 64)]).alias("about"), "centre"]
-    keys = heavy.select(*columns, F.explode("scanned").alias("t")).select(
-        F.col("t.token").alias("key"), "about", "centre")
-    subsets = light.where("n > 1").select(*columns, "paired", F.posexplode("paired").alias("i", "t")).select(
-        F.explode(F.transform(F.slice("paired", F.col("i") + 2, F.size("paired")),
-                              lambda u: F.xxhash64(F.col("t.token"), u["token"]))).alias("key"), "about", "centre")
+    about = F.struct("node", "n", "s", "k", *[f"b{w}" for w in range(CELLS // 64)], "at").alias("about")
+    keys = heavy.select("*", F.posexplode("scanned").alias("at", "t")).select(F.col("t.token").alias("key"), about, "centre")
+    subsets = light.where("n > 1").select("*", F.posexplode("paired").alias("at", "t")).select(
+        F.explode(F.transform(F.slice("paired", F.col("at") + 2, F.size("paired")),
+                              lambda u: F.xxhash64(F.col("t.token"), u["token"]))).alias("key"), about, "centre")
     return keys.unionByName(subsets)
 
 
 def _may_link(a: str, b: str, threshold: int) -> Column:
-    """Whether the sizes of two sets, and what both can have in common, allow a link.
+    """Whether the sizes of two sets, and what both can have in common, allow a link found at this key.
 
+    If this is the rarest shingle they have in common, no common one comes before it in either.
     A marked cell of one that the other has not marked, though it marks at least as large a share of its
     shingles, holds a shingle that the other lacks.
     """
@@ -177,7 +179,8 @@ def _may_link(a: str, b: str, threshold: int) -> Column:
         lacks = sum((F.bit_count(F.col(f"{x}.b{w}").bitwiseAND(F.bitwise_not(f"{y}.b{w}"))) for w in range(CELLS // 64)), F.lit(0))
         return F.col(f"{x}.s") - F.when(F.col(f"{x}.k") >= F.col(f"{y}.k"), lacks).otherwise(0)
 
-    return F.least(common(a, b), common(b, a)) * (100 + threshold) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * threshold
+    from_here = [F.col(f"{x}.s") - F.col(f"{x}.at") for x in (a, b)]
+    return F.least(common(a, b), common(b, a), *from_here) * (100 + threshold) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * threshold
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
