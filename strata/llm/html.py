@@ -116,7 +116,11 @@ def tally(page: str) -> Counter | None:
 
 def learn(pages: DataFrame) -> dict[str, float]:
     """The weight of a word (under "") and of each tag, from the labelled ones among the pages with the smallest hashes."""
-    sample = pages.where("html is not null").select("html", F.xxhash64("page_id", "html").alias("h")).orderBy("h").limit(LABELLED)
+    # The hash that bounds the sample is found on narrow rows; pages that tie with it all count.
+    order = F.xxhash64("page_id", "url")
+    whole = pages.where("html is not null")
+    last = whole.select(order.alias("h")).orderBy("h").limit(LABELLED).agg(F.max("h")).first()[0]
+    sample = whole.where(order <= F.lit(last))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
