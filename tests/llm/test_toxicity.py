@@ -21,9 +21,9 @@ def sentences(rng, n, slur="vile"):
     return rows
 
 
-def fitted(docs, spark, rows, usable=F.lit(True)):
+def fitted(docs, spark, rows, usable=None):
     labels = spark.createDataFrame([(doc, toxic, 1) for doc, _, toxic in rows], "doc_id long, toxic int, quality int")
-    return toxicity.fit(docs([row[:2] for row in rows]), labels, usable)
+    return toxicity.fit(docs([row[:2] for row in rows]), labels, F.lit(True) if usable is None else usable)
 
 
 def test_penalty_takes_the_group_out_of_the_score(docs, spark, monkeypatch):
@@ -83,7 +83,7 @@ def test_held_out_accuracy_on_the_given_labels(spark):
 
 
 def test_defined_cases(docs, spark):
-    rows = sentences(random.Random(2), 80)
+    rows = sentences(random.Random(2), 300)
     model = fitted(docs, spark, rows + [(1, "", 1), (9999, None, 0), (None, "x", 1), (3, "vile", None)])
     empty = toxicity._sigmoid(model.bias)
     got = table(toxicity.score(docs([(1, None), (2, ""), (2, "Vile, VILE!"), (None, "vile " * 5000)]), model), "doc_id", "score", "predicted")

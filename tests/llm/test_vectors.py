@@ -19,6 +19,7 @@ def vectors(spark):
 
 
 def cosine(a, b):
+    a, b = ([x / max(map(abs, v)) for x in v] for v in (a, b))
     return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a)) / math.sqrt(sum(x * x for x in b))
 
 
