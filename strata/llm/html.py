@@ -2,7 +2,7 @@
 
 A page is read as a sequence of words and tags. Words score positive and tags negative, each with a weight learned
 from labelled pages: those whose article is marked by exactly one ``article`` element. Words of page furniture
-(elements that are named as such) count against. One linear scan finds the contiguous run with the highest sum; the
+(elements that are named as such and do not hold the content) count against. One linear scan finds the contiguous run with the highest sum; the
 smallest container around it is the content, and its text without furniture is the result.
 
 The weights come from at most ``LABELLED`` pages, those with the smallest hashed ids; every page is read whole.
@@ -17,8 +17,11 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 
 LABELLED = 1000
 TAG_NAMES = 200  # tag names that get a weight of their own
+MOST = 0.5       # share of a page's words beyond which elements of one name are no furniture, if no article or main stands outside
+NEARLY_ALL = 0.75  # the same beside an article or main
 _LEAST = 0.02    # a tag costs at least this much, a word earns at least as much
 
 # Elements without text, elements and words of class, id or role that name page furniture, blocks.
@@ -39,17 +44,24 @@ FURNITURE_WORDS = (
     "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets",
     "complementary", "contentinfo", "alert", "dialog", "alertdialog",
 )
+# Names of elements that may hold articles other than the page's own, or what nobody sees.
+OTHERS = frozenset(("comment", "comments", "disqus", "reply", "replies", "respond", "related", "recommended", "promoted",
+                    "promo", "sponsor", "sponsored", "complementary", "hidden"))
+# First parts of classes that tell about the layout around an element.
+LAYOUT = ("has", "with", "no", "without")
 INLINE = ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
           "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
           "time", "tt", "u", "var", "wbr")
 CONTAINERS = ("article", "main", "section", "div", "td", "body", "html", "blockquote", "table", "tr", "tbody", "ul", "ol", "dl")
+# Elements whose id is the target of a link, often made of the words of a heading.
+ANCHORED = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "dt", "dd", "pre", *INLINE))
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|noscript|template|iframe|svg|title|math|object|textarea)\b[^>]*>.*?</\1\s*>"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 _BLANK = re.compile(r"\s+")
 _FURNITURE_WORDS = frozenset(FURNITURE_WORDS)
@@ -57,15 +69,25 @@ _FURNITURE_WORDS = frozenset(FURNITURE_WORDS)
 Event = tuple[str, str, bool]  # kind (a tag name, "/" and a tag name, or "" for text), text, in furniture
 
 
-def _is_furniture(name: str, attributes: str) -> bool:
-    if name in FURNITURE or name in SILENT:
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    return any(part in _FURNITURE_WORDS for found in _NAMED.finditer(attributes)
-               for part in _PARTS.split((found[1] or found[2] or found[3] or "").lower()))
+@lru_cache(maxsize=1 << 14)
+def _furniture_names(name: str, attributes: str) -> frozenset[str]:
+    """Furniture words that name an element: a whole class, id or role, or the last part of one.
+
+    ``hidden`` stands for an element that is not shown, ``form`` for a form, which may as well wrap a page.
+    """
+    if name in ("html", "body", "article", "main"):
+        return frozenset()
+    found = {"form"} if name == "form" else set()
+    for match in _ATTRIBUTE.finditer(attributes):
+        key, value = match[1].lower(), (match[2] or match[3] or match[4] or "").lower()
+        if key == "hidden" or key == "aria-hidden" and value.strip() == "true" or key == "style" and _UNSEEN.search(value):
+            found.add("hidden")
+        elif key in ("class", "role") or key == "id" and name not in ANCHORED:
+            for token in value.split():
+                parts = _PARTS.split(token.strip("-_"))
+                if parts[-1] in _FURNITURE_WORDS and (len(parts) == 1 or parts[0] not in LAYOUT):
+                    found.add(parts[-1])
+    return frozenset(found)
 
 
 def events(page: str) -> list[Event]:
@@ -76,28 +98,74 @@ def events(page: str) -> list[Event]:
             raw.append((token[2] + token[3].lower(), "", token[4]))
         elif token[0][0] != "<" or token[0] == "<":
             raw.append(("", token[0], ""))
-    out: list[Event] = []
-    until = 0  # furniture reaches to here
-    # For each tag that opens furniture, where its own end tag stands.
-    for i, (kind, text, attributes) in enumerate(raw):
-        if i >= until and kind and kind[0] != "/" and kind not in VOID and _is_furniture(kind, attributes):
-            until = max(until, _end(raw, i))
-        out.append((kind, text, i < until))
-    return out
-
-
-def _end(raw: list[tuple[str, str, str]], start: int) -> int:
-    """Place after the end tag of the element that opens at ``start``; right after it if there is none."""
-    name, depth = raw[start][0], 0
-    for i in range(start, len(raw)):
-        kind = raw[i][0]
-        if kind == name:
-            depth += 1
-        elif kind == "/" + name:
-            depth -= 1
-            if not depth:
-                return i + 1
-    return start + 1
+    inside = _furniture(raw)
+    return [(kind, text, inside[i]) for i, (kind, text, _) in enumerate(raw)]
+
+
+def _furniture(raw: list[tuple[str, str, str]]) -> list[bool]:
+    """Which events stand in furniture: elements by their tag name first, then those that a class, id or role names.
+
+    What holds the content is no furniture, whatever its name: an element with an ``article`` or ``main`` (outside
+    of any other article), and elements of one name that together hold most words of the page.
+    """
+    ends = _ends(raw)
+    inside = [False] * len(raw)
+    articles = [i for i, (kind, _, _) in enumerate(raw) if kind == "article"]
+    mains = [i for i, (kind, _, _) in enumerate(raw) if kind == "main"]
+    nested, until = [False] * len(raw), 0
+    for i in articles:
+        begin, until = max(i + 1, until), max(until, ends[i])
+        nested[begin:until] = [True] * (until - begin)
+
+    def within(places: list[int], i: int) -> int:
+        return bisect_left(places, ends[i]) - bisect_left(places, i)
+
+    def content(i: int, others: bool) -> bool:
+        """Whether the element holds ``main`` or articles; all of them, if it may hold further articles."""
+        if within(mains, i):
+            return True
+        held = 0 if nested[i] else within(articles, i)
+        return held == len(articles) and held > 0 and not mains if others else held > 0
+
+    until = 0
+    for i, (kind, _, _) in enumerate(raw):
+        if i >= until and (kind in SILENT or kind in FURNITURE and kind != "form" and not content(i, True)):
+            until = max(until, ends[i])
+        inside[i] = i < until
+    named = [(i, names) for i, (kind, _, attributes) in enumerate(raw)
+             if kind and kind[0] != "/" and not inside[i] and (attributes or kind == "form") and kind not in VOID
+             and (names := _furniture_names(kind, attributes))]
+    if not named:
+        return inside
+    articles, mains = ([i for i in places if not inside[i]] for places in (articles, mains))
+    words = [0, *accumulate(0 if kind or inside[i] else len(text.split()) for i, (kind, text, _) in enumerate(raw))]
+    reach: dict[str, list[int]] = {}  # of each name: where its elements end so far, their words, articles and mains
+    for i, names in named:
+        for name in names:
+            at = reach.setdefault(name, [0, 0, 0])
+            if i >= at[0]:
+                at[:] = ends[i], at[1] + words[ends[i]] - words[i], at[2] + within(articles, i) + within(mains, i)
+    unfit = {name for name, (_, n, marked) in reach.items()
+             if (n > MOST * words[-1] if marked == len(articles) + len(mains) else n > NEARLY_ALL * words[-1] and name not in OTHERS)}
+    until = 0
+    for i, names in named:
+        names = names - unfit
+        if i >= until and names and not content(i, bool(names & OTHERS)):
+            until = ends[i]
+            inside[i:until] = [True] * (until - i)
+    return inside
+
+
+def _ends(raw: list[tuple[str, str, str]]) -> list[int]:
+    """By place of an opening tag: the place after its end tag; right after itself if there is none."""
+    ends = list(range(1, len(raw) + 1))
+    open_: dict[str, list[int]] = {}
+    for i, (kind, _, _) in enumerate(raw):
+        if kind and kind[0] != "/":
+            open_.setdefault(kind, []).append(i)
+        elif kind and open_.get(kind[1:]):
+            ends[open_[kind[1:]].pop()] = i + 1
+    return ends
 
 
 def tally(page: str) -> Counter | None:

@@ -31,6 +31,37 @@ def test_main_text(page, want):
     assert html.main_text(page, WEIGHTS) == want
 
 
+TEXT = "<h1>T</h1><p>the text of the page goes on here</p>"
+WRAPPED = [
+    *[(f"<body><nav>go on</nav><div {wrapper}><article>{TEXT}</article><div class=sidebar>s</div></div></body>",
+       "T the text of the page goes on here")
+      for wrapper in ("class='has-sidebar'", "class='elementor-widget-container'", "class='elementor-widget x'", "id=search",
+                      "class='modal-dialog' style='display:none'", "role=alert", "hidden", "class='post-comments'")],
+    (f"<body><form action=x><main>{TEXT}</main></form></body>", "T the text of the page goes on here"),
+    (f"<body><form action=x><div>{TEXT}</div></form><p class=copyright>c</p></body>", "T the text of the page goes on here"),
+    (f"<body><div class='no-sidebar widget'>{TEXT}</div><div class=ad>buy</div></body>", "T the text of the page goes on here"),
+    ("<body><div class=elementor-widget><p>one two three</p></div><div class=elementor-widget><p>four five six</p></div></body>",
+     "one two three four five six"),
+    ("<body><div class=widget><article><p>a b c</p></article></div><div class=widget><article><p>d e f</p></article></div></body>",
+     "a b c d e f"),
+    ("<article><p>a b c</p><h2 id='related-work'>d</h2><h2 id=search>e</h2><p class='notice-period'>f</p>"
+     "<p title='the hidden cost'>g</p><p data-role=banner>h</p><p title='a class=ad b'>i</p></article>", "a b c d e f g h i"),
+    ("<article><p>a b c</p><p hidden>d</p><p style='display: none'>e</p><p aria-hidden=true>f</p><div class='page-ad'>g</div>"
+     "<section class='x comments'><article>h i</article></section></article>", "a b c"),
+    ("<main><article><p>a b c d</p></article><section id=comments><article>h i</article></section>"
+     "<aside><article>j</article></aside></main>", "a b c d"),
+]
+
+
+@pytest.mark.parametrize("page,want", WRAPPED)
+def test_what_holds_the_content_is_no_furniture(page, want):
+    assert html.main_text(page, WEIGHTS | {"article": -0.02, "/article": -0.02, "div": -0.5, "/div": -0.5, "h2": -0.02, "/h2": -0.02}) == want
+
+
+def test_many_open_wrappers():
+    assert html.main_text("<div class=widget>" * 20000 + "a b" + "</div>" * 20000, WEIGHTS | {"div": -6.0}) == "a b"
+
+
 def test_best_run_is_the_maximum():
     found = html.events("<div>a b</div><a>c</a><p>d e f</p><p>g</p><div>h</div>")
 
