@@ -1,7 +1,8 @@
 """Toxicity classifier with counterfactual regularisation.
 
 A logistic regression on words and word beginnings: a word counts as 1 where it occurs, a beginning by its share of
-all words, in full from ``FULL_SHARE`` on. Features are chosen by how far the toxic share of the texts that have
+the words, in full from ``FULL_SHARE`` on. Of a text longer than ``WINDOW`` words the share is that of the window
+where it is highest, so that a passage counts alike in a text of any length. Features are chosen by how far the toxic share of the texts that have
 them lies from the overall share; identity terms are always among them. For every labelled text with an identity
 term, the text with the term swapped for others of its kind is added, and the squared change of the score is
 penalised, so a neutral mention of a group carries no weight of its own.
@@ -31,6 +32,7 @@ TRAIN_ROWS = 10_000    # labelled rows of the fit
 FEATURES = 400         # features of the model, besides identity terms
 BEGINNINGS = range(3, 9)  # lengths of word beginnings
 FULL_SHARE = 0.02      # share of all words from which on a beginning counts in full
+WINDOW = 256           # words of a window; the next one begins half a window later
 MIN_ROWS = 8           # labelled rows a feature must occur in
 MIN_DEVIATIONS = 6.0   # standard deviations by which its toxic share must differ
 SWAPS = 3              # swapped texts for each identity term of a text
@@ -39,7 +41,7 @@ RIDGE = 1e-4
 STEPS = 800
 MEMORY = 300_000       # words whose features a worker remembers; a full memory is emptied, which costs time only
 
-# Identity terms by kind.
+# Identity terms by kind, in English, German, French and Spanish; no term stands in two kinds.
 IDENTITY = (
     ("women", "men", "girls", "boys", "females", "males"),
     ("woman", "man", "girl", "boy", "female", "male"),
@@ -49,6 +51,32 @@ IDENTITY = (
     ("gay", "straight", "lesbian", "bisexual", "transgender", "queer"),
     ("immigrants", "refugees", "foreigners", "citizens", "natives"),
     ("disabled", "blind", "deaf", "autistic", "old", "young"),
+    ("frauen", "männer", "mädchen", "jungs"),
+    ("frau", "mann"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten", "katholiken"),
+    ("muslimische", "christliche", "jüdische", "buddhistische", "katholische"),
+    ("schwarze", "weiße", "asiatische", "afrikanische", "europäische", "arabische"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "bürger", "einheimische"),
+    ("behinderte", "blinde", "gehörlose", "alte", "junge"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("musulmans", "chrétiens", "juifs", "bouddhistes", "athées", "catholiques"),
+    ("musulman", "chrétien", "juif", "bouddhiste", "athée", "catholique"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens", "arabes"),
+    ("noir", "blanc", "asiatique", "africain", "européen", "arabe"),
+    ("homosexuels", "hétérosexuels", "lesbiennes", "bisexuels"),
+    ("immigrés", "réfugiés", "étrangers", "citoyens", "autochtones"),
+    ("handicapés", "aveugles", "sourds", "vieux", "jeunes"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre", "niña", "niño"),
+    ("musulmanes", "cristianos", "judíos", "budistas", "ateos", "católicos"),
+    ("musulmán", "cristiano", "judío", "budista", "ateo", "católico"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos", "árabes"),
+    ("negro", "blanco", "asiático", "africano", "europeo", "árabe"),
+    ("homosexuales", "heterosexuales", "lesbianas", "bisexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "ciudadanos", "nativos"),
+    ("discapacitados", "ciegos", "sordos", "viejos", "jóvenes"),
 )
 _KIND = {term: kind for kind in IDENTITY for term in kind}
 _WORD = re.compile(r"[^\W\d_]+")
@@ -85,6 +113,14 @@ class _Features:
         return found
 
     def values(self, words: list[str]) -> dict[str, float]:
+        out = self._values(words[:WINDOW])
+        for end in range(WINDOW + WINDOW // 2, len(words) + WINDOW // 2, WINDOW // 2):
+            end = min(end, len(words))
+            for name, value in self._values(words[end - WINDOW:end]).items():
+                out[name] = max(value, out.get(name, 0.0))
+        return out
+
+    def _values(self, words: list[str]) -> dict[str, float]:
         out: dict[str, float] = {}
         step = 1.0 / (FULL_SHARE * len(words)) if words else 0.0
         for word, times in Counter(words).items():

@@ -65,6 +65,37 @@ def test_values_of_words_and_beginnings():
     assert features.values([]) == {}
 
 
+def test_a_passage_counts_alike_in_a_text_of_any_length():
+    features = toxicity._Features(["vil*", "a"])
+    passage = ["viles", "vilest", "vila"] + ["x"] * 97
+    for before, after in ((200, 0), (0, 200), (157, 0), (9000, 7000), (33, 4001), (0, 20000)):
+        assert features.values(["y"] * before + passage + ["y"] * after) == {"vil*": 3 / (toxicity.FULL_SHARE * toxicity.WINDOW)}
+    words = [f"w{i}" for i in range(1000)] + ["a"]
+    assert features.values(words) == {"a": 1.0} and features.values(words[::-1]) == {"a": 1.0}
+
+
+def test_a_toxic_passage_in_a_long_text(docs, spark):
+    rng = random.Random(6)
+    clean = "die das und nicht mit haus strasse wetter morgen abend fluss baum".split()
+
+    def text(n, toxic):
+        words = [rng.choice(clean) for _ in range(n)]
+        return " ".join(words + [f"gemein{rng.choice('abcdefgh')}{i}x" for i in range(3)] * toxic)
+    rows = [(i, text(rng.randrange(60, 120), int(i % 3 == 0)).replace("0x", "ste").replace("1x", "ster").replace("2x", "sten"), int(i % 3 == 0))
+            for i in range(400)]
+    model = fitted(docs, spark, rows)
+    passage = " ".join(["die gemeinaster und gemeinbsten mit gemeincste haus"] * 3)
+    long = [(1, text(6000, 0) + " " + passage + " " + text(6000, 0)), (2, text(12000, 0))]
+    assert table(toxicity.score(docs(long), model), "doc_id", "predicted") == [(1, 1), (2, 0)]
+
+
+def test_identity_terms_of_four_languages():
+    terms = [term for kind in toxicity.IDENTITY for term in kind]
+    assert len(set(terms)) == len(terms) and all(toxicity.words_of(term) == [term] for term in terms)
+    for text in ("Some women and the old ones", "Die Juden, und manche Frauen", "Les Arabes et les étrangers", "Los judíos y LAS MUJERES"):
+        assert len(list(toxicity._swapped(toxicity.words_of(text)))) == 2 * toxicity.SWAPS
+
+
 def test_swaps_stay_within_their_kind():
     swaps = list(toxicity._swapped(toxicity.words_of("Some women and a vile man")))
     assert len(swaps) == 2 * toxicity.SWAPS and all(len(words) == 6 for words in swaps)
