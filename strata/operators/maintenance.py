@@ -180,13 +180,22 @@ def maintenance_failures(results: DataFrame) -> DataFrame:
 
 
 def maintenance_log(before: DataFrame, after: DataFrame, operation: str, status: str = "success",
-                    duration_ms: int | None = None) -> DataFrame:
-    """Log rows with file metrics before and after an operation, one per table."""
+                    duration_ms: int | None = None, tables: DataFrame | None = None, created_at=None) -> DataFrame:
+    """Log rows with file metrics before and after an operation, one per table.
+
+    With ``created_at`` and the catalog's ``tables`` (id, table_path) the rows also have what ``search_log`` reads:
+    an id (a hash of table, operation and time, the same in a repeated run), the table's id, and the time.
+    """
     metrics = ["file_count", "total_size_bytes"]
     side = lambda df, mark: df.select("table_path", *[F.col(m).alias(f"{m}_{mark}") for m in metrics])
     joined = side(before, "before").join(side(after, "after"), "table_path", "full_outer")
+    found = []
+    if created_at is not None:
+        at = F.lit(created_at).cast("timestamp_ntz")
+        joined = joined.join(tables.select("table_path", F.col("id").cast("bigint").alias("table_id")), "table_path", "left")
+        found = [F.xxhash64("table_path", F.lit(operation), at).alias("id"), "table_id", at.alias("created_at")]
     return joined.select(
-        "table_path", F.lit(operation).alias("operation"), F.lit(status).alias("status"),
+        *found, "table_path", F.lit(operation).alias("operation"), F.lit(status).alias("status"),
         F.lit(duration_ms).cast("bigint").alias("duration_ms"),
         *[f"{m}_{mark}" for m in metrics for mark in ("before", "after")])
 

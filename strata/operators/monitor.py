@@ -26,14 +26,17 @@ CHECKPOINT_SCHEMA = (
 def task_status(log: DataFrame, task: str = "task_id", seq: str = "seq") -> DataFrame:
     """Current status of each task from its polled job states, with lag of the newest running poll.
 
+    Where the polls have ``throughput`` or ``checkpoint_count``, so has the status, also of the newest running poll.
     Also valid on a stream of polls (update or complete output): the state is one row per task.
     """
     running = map_job_state("job_state") == "running"
+    newest = lambda name: F.max_by(F.when(running, F.col(name)), F.when(running, F.col(seq))).alias(name)
+    more = [name for name in ("throughput", "checkpoint_count") if name in log.columns]
     return log.where(F.col("job_state").isNotNull()).groupBy(task).agg(
         F.max_by("job_state", seq).alias("_state"), F.max_by("at_time", seq).alias("changed_at"),
-        F.max_by(F.when(running, F.col("lag_ms")), F.when(running, F.col(seq))).alias("lag_ms"),
-        F.count(F.lit(1)).alias("polls"), F.count_if(map_job_state("job_state") == "failed").alias("failures"),
-    ).select(task, map_job_state("_state").alias("status"), "changed_at", "lag_ms", "polls", "failures")
+        newest("lag_ms"), F.count(F.lit(1)).alias("polls"), F.count_if(map_job_state("job_state") == "failed").alias("failures"),
+        *map(newest, more),
+    ).select(task, map_job_state("_state").alias("status"), "changed_at", "lag_ms", "polls", "failures", *more)
 
 
 def previous_value(df: DataFrame, key: Sequence[str], seq: str, value: str, alias: str,

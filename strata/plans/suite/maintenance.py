@@ -115,6 +115,22 @@ def maintenance_log(d: Data):
     return op.maintenance_log(file_stats(listing, "/lake"), file_stats(after, "/lake"), "compact", duration_ms=320)
 
 
+@register(f"""
+    SELECT l_suppkey AS table_id, TIMESTAMP '{NOW}' AS created_at, concat('ods/t', l_suppkey) AS table_path, 'success' AS status,
+           count(*) AS file_count_before, nullif(count(*) FILTER (l_returnflag = 'R'), 0) AS file_count_after
+    FROM lineitem WHERE l_suppkey = 7 GROUP BY l_suppkey""")
+def search_written_log(d: Data):
+    """Searches what ``maintenance_log`` writes."""
+    listing = d.table("lineitem").select(
+        F.concat(F.lit("/lake/ods/t"), "l_suppkey", F.lit("/data-"), "l_orderkey").alias("path"),
+        F.floor("l_quantity").alias("length"), "l_returnflag")
+    tables = d.table("supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("ods/t"), "s_suppkey").alias("table_path"))
+    log = op.maintenance_log(file_stats(listing, "/lake"), file_stats(listing.where("l_returnflag = 'R'"), "/lake"), "compact",
+                             tables=tables, created_at=NOW)
+    return op.search_log(log, operation="compact", table_id=7).select(
+        "table_id", "created_at", "table_path", "status", "file_count_before", "file_count_after")
+
+
 @register("SELECT * FROM hist WHERE operation = 'compact' AND status = 'failed'", ("hist",))
 def search_log(d: Data):
     return op.search_log(d.fixture("hist"), operation="compact", status="failed")

@@ -51,6 +51,15 @@ def task_status(d: Data):
     return _status(d)
 
 
+@register("WITH" + STATUS + """,
+    metrics AS (SELECT task_id, arg_max(seq % 97 / 2.0::DOUBLE, seq) AS throughput, arg_max(seq % 50, seq) AS checkpoint_count
+                FROM polls WHERE status = 'running' GROUP BY task_id)
+    SELECT s.*, m.throughput, m.checkpoint_count FROM status s LEFT JOIN metrics m USING (task_id)""", ("tasklog",))
+def task_status_metrics(d: Data):
+    return op.task_status(d.fixture("tasklog").withColumn("throughput", (F.col("seq") % 97).cast("double") / 2)
+                          .withColumn("checkpoint_count", F.col("seq") % 50))
+
+
 INVALID = f"""
     WITH moves AS (SELECT task_id, seq, at_time, {STATUS_OF} AS to_status,
                           lag({STATUS_OF}) OVER (PARTITION BY task_id ORDER BY seq) AS from_status FROM tasklog)

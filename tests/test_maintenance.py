@@ -105,6 +105,17 @@ def test_log_covers_tables_that_came_or_went(make):
         ("a", 9, 2, 80), ("b", 1, None, None), ("c", None, 1, 5)]
 
 
+def test_log_rows_can_be_searched(make):
+    schema = "table_path string, file_count bigint, total_size_bytes bigint"
+    before, after = make([("a", 9, 90), ("b", 4, 10)], schema), make([("a", 2, 80), ("b", 1, 9)], schema)
+    tables = make([(7, "a"), (8, "b")], "id int, table_path string")
+    log = op.maintenance_log(before, after, "compact", tables=tables, created_at="2024-01-01 10:00:00").unionByName(
+        op.maintenance_log(before, after, "compact", tables=tables, created_at="2024-01-02 10:00:00"))
+    found = op.search_log(log, operation="compact", status="success", table_id=7).collect()
+    assert [(row["created_at"].day, row["table_path"], row["file_count_after"]) for row in found] == [(2, "a", 2), (1, "a", 2)]
+    assert log.select("id").distinct().count() == 4
+
+
 def test_batch_goes_on_after_a_failure(spark, make, tmp_path):
     tables = make([(1, "ods", "a"), (2, "ods", "missing"), (3, "ods", "c")], "id bigint, db string, table_name string")
     for name in ("a", "c"):

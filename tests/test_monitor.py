@@ -57,6 +57,13 @@ def test_task_status_keeps_lag_of_the_last_running_poll(make):
         (1, "failed", 10, 2, 1), (2, "submitting", None, 1, 0)]
 
 
+def test_task_status_has_throughput_and_checkpoints_of_the_last_running_poll(make):
+    rows = [(1, 1, "RUNNING", 10, T, 2.5, 3), (1, 2, "RUNNING", 11, T, 4.5, 4), (1, 3, "FAILED", 99, T, 0.0, 0), (2, 1, "CREATED", 5, T, 1.0, 1)]
+    log = make(rows, LOG + ", throughput double, checkpoint_count bigint")
+    assert rows_of(op.task_status(log), "task_id", "status", "lag_ms", "throughput", "checkpoint_count") == [
+        (1, "failed", 11, 4.5, 4), (2, "submitting", None, None, None)]
+
+
 def test_stuck_submissions(make):
     now = dt.datetime(2024, 1, 1, 12)
     rows = [(1, "submitting", None, now - dt.timedelta(minutes=6)), (2, "submitting", None, now - dt.timedelta(minutes=5)),
