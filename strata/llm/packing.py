@@ -43,18 +43,21 @@ class _Sums:
         self.triple = np.rint(np.convolve(has, self.pair.astype(np.float64))[:size]) > 0
 
     def find(self, gap: int, parts: int) -> tuple[int, ...] | None:
-        """Lengths that fill ``gap`` exactly with so many parts, the largest first."""
+        """Lengths that fill ``gap`` exactly with so many parts and are there that often, the largest first."""
+        return next((found for found in self._fills(gap, parts) if _times(self.left, found)), None)
+
+    def _fills(self, gap: int, parts: int) -> Iterator[tuple[int, ...]]:
+        """All combinations, with the largest lengths first; how often a length is there is not looked at."""
         if parts == 1:
-            return (gap,) if self.single[gap] else None
-        if not (self.pair if parts == 2 else self.triple)[gap]:
-            return None
-        rest = self.single if parts == 2 else self.pair
-        firsts = np.flatnonzero(self.single[:gap] & rest[gap:0:-1])
-        for first in firsts[::-1]:
-            tail = self.find(gap - int(first), parts - 1)
-            if tail and first >= tail[0]:
-                return (int(first), *tail)
-        return None
+            if self.single[gap]:
+                yield (gap,)
+        elif (self.pair if parts == 2 else self.triple)[gap]:
+            rest = self.single if parts == 2 else self.pair
+            firsts = np.flatnonzero(self.single[:gap] & rest[gap:0:-1])
+            for first in firsts[firsts * parts >= gap][::-1]:
+                for tail in self._fills(gap - int(first), parts - 1):
+                    if first >= tail[0]:
+                        yield (int(first), *tail)
 
 
 def _times(left: np.ndarray, lengths: tuple[int, ...]) -> int:

@@ -32,6 +32,15 @@ def test_pairs_and_triples():
     assert check_plan({50: 3}, 100) == 2
 
 
+def test_the_next_combination_that_the_counts_allow():
+    left = np.zeros(101, dtype=np.int64)
+    left[[20, 10, 18, 12]] = 1
+    assert packing._Sums(left).find(50, 3) == (20, 18, 12)  # 20, 20, 10 would need two of 20
+    left[20] = 2
+    assert packing._Sums(left).find(50, 3) == (20, 20, 10)
+    assert packing._Sums(left).find(24, 2) is None
+
+
 def test_random_histograms_come_near_the_bound():
     rng = random.Random(2)
     for size in (64, 512):
