@@ -35,13 +35,26 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id; all that are in none."""
+    """One document of each group of near-duplicates: the one with the smallest id; all that are in none.
+
+    Of rows that agree in id and text one stays. Rows without an id are in no group, but of those with the same
+    text, if it has words, one stays too.
+    """
     importable(spark)
     groups = setjoin.grouped(docs)
-    # A row without an id is in no group.
     stay = written(groups.where("doc_id = component_id").select("doc_id").distinct(), "one-of-each")
     rows = docs.select(*COLUMNS)
-    return rows.join(stay, "doc_id", "left_semi").select(*COLUMNS).unionByName(rows.where("doc_id is null"))
+    left = rows.join(stay, "doc_id", "left_semi").select(*COLUMNS).unionByName(rows.where("doc_id is null"))
+    # Hashes tell which rows may be repeated; only those are compared by their texts.
+    hashed = left.withColumn("hash", F.xxhash64("text"))
+    again = written(hashed.where(F.col("doc_id").isNotNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+                    .groupBy("doc_id", "hash").count().where("count > 1").select(F.col("doc_id").alias("id"), F.col("hash").alias("h")),
+                    "repeated")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h"))
+    others = [name for name in COLUMNS if name not in ("doc_id", "text")]
+    one = (hashed.join(again, same, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("row"))
+           .select("doc_id", "text", *[f"row.{name}" for name in others]))
+    return hashed.join(again, same, "left_anti").select(*COLUMNS).unionByName(one)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

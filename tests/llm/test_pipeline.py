@@ -72,6 +72,16 @@ def test_each_stage_against_brute_force(spark, folder):
     assert max(ends.values()) <= 2048 and len(ends) == -(-sum(r["length"] for r in out) // 2048)
 
 
+def test_repeated_rows_stay_once(spark, folder):
+    path, _ = folder
+    rows = [(1, "a b c d e f", "en", "s", 11)] * 3 + [(1, "other words of that id", "en", "s", 22), (2, "a b c d e f", "en", "s", 11)]
+    rows += [(None, "a b c d e f", "en", "s", 11), (None, "a b c d e f", "de", "t", 11), (None, "", "en", "s", 0), (None, "", "en", "s", 0)]
+    rows += [(None, None, "en", "s", 0)] * 2 + [(3, None, "en", "s", 0)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = table(corpus_pipeline.drop_copies(spark, docs, path), *COLUMNS)
+    assert got == sorted([rows[0], rows[3], rows[6], *rows[7:11], rows[11]], key=repr)
+
+
 def test_run_is_the_stages(spark, folder):
     path, _ = folder
     whole = corpus_pipeline.run(spark, path)
