@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,73 @@ def indexed(df: DataFrame, order: list, name: str) -> DataFrame:
             .drop("_part", "_base", "_at"))
 
 
+def _run_starts(keys: np.ndarray) -> np.ndarray:
+    """For each place, where its run of equal neighbouring keys begins."""
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
+def running(df: DataFrame, key: str, order: list, xors: list[str], name: str) -> DataFrame:
+    """``df`` with ``at``, the place (from 0) of each row among those of its ``key`` in their ``order``, and with the
+    columns ``xors`` (long) replaced by the exclusive or over the key's rows up to this one.
+
+    A range sort cuts the rows of a long key over tasks. Each task counts on its own; what its first key has got in
+    earlier tasks is one row for each task, added by a join. ``key`` is a long without nulls.
+    """
+    spark = df.sparkSession
+    columns = [column for column in df.columns if column not in xors]
+
+    def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count, values, waiting = None, 0, [np.int64(0)] * len(xors), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if waiting is not None:
+                yield pa.RecordBatch.from_pydict(waiting)
+            keys = batch[key].to_numpy()
+            start = _run_starts(keys)
+            goes_on = (start == 0) & (keys[0] == last)
+            at = np.arange(len(keys)) - start + np.where(goes_on, count, 0)
+            sums = []
+            for column, value in zip(xors, values):
+                upto = np.concatenate([[np.int64(0)], np.bitwise_xor.accumulate(batch[column].to_numpy())])
+                sums.append(upto[1:] ^ upto[start] ^ np.where(goes_on, value, np.int64(0)))
+            last, count, values = keys[-1], at[-1] + 1, [total[-1] for total in sums]
+            ends = np.zeros(len(keys), dtype=bool)
+            waiting = {**{column: batch[column] for column in columns}, **dict(zip(xors, map(pa.array, sums))),
+                       "at": pa.array(at), "_part": batch["_part"], "_ends": pa.array(ends)}
+        if waiting is not None:
+            ends = np.zeros(len(waiting["at"]), dtype=bool)
+            ends[-1] = True
+            yield pa.RecordBatch.from_pydict(waiting | {"_ends": pa.array(ends)})
+
+    ordered = df.select(*columns, *xors).repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    fields = [f"`{field.name}` {field.dataType.simpleString()}" for field in df.select(*columns, *xors).schema]
+    rows = written(ordered.withColumn("_part", F.spark_partition_id()).mapInArrow(
+        accumulate, ", ".join([*fields, "at long", "_part int", "_ends boolean"])), name)
+    parts, keys, counts, totals = [], [], [], []
+    before = None  # the last key so far, its rows and its values
+    for row in rows.where("_ends").select("_part", key, "at", *xors).orderBy("_part").collect():
+        count, values = row["at"] + 1, [row[column] for column in xors]
+        if before is not None:
+            parts.append(row["_part"])
+            keys.append(before[0])
+            counts.append(before[1])
+            totals.append(before[2])
+            if before[0] == row[key]:
+                count, values = count + before[1], [a ^ b for a, b in zip(values, before[2])]
+        before = row[key], count, values
+    carried = small(spark, _part=pa.array(parts, pa.int32()), **{key: pa.array(keys, pa.int64())},
+                    _at=pa.array(counts, pa.int64()),
+                    **{f"_{column}": pa.array([total[i] for total in totals], pa.int64()) for i, column in enumerate(xors)})
+    none = F.lit(0).cast("long")
+    joined = rows.join(carried, ["_part", key], "left")
+    return joined.select(
+        *columns, *[F.col(column).bitwiseXOR(F.coalesce(f"_{column}", none)).alias(column) for column in xors],
+        (F.col("at") + F.coalesce("_at", none)).alias("at"))
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from the folder where the driver found it."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

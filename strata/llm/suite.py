@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import blocks, html, lines, metricjoin, packing, ring, setjoin, topk, toxicity, unigram
+from strata.llm import (
+    blocks, divergence, html, lines, metricjoin, packing, ring, setjoin, topk, toxicity, trie, unigram, winnow)
 from strata.llm.frames import importable
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -88,6 +89,61 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(r.component_id, d.doc_
 FROM documents d LEFT JOIN size s USING (doc_id) LEFT JOIN root r ON r.node = d.doc_id
 """
 
+# The unsigned CRC-32 of the decimal conv_id, bit by bit.
+OP12_SQL = """
+WITH turn AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    md5(length(role)::VARCHAR || ':' || role || text)) - 1 AS place FROM turn),
+headed AS (SELECT DISTINCT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda sum, c: list_reduce(list_prepend(xor(sum, c), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda s, z: xor(s >> 1, 3988292384 * (s & 1))))) % 6 AS head FROM placed),
+line AS (SELECT h.conv_id, 0 AS part, p.place, p.role, p.text FROM headed h JOIN placed p
+        ON p.conv_id = h.conv_id - h.conv_id % 100 AND p.place < h.head
+    UNION ALL SELECT h.conv_id, 1, p.place, p.role, p.text FROM headed h JOIN placed p ON p.conv_id = h.conv_id AND p.place >= h.head),
+whole AS (SELECT h.conv_id, coalesce(list({'role': l.role, 'text': l.text} ORDER BY l.part, l.place) FILTER (l.part IS NOT NULL), []) AS turns
+    FROM headed h LEFT JOIN line l USING (conv_id) GROUP BY h.conv_id),
+prefix AS (SELECT conv_id, d, turns[1:d] AS name, len(turns) = d AS ends FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM whole)),
+node AS (SELECT d, name, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ids FROM prefix GROUP BY d, name),
+child AS (SELECT d - 1 AS d, name[1:d - 1] AS name, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT n.*, p.conv_id AS parent_conv_id, coalesce(c.n_children, 0) AS n_children
+    FROM node n LEFT JOIN node p ON n.d > 0 AND p.d = n.d - 1 AND p.name = n.name[1:n.d - 1]
+    LEFT JOIN child c ON c.d = n.d AND c.name = n.name),
+subtree AS (SELECT a.d, a.conv_id, count_if(b.n_children = 0) AS n_leaves,
+    sum(CASE WHEN b.d = 0 THEN 0 ELSE (b.n_convs - 1) * length(b.name[b.d].text) END) AS saved
+    FROM full_node a JOIN full_node b ON b.d >= a.d AND b.name[1:a.d] = a.name GROUP BY a.d, a.conv_id)
+SELECT n.conv_id, n.d::BIGINT AS depth, n.parent_conv_id, n.n_convs, n.n_children, s.n_leaves::BIGINT AS n_leaves,
+    s.saved::BIGINT AS saved_tokens, sha256(n.ids) AS ends_sha256
+FROM full_node n JOIN subtree s USING (d, conv_id)
+"""
+
+OP13_SQL = """
+WITH doc AS (SELECT row_number() OVER () AS nr, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+word AS (SELECT nr, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM doc),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM word GROUP BY ALL HAVING count(DISTINCT nr) >= 3),
+counted AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM word GROUP BY ALL),
+lang_size AS (SELECT lang, count(*)::HUGEINT AS v, sum(n) AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM doc),
+total AS (SELECT lang, source, sum(c.n) AS total FROM counted c JOIN kept USING (lang, term) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(t.total, 0) + s.v) AS p,
+    1 + (1000000000::HUGEINT * (k.n + 1)) // (s.total + s.v) AS lang_p
+    FROM groups g JOIN kept k USING (lang) JOIN lang_size s USING (lang)
+    LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+    LEFT JOIN total t ON t.lang = g.lang AND t.source = g.source),
+distance AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(d.value, 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN distance d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source),
+term AS (SELECT lang, source, term AS item, (((p - lang_p) * (p - lang_p)) // lang_p)::BIGINT AS value FROM p WHERE n > 0 AND p > lang_p),
+every AS (SELECT *, 'pair' AS part FROM pair UNION ALL SELECT *, 'term' FROM term)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM every QUALIFY part = 'pair' OR rank <= 200
+"""
+
 
 @query()
 def op9_token_blocks(table) -> DataFrame:
@@ -146,3 +202,20 @@ def op5_main_text(table) -> DataFrame:
 @query()
 def op7_pieces(table) -> DataFrame:
     return unigram.round_trips(table("documents"), PIECE_MODEL)
+
+
+@query()
+def op11_fingerprints(table) -> DataFrame:
+    return winnow.neighbours(table("documents")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.lower(F.hex("entries")).alias("fingerprint"),
+        F.lower(F.hex("edited_entries")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query(OP12_SQL)
+def op12_prefix_trie(table) -> DataFrame:
+    return trie.trie(table("conversations"))
+
+
+@query(OP13_SQL)
+def op13_source_divergence(table) -> DataFrame:
+    return divergence.audit(table("documents"))
