@@ -7,7 +7,6 @@ from collections import Counter
 import numpy as np
 import pytest
 from tests.llm.common import table, workers  # noqa: F401
-from pyspark.sql import functions as F
 
 from strata.llm import divergence
 
@@ -65,9 +64,8 @@ def test_audit_equals_whole_sums(spark, texts, seed):
 def test_collided_digests_are_split(spark, texts):
     rows = random_rows(3)
     expected = brute(rows, top=4)
-    for cells in (1, 4, 1 << 60):
-        digest = F.pmod(F.xxhash64("term"), F.lit(cells))
-        assert table(divergence.audit(texts(rows), top=4, digest=digest), *NAMES) == expected
+    for bits in (1, 4, 60):
+        assert table(divergence.audit(texts(rows).repartition(4), top=4, bits=bits), *NAMES) == expected
 
 
 def test_ties_are_ordered_by_their_bytes(spark, texts):
@@ -100,11 +98,14 @@ def test_pieces_end_between_terms(monkeypatch):
         assert Counter(terms.take(codes).to_pylist()) == Counter(t for p in parts for t in p[2].take(p[1]).to_pylist())
 
 
-def test_a_tally_hands_on_what_it_holds():
-    held = divergence._Tally()
+def test_a_tally_hands_on_what_it_holds(monkeypatch):
+    monkeypatch.setattr(divergence, "HELD", 2)
+    held = divergence._Tally(64, False)
     for _ in range(3):
-        codes = held.code(["a", "b"])
-        held.add(np.array([held.group("en", "s"), held.group("en", "t")]), codes, np.array([2, 1]), np.array([1, 1]))
-    assert held.rows().to_pylist() == [{"lang": "en", "source": "s", "term": "a", "n": 6, "docs": 3},
-                                       {"lang": "en", "source": "t", "term": "b", "n": 3, "docs": 3}]
-    assert not len(held.keys) and not held.codes and not held.full()
+        held.add([5, 6], ["en", "en"], np.array([0, 1, 1]), np.array([0, 0, 1]), np.array([2, 1, 4]), ["a", "b"])
+    assert held.full()
+    [batch] = held.rows()
+    rows = batch.to_pylist()
+    assert sorted((row["gk"], row["n"], row["docs"]) for row in rows) == [(5, 6, 3), (6, 3, 3), (6, 12, 3)]
+    assert sorted(row["term"] for row in rows if row["term"]) == ["a", "b"] and len({row["digest"] for row in rows}) == 2
+    assert not held.held and not held.codes and not held.full() and not list(held.rows())
