@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SHINGLE = 5
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"): ord("Z") + 1] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
+PIECE = 1 << 20   # bytes of text, and shingles, that are taken at a time
+LONG = 4096       # words of more bytes are hashed one by one
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -25,24 +29,13 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> _U(31))
 
 
-class _Powers:
-    """Powers of the base and of its inverse, grown as texts need them."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, dtype=_U)
-
-    def to(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < size:
-            size = max(size, 2 * len(self.up))
-            factors = np.full(size, _BASE, dtype=_U)
-            factors[0] = 1
-            self.up = np.multiply.accumulate(factors)
-            factors[1:] = _INVERSE
-            self.down = np.multiply.accumulate(factors)
-        return self.up, self.down
+def _powers(size: int) -> np.ndarray:
+    factors = np.full(size, _BASE, dtype=_U)
+    factors[0] = 1
+    return np.multiply.accumulate(factors)
 
 
-_POWERS = _Powers()
+_POWERS = _powers(LONG)  # of a byte's place in its word
 
 
 def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,26 +47,68 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[begin[0]: begin[-1]], begin - begin[0]
 
 
+def _cut(data: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The bytes in pieces of about ``PIECE``, cut where a text begins or at a blank."""
+    at = 0
+    while at < len(data):
+        to = at + PIECE
+        while to < len(data):
+            if _BLANK[data[to]] or begin[np.searchsorted(begin, to)] == to:
+                break
+            following = int(begin[np.searchsorted(begin, to)])
+            blanks = np.flatnonzero(_BLANK[data[to: min(following, to + PIECE)]])
+            to = to + int(blanks[0]) if len(blanks) else min(following, to + PIECE)
+        to = min(to, len(data))
+        yield at, to
+        at = to
+
+
+def _hashed(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of the bytes, and where it begins; a text begins at each of ``begin``."""
+    inside = ~_BLANK[data]
+    new = inside.copy()
+    new[1:] &= ~inside[:-1]
+    new[begin] = inside[begin]
+    at = np.flatnonzero(new)
+    if not len(at):
+        return np.zeros(0, dtype=_U), at
+    # Only the bytes of words: where each word begins among them, and each byte's place in its word.
+    first = np.cumsum(inside)[at] - 1
+    bytes_ = _LOWER[data[inside]]
+    sizes = np.diff(np.append(first, len(bytes_)))
+    place = np.arange(len(bytes_), dtype=np.int32) - np.repeat(first, sizes).astype(np.int32)
+    values = bytes_.astype(_U)
+    values += _U(1)
+    values *= _POWERS[np.minimum(place, LONG - 1)]
+    hashes = mixed(np.add.reduceat(values, first) + sizes.astype(_U) * _U(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(sizes > LONG):
+        hashes[i] = xxhash.xxh64_intdigest(bytes_[first[i]: first[i] + sizes[i]].tobytes())
+    return hashes, at
+
+
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and the number of words of each text."""
     data, begin = _buffers(texts)
-    inside = ~_BLANK[data]
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
-    # A text's first and last byte also bound words.
-    filled = begin[:-1] < begin[1:]
-    first, last = begin[:-1][filled], begin[1:][filled] - 1
-    starts[first] = inside[first]
-    ends[last] = inside[last]
-    at, to = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    up, down = _POWERS.to(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum((_LOWER[data].astype(_U) + _U(1)) * up[: len(data)], out=sums[1:])
-    hashes = mixed((sums[to] - sums[at]) * down[at] + (to - at).astype(_U) * _U(0xD6E8FEB86659FD93))
-    counts = np.searchsorted(at, begin[1:]) - np.searchsorted(at, begin[:-1])
-    return hashes, counts
+    hashes, counts = [np.zeros(0, dtype=_U)], np.zeros(len(begin) - 1, dtype=np.int64)
+    for start, end in _cut(data, begin):
+        inner = begin[np.searchsorted(begin, start): np.searchsorted(begin, end)]
+        found, at = _hashed(data[start:end], inner - start)
+        hashes.append(found)
+        owner = np.searchsorted(begin, at + start, side="right") - 1
+        counts += np.bincount(owner, minlength=len(counts))
+    return np.concatenate(hashes), counts
+
+
+def _shingled(hashes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` words from each of the ``starts`` on."""
+    out = np.empty(len(starts), dtype=_U)
+    for at in range(0, len(starts), PIECE):
+        part = starts[at: at + PIECE]
+        value = np.full(len(part), 0xA0761D6478BD642F + width, dtype=_U)
+        for step in range(width):
+            value = mixed(value * _U(0xE7037ED1A0B428DB) + hashes[part + step])
+        out[at: at + PIECE] = value
+    return out
 
 
 def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +117,14 @@ def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     A text of 1 to 4 words has its whole sequence as its one shingle.
     """
     hashes, counts = words(texts)
+    if len(counts) == 1:
+        width = int(min(counts[0], SHINGLE))
+        value = _shingled(hashes, np.arange(max(0, len(hashes) - width + 1) if width else 0), max(1, width))
+        del hashes
+        value.sort()
+        if len(value):
+            value = value[np.concatenate([[True], value[1:] != value[:-1]])]
+        return value, np.array([len(value)])
     begin = np.concatenate([[0], np.cumsum(counts)])
     owner = np.repeat(np.arange(len(counts)), counts)
     values, owners = [], []
@@ -90,10 +133,7 @@ def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             starts = np.flatnonzero(begin[owner + 1] - np.arange(len(owner)) >= SHINGLE)
         else:
             starts = begin[:-1][counts == width]
-        value = np.full(len(starts), 0xA0761D6478BD642F + width, dtype=_U)
-        for step in range(width):
-            value = mixed(value * _U(0xE7037ED1A0B428DB) + hashes[starts + step])
-        values.append(value)
+        values.append(_shingled(hashes, starts, width))
         owners.append(owner[starts])
     value, text = np.concatenate(values), np.concatenate(owners)
     order = np.lexsort((value, text))
@@ -103,7 +143,7 @@ def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return value[new], np.bincount(text[new], minlength=len(counts))
 
 
-def slices(batch: pa.RecordBatch, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, most: int = PIECE):
     """Parts of a batch with a column ``text`` with about ``most`` bytes of text; one longer text is a part of its own."""
     lengths = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy()
     at, total = 0, 0

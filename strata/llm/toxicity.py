@@ -7,7 +7,9 @@ them lies from the overall share; identity terms are always among them. For ever
 term, the text with the term swapped for others of its kind is added, and the squared change of the score is
 penalised, so a neutral mention of a group carries no weight of its own.
 
-The fit uses at most ``TRAIN_ROWS`` labelled rows, those with the smallest hashed ids; scoring covers every whole text.
+The fit uses at most ``TRAIN_ROWS`` labelled rows, those with the smallest hashed ids, one text for each, and
+``SWAP_ROWS`` swapped texts: what the driver holds is bounded by these times ``FEATURES`` and the identity terms.
+Scoring covers every whole text.
 
 Defined cases: null and empty texts have the score of a text without known words; labels without document or
 without a 0/1 value are not used; repeated labels of an id count once, as toxic if any is; repeated rows are
@@ -36,10 +38,11 @@ WINDOW = 256           # words of a window; the next one begins half a window la
 MIN_ROWS = 8           # labelled rows a feature must occur in
 MIN_DEVIATIONS = 6.0   # standard deviations by which its toxic share must differ
 SWAPS = 3              # swapped texts for each identity term of a text
+SWAP_ROWS = 20_000     # swapped texts of the fit, those with the smallest hashes of id and swap
 PENALTY = 2.0          # weight of the score changes in the loss
 RIDGE = 1e-4
 STEPS = 800
-MEMORY = 300_000       # words whose features a worker remembers; a full memory is emptied, which costs time only
+MEMORY = 100_000       # words whose features a task remembers; a full memory is emptied, which costs time only
 
 # Identity terms by kind, in English, German, French and Spanish; no term stands in two kinds.
 IDENTITY = (
@@ -149,7 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
                 .toDF("id", "toxic").orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS))
     chosen = written(admitted, "train-labels")
     # At most TRAIN_ROWS rows of two numbers are broadcast, and as many texts kept.
-    sample = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id"), "train-rows")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id")
+    # Rows that share an id give one text.
+    sample = written(texts.groupBy("id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "train-rows")
     total = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     n, positive = total["n"], total["toxic"] or 0
     if not n:
@@ -173,10 +178,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
                                              names=["id", "swap", "toxic", "at", "value"])
 
-    rows = (sample.repartition(16).mapInArrow(vectors, "id long, swap int, toxic int, at array<int>, value array<double>")
-            .orderBy("id", "swap", "at", "value").collect())
-    plain = [row for row in rows if not row["swap"]]
-    swapped = [row for row in rows if row["swap"]]
+    made = written(sample.repartition(16).mapInArrow(vectors, "id long, swap int, toxic int, at array<int>, value array<double>"), "train-values")
+    plain = made.where("swap = 0").orderBy("id").collect()
+    chance = F.xxhash64("id", "swap")
+    swapped = sorted(made.where("swap > 0").orderBy(chance, "id", "swap").limit(SWAP_ROWS).collect(), key=lambda row: (row["id"], row["swap"]))
     first = {row["id"]: i for i, row in reversed(list(enumerate(plain)))}
     return _train(names, _dense(plain, len(names)), np.array([row["toxic"] for row in plain], dtype=np.float64),
                   np.array([first[row["id"]] for row in swapped], dtype=np.int64), _dense(swapped, len(names)))

@@ -3,7 +3,7 @@
 The vocabulary drops white space and never joins across it, so a text's ids are the ids of its chunks between
 blanks. A chunk of Latin letters followed by marks is the lower-cased letters and then the marks, as the
 vocabulary splits them; its letters are one word for the library's model. Every other chunk goes through the
-library's whole encoder. Each answer is remembered, up to ``MEMORY`` chunks a worker.
+library's whole encoder. Answers are remembered, in at most about ``MEMORY`` bytes a worker for each kind.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from functools import lru_cache
 
 import numpy as np
 
-MEMORY = 500_000  # chunks and words each; a full memory is emptied, which costs time only
+MEMORY = 32 << 20  # bytes for chunks, for words and for marks; a full memory is emptied, which costs time only
+ENTRY = 200        # bytes that an entry has besides its letters and ids
 _LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
 _MARKED = re.compile("<\\|")
 
@@ -33,12 +34,17 @@ def _byte_letters() -> dict[int, str]:
 
 class _Memory(dict):
     def __init__(self, answer: Callable[[str], bytes]):
-        self.answer = answer
+        self.answer, self.size = answer, 0
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= MEMORY:
+        value = self.answer(key)
+        cost = ENTRY + len(key) + len(value)
+        if self.size + cost > MEMORY:
             self.clear()
-        value = self[key] = self.answer(key)
+            self.size = 0
+        if cost <= MEMORY:
+            self[key] = value
+            self.size += cost
         return value
 
 

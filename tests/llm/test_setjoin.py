@@ -113,3 +113,23 @@ def test_components(spark):
     want = linked_groups({x for pair in links for x in pair if pair[0] != pair[1]}, [p for p in links if p[0] != p[1]])
     assert table(components(df), "node", "component") == sorted(want.items(), key=repr)
     assert components(df.where(F.lit(False))).count() == 0
+
+
+def test_words_do_not_depend_on_pieces(monkeypatch):
+    pick = random.Random(6)
+    texts = [" ".join("".join(pick.choices("aBcé", k=pick.choice([1, 3, 9, 60]))) for _ in range(pick.choice([0, 1, 4, 30])))
+             for _ in range(60)] + [None, "", " \t ", "x" * 9000, "y" * 5000 + " z", "x" * 9000]
+    whole = pa.array(texts)
+    expected, counts = shingles.words(whole)
+    assert counts.tolist() == [len((text or "").split()) for text in texts]
+    named = [word.encode().lower() for text in texts for word in (text or "").split()]
+    assert len(set(expected.tolist())) == len(set(named)) and len(set(zip(named, expected.tolist()))) == len(set(named))
+    sets = [shingles.sets(whole.slice(i, 1))[0].tolist() for i in range(len(texts))]
+    for piece in (1, 7, 100):
+        monkeypatch.setattr(shingles, "PIECE", piece)
+        found, per_text = shingles.words(whole)
+        assert found.tolist() == expected.tolist() and per_text.tolist() == counts.tolist()
+        assert [shingles.sets(whole.slice(i, 1))[0].tolist() for i in range(len(texts))] == sets
+    values, sizes = shingles.sets(whole)
+    ends = np.cumsum(sizes)
+    assert [values[end - size: end].tolist() for end, size in zip(ends, sizes)] == sets

@@ -134,3 +134,15 @@ def test_labels_outside_the_training_part_are_not_read(docs, spark):
     flipped = [(doc, text, toxic if doc % 2 else 1 - toxic) for doc, text, toxic in rows]
     odd = F.col("doc_id") % 2 == 1
     assert fitted(docs, spark, rows, odd) == fitted(docs, spark, flipped, odd)
+
+
+def test_an_id_in_many_rows_is_one_training_row(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 6)
+    monkeypatch.setattr(toxicity, "SWAP_ROWS", 4)
+    seen = {}
+    monkeypatch.setattr(toxicity, "_train", lambda names, x, y, row, swapped: seen.update(x=x, row=row) or toxicity.Model({}, 0.0))
+    docs = spark.createDataFrame([(1, f"women and men, text {i}") for i in range(400)] + [(i, "women men") for i in range(2, 9)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, F.lit(True))
+    assert len(seen["x"]) == 6 and len(seen["row"]) == 4
