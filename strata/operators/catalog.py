@@ -121,6 +121,26 @@ def parse_schema_json(df: DataFrame, json_col: str, pk_col: str | None = None) -
         F.col("_f.default").alias("default_value"), "sort_order")
 
 
+def parse_schema_tables(df: DataFrame, json_col: str) -> DataFrame:
+    """Schema documents to one row per table: partition_keys, primary_keys, comment, n_fields and options.
+
+    A document that is only a list of fields has no table values: its keys are empty lists, its options an empty map.
+    Unreadable documents have null everywhere.
+    """
+    text = F.trim(F.col(json_col))
+    listed = text.startswith("[")
+    document = F.from_json(text, f"struct<fields:{FIELD_SCHEMA},partitionKeys:array<string>,primaryKeys:array<string>,"
+                                 "comment:string,options:map<string,string>>")
+    fields = F.when(listed, F.from_json(text, FIELD_SCHEMA)).otherwise(document["fields"])
+    readable = fields.isNotNull()
+    keys = lambda name: F.when(readable, F.coalesce(F.when(~listed, document[name]), F.array().cast("array<string>")))
+    kept = [name for name in df.columns if name != json_col]
+    return df.select(
+        *kept, keys("partitionKeys").alias("partition_keys"), keys("primaryKeys").alias("primary_keys"),
+        F.when(readable & ~listed, document["comment"]).alias("comment"), F.when(readable, F.size(fields)).alias("n_fields"),
+        F.when(readable, F.coalesce(F.when(~listed, document["options"]), F.create_map().cast("map<string,string>"))).alias("options"))
+
+
 def table_options(df: DataFrame, json_col: str, options: dict | None = None) -> DataFrame:
     """Known table options of a JSON map as numbers; bad JSON or a bad number gives null."""
     parsed = df.withColumn("_options", F.from_json(json_col, "map<string,string>"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,7 +108,8 @@ def visible(state: DataFrame) -> DataFrame:
     return state.where(~F.col(DELETED)).drop(SEQ, DELETED)
 
 
-def _last_changes(state: DataFrame, changes: DataFrame, keys: Sequence[str], seq: str, op: str) -> DataFrame:
+def last_changes(state: DataFrame, changes: DataFrame, keys: Sequence[str], seq: str, op: str) -> DataFrame:
+    """The last change of each key as rows of the state."""
     payload = [name for name in state.columns if name not in {*keys, SEQ, DELETED}]
     folded = fold_changes(changes.select(*keys, *payload, seq, op), keys, seq, op, keep_deletes=True)
     return folded.select(*keys, *payload, F.col(seq).cast("bigint").alias(SEQ), (F.col(op) == DELETE).alias(DELETED))
@@ -132,7 +133,7 @@ def upsert(state: DataFrame, changes: DataFrame, keys: Sequence[str], seq: str =
     changes become a table of known size and the state is only ever the streamed side of left joins, so
     the planner broadcasts the changes when they are under its limit and shuffles both when they are not.
     """
-    last = _last_changes(state, changes, keys, seq, op)
+    last = last_changes(state, changes, keys, seq, op)
     columns = state.columns
     if patch:
         last = written(last, "changes")
@@ -150,44 +151,6 @@ def upsert(state: DataFrame, changes: DataFrame, keys: Sequence[str], seq: str =
     return updated.unionByName(added)
 
 
-STATE_PART = "_part"
-
-
-def apply_to_state(path: str, changes: DataFrame, keys: Sequence[str], seq: str = "seq", op: str = "op",
-                   parts: int = 64) -> None:
-    """Fold ``changes`` into the state kept in the Parquet folder ``path``, which is created if missing.
-
-    The state is partitioned by a hash of the key. Only partitions that have changes are read and
-    rewritten; each is replaced whole. One writer at a time.
-    """
-    spark = changes.sparkSession
-    payload = [name for name in changes.columns if name not in {*keys, seq, op}]
-    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
-    last = written(_last_changes(to_state(changes.select(*keys, *payload), 0), changes, keys, seq, op)
-                   .withColumn(STATE_PART, part), "changes")
-    new = last
-    if _exists(spark, path):
-        state = spark.read.parquet(path).select(*last.columns)
-        old = state.join(last.select(STATE_PART).distinct(), STATE_PART, "left_semi")
-        both = old.select(*last.columns).withColumn("_late", F.lit(0)).unionByName(last.withColumn("_late", F.lit(1)))
-        rest = [name for name in last.columns if name not in {*keys, SEQ}]
-        newest = F.max_by(F.struct(SEQ, *rest), F.struct(SEQ, "_late")).alias("_n")
-        new = written(both.groupBy(*keys).agg(newest).select(*[
-            F.col(name) if name in keys else F.col(f"_n.{name}").alias(name) for name in last.columns]), "state")
-    new.repartition(STATE_PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        STATE_PART).parquet(path)
-
-
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """The table that a state folder stands for."""
-    return visible(spark.read.parquet(path).drop(STATE_PART))
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-
-
 def append_changes(target: DataFrame, changes: DataFrame, op: str = "op", seq: str = "seq") -> DataFrame:
     """A table without key takes every inserted row as it comes."""
     return target.unionByName(changes.where(F.col(op) == "c").select(*target.columns))

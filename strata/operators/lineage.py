@@ -38,15 +38,18 @@ def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return side("dst", "src", "upstream").unionByName(side("src", "dst", "downstream"))
 
 
-def reachable(edges: DataFrame, roots: DataFrame, direction: str = "downstream",
-              max_depth: int | None = None) -> DataFrame:
+FRONTIER_ROUNDS = 4  # rounds that go on step by step before hops are doubled
+
+
+def reachable(edges: DataFrame, roots: DataFrame, direction: str = "downstream", max_depth: int | None = None,
+              frontier_rounds: int = FRONTIER_ROUNDS) -> DataFrame:
     """All nodes that can be reached from the roots (column ``node``), with the fewest steps.
 
-    Round by round: the newest nodes join the edges, nodes seen before are taken out, and the round
-    becomes a table in the shared folder. Plans stay short, a lost executor costs one round at most,
-    and the planner knows the size of each round: a few new nodes are broadcast, so the edges are
-    only scanned, while many are joined by key with skewed nodes split. A cycle ends because its nodes
-    have been seen; without ``max_depth`` rounds go on until none is new.
+    The first rounds go step by step: the newest nodes join the edges, and nodes seen before are taken out. Then
+    hops are doubled: ``hops`` has the pairs that exactly 1, 2, 4, ... steps connect, and joins itself, while the nodes
+    found so far join it, so a chain of n further tables takes log2(n) rounds. A node's depth is the least one that
+    any round gives. Every round becomes a table in the shared folder: plans stay short, a lost executor costs one
+    round at most, and the planner knows the size of each round. A cycle ends because no node is new.
     """
     if direction not in ("downstream", "upstream"):
         raise ValueError(f"unknown direction: {direction}")
@@ -67,12 +70,37 @@ def reachable(edges: DataFrame, roots: DataFrame, direction: str = "downstream",
     depth = 0
     frontier = keep(roots.select("node").distinct(), depth)
     while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
+        if depth == frontier_rounds:
+            return _doubled(steps, seen(), frontier, depth, max_depth)
         depth += 1
         found = steps.join(frontier, "node").select(F.col("next").alias("node")).distinct()
         frontier = keep(found.join(seen(), "node", "left_anti"), depth)
     return seen()
 
 
+def _doubled(steps: DataFrame, seen: DataFrame, frontier: DataFrame, depth: int, max_depth: int | None) -> DataFrame:
+    """``seen`` with all nodes beyond the ``frontier``, which lies at ``depth``, by doubled hops."""
+    past = seen.where(F.col("depth") < depth).select("node")
+    # Nothing new lies behind nodes that were passed before.
+    hops = written(steps.join(past, "node", "left_anti").join(past.withColumnRenamed("node", "next"), "next", "left_anti")
+                   .select("node", "next"), "hops")
+    reached, width = written(frontier.select("node", F.lit(depth).alias("depth")), "reached"), 1
+    while (max_depth is None or depth + width <= max_depth) and not hops.isEmpty():
+        further = reached.join(hops, "node").select(F.col("next").alias("node"), (F.col("depth") + width).alias("depth"))
+        if max_depth is not None:
+            further = further.where(F.col("depth") <= max_depth)
+        nearest = written(reached.unionByName(further).groupBy("node").agg(F.min("depth").alias("depth")), "reached")
+        # Depths have no gaps: without a node at this depth or beyond there is none further on.
+        ended = nearest.where(F.col("depth") >= depth + width).isEmpty()
+        reached = nearest
+        if ended:
+            break
+        middle = hops.select(F.col("node").alias("next"), F.col("next").alias("end"))
+        hops, width = written(hops.join(middle, "next").select("node", F.col("end").alias("next")).distinct(), "hops"), 2 * width
+    rest = seen.where(F.col("depth") < depth)
+    return rest.unionByName(reached.select("node", "depth"))
+
+
 def lineage_for_layer(nodes: DataFrame, edges: DataFrame, layer: str) -> tuple[DataFrame, DataFrame]:
     """Nodes of one layer with all source and task nodes, and the edges that keep both ends.
 

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.quality import alert_level, alert_message, breach
+from strata.sources.tables import write_path
 
 # Fixed value: measured value recorded for a rule that could not run.
 FAILED_VALUE = -1.0
@@ -171,16 +172,21 @@ def _short(problem: PySparkException) -> str:
 
 
 def quality_results(spark: SparkSession, rules: Iterable[Rule], tables: Callable[[str], DataFrame] | None = None,
-                    isolate_runtime: bool = True) -> DataFrame:
-    """One row per enabled rule that could be measured: value, threshold, status, level, message.
+                    isolate_runtime: bool = True, at=None) -> DataFrame:
+    """One row per enabled rule that could be measured: value, threshold, status, level, message, time of the check.
 
-    Status is pass, fail, no_data (rate of an empty table) or error.
+    Status is pass, fail, no_data (rate of an empty table) or error. ``at`` is the time, by default the current one.
     """
     enabled = [rule for rule in rules if rule.enabled]
-    measured = measure_rules(spark, enabled, tables or spark.table, isolate_runtime)
+    return _judged(spark, measure_rules(spark, enabled, tables or spark.table, isolate_runtime), at)
+
+
+def _judged(spark: SparkSession, measured: DataFrame | None, at) -> DataFrame:
+    """Measured rows with status, level, message and time."""
     if measured is None:
         nothing = Rule(0, "", "")
         measured = _literal_rows(spark, [_row(nothing, F.lit(None))])[0].where(F.lit(False))
+    time = F.current_timestamp().cast("timestamp_ntz") if at is None else F.lit(at).cast("timestamp_ntz")
     failed = F.col("failure").isNotNull()
     status = (
         F.when(failed, "error").when(F.col("actual").isNull(), "no_data")
@@ -192,34 +198,68 @@ def quality_results(spark: SparkSession, rules: Iterable[Rule], tables: Callable
     level = F.when(failed, "error").when(F.col("status") == "fail", alert_level("actual", "threshold"))
     return measured.withColumn("status", status).select(
         "rule_id", "rule_type", "layer", "target_table", "target_column", "actual", "threshold", "status",
-        level.alias("level"), message.alias("message"))
+        level.alias("level"), message.alias("message"), time.alias("checked_at"))
+
+
+# Rule types that one pass over the rows measures without sorting or counting values.
+OBSERVABLE = ("null_rate", "volume_compare", "range_check")
+
+
+def write_checked(df: DataFrame, path: str, rules: Iterable[Rule], table: str, partition_by: Sequence[str] = (),
+                  mode: str = "append", at=None) -> DataFrame:
+    """Write ``df`` to ``path`` and return the quality results of its rows for the rules on ``table``.
+
+    Rates and volumes are observed on the rows while they are written, so they cost no scan of their own. Only other
+    rules, such as exact uniqueness, read ``df`` again. A rule that does not analyse comes out as an error.
+    """
+    spark = df.sparkSession
+    mine = [rule for rule in rules if rule.enabled and rule.target_table == table]
+    seen, failed = {}, []
+    for rule in [rule for rule in mine if rule.rule_type in OBSERVABLE]:
+        column = _measure(rule)
+        if column is None:
+            continue
+        try:
+            df.agg(column)
+            seen[f"r{len(seen)}"] = rule, column
+        except PySparkException as problem:
+            failed.append(_row(rule, F.lit(FAILED_VALUE), _short(problem)))
+    watch = Observation()
+    rows = df.observe(watch, *[column.alias(name) for name, (_, column) in seen.items()]) if seen else df
+    write_path(rows, path, partition_by, mode)
+    found = [_row(rule, F.lit(watch.get[name])) for name, (rule, _) in seen.items()]
+    parts = _literal_rows(spark, found + failed)
+    others = measure_rules(spark, [rule for rule in mine if rule.rule_type not in OBSERVABLE], lambda name: df)
+    parts += [] if others is None else [others]
+    return _judged(spark, reduce(DataFrame.unionByName, parts) if parts else None, at)
 
 
 def run_checks(spark: SparkSession, rules: Iterable[Rule], tables: Callable[[str], DataFrame] | None = None,
-               isolate_runtime: bool = True) -> DataFrame:
+               isolate_runtime: bool = True, at=None) -> DataFrame:
     """Alert rows of a run: broken rules and rules that could not run."""
-    results = quality_results(spark, rules, tables, isolate_runtime)
+    results = quality_results(spark, rules, tables, isolate_runtime, at)
     return results.where(F.col("status").isin("fail", "error"))
 
 
-def alert_rows(alerts: DataFrame, at) -> DataFrame:
-    """Alerts of a run at a time as rows of the alert table: with id, time, and not resolved."""
-    time = F.lit(at).cast("timestamp_ntz")
-    return alerts.select(F.xxhash64("rule_id", time).alias("id"), "*", time.alias("triggered_at"), F.lit(False).alias("resolved"))
+def alert_rows(alerts: DataFrame, at=None) -> DataFrame:
+    """Alerts of a run as rows of the alert table: with id, time (that of the check by default), and not resolved."""
+    time = F.col("checked_at") if at is None else F.lit(at).cast("timestamp_ntz")
+    kept = [name for name in alerts.columns if name != "checked_at"]
+    return alerts.select(F.xxhash64("rule_id", time).alias("id"), *kept, time.alias("triggered_at"), F.lit(False).alias("resolved"))
 
 
-def run_checks_for_layer(spark: SparkSession, rules: Iterable[Rule], layer: str, tables=None) -> DataFrame:
-    return run_checks(spark, [rule for rule in rules if rule.layer == layer], tables)
+def run_checks_for_layer(spark: SparkSession, rules: Iterable[Rule], layer: str, tables=None, at=None) -> DataFrame:
+    return run_checks(spark, [rule for rule in rules if rule.layer == layer], tables, at=at)
 
 
-def run_check(spark: SparkSession, rules: Iterable[Rule], rule_id: int, tables=None) -> DataFrame:
+def run_check(spark: SparkSession, rules: Iterable[Rule], rule_id: int, tables=None, at=None) -> DataFrame:
     """Alert rows of one rule; an unknown or disabled rule is an error."""
     chosen = [rule for rule in rules if rule.rule_id == rule_id]
     if not chosen:
         raise ValueError(f"no quality rule {rule_id}")
     if not chosen[0].enabled:
         raise ValueError(f"quality rule {rule_id} is not enabled")
-    return run_checks(spark, chosen, tables)
+    return run_checks(spark, chosen, tables, at=at)
 
 
 def latest_alert_per_rule(alerts: DataFrame, rule: str = "rule_id", time: str = "triggered_at",

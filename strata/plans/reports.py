@@ -6,7 +6,6 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strata.operators.quality import search
@@ -38,22 +37,19 @@ class Result:
 
     @property
     def rows(self) -> DataFrame:
-        """All rows, or the first ``cap`` and a column ``truncated``: one run of the query gives both."""
+        """All rows, or the first ``cap`` and a column ``truncated``."""
         return self.source if self.cap is None else capped(self.source, self.cap)
 
 
 def capped(df: DataFrame, n: int) -> DataFrame:
     """First ``n`` rows with a column ``truncated`` that tells whether there were more.
 
-    The query runs once, up to one row beyond the cap; those at most n + 1 rows decide the flag.
+    Both the rows and the flag stop reading at the cap: the flag is one value, whether a row beyond it is there.
     """
     if n < 0:
         raise ValueError("a row cap cannot be negative")
-    first = df.limit(n + 1).withColumn("_place", F.monotonically_increasing_id())
-    last = F.max("_place").over(W.partitionBy())
-    count = F.count(F.lit(1)).over(W.partitionBy())
-    return (first.withColumn("truncated", count > n).withColumn("_last", last)
-            .where(~F.col("truncated") | (F.col("_place") < F.col("_last"))).drop("_place", "_last"))
+    more = df.limit(n + 1).agg(F.count(F.lit(1)) > n).scalar()
+    return df.limit(n).withColumn("truncated", more)
 
 
 def adhoc_query(spark: SparkSession, sql: str, max_rows: int | None = None, args: dict | None = None,

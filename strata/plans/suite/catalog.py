@@ -83,6 +83,26 @@ def parse_schema_json(d: Data):
     return op.parse_schema_json(documents, "doc", "keys")
 
 
+@register("""
+    SELECT p_partkey, CASE WHEN p_partkey % 19 = 0 THEN NULL WHEN p_size % 2 = 0 THEN '' WHEN p_size % 3 = 0 THEN 'dt,region' ELSE '' END AS partition_keys,
+           CASE WHEN p_partkey % 19 = 0 THEN NULL WHEN p_size % 2 = 0 THEN '' ELSE 'id' END AS primary_keys,
+           CASE WHEN p_partkey % 19 <> 0 AND p_size % 2 <> 0 THEN p_brand END AS comment,
+           CASE WHEN p_partkey % 19 <> 0 THEN 2 END::INTEGER AS n_fields,
+           CASE WHEN p_partkey % 19 <> 0 AND p_size % 2 <> 0 THEN p_type END AS bucket FROM part""")
+def parse_schema_tables(d: Data):
+    """Table values of documents: objects, lists of fields (even sizes) and unreadable ones."""
+    fields = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("INT").alias("type")) for name in ("id", "v")])
+    whole = F.struct(
+        fields.alias("fields"), F.array(F.lit("id")).alias("primaryKeys"),
+        F.when(F.col("p_size") % 3 == 0, F.array(F.lit("dt"), F.lit("region"))).alias("partitionKeys"),
+        F.col("p_brand").alias("comment"), F.create_map(F.lit("bucket"), F.col("p_type")).alias("options"))
+    document = F.when(F.col("p_partkey") % 19 == 0, "{not json").when(F.col("p_size") % 2 == 0, F.to_json(fields)).otherwise(F.to_json(whole))
+    rows = op.parse_schema_tables(d.table("part").select("p_partkey", document.alias("doc")), "doc")
+    return rows.select("p_partkey", F.array_join("partition_keys", ",").alias("partition_keys"),
+                       F.array_join("primary_keys", ",").alias("primary_keys"), "comment", "n_fields",
+                       F.try_element_at("options", F.lit("bucket")).alias("bucket"))
+
+
 @register("""
     SELECT id, CAST(id % 1000 AS INTEGER) AS snapshot_count, CASE WHEN id % 9 <> 0 THEN id END AS latest_snapshot_id,
            CAST(file_count AS INTEGER) AS file_count, total_size_bytes

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from strata.operators import changes as op
+from strata.operators import retract, state
 from strata.plans.registry import Data, register
 from strata.session import fresh_path
-from strata.streaming import ingest, metrics
+from strata.streaming import ingest, metrics, tables
 
 ROW = "id bigint, status string, amount double, event_time timestamp_ntz"
 MIDDLE = "(SELECT max(event_id) // 2 FROM events)"
@@ -40,8 +41,52 @@ def apply_to_state(d: Data):
     """A kept state after two rounds of changes, the later ones first."""
     path, rows, middle = fresh_path(d.spark, "state"), d.fixture("chg"), _middle(d)
     for part in (rows.where(F.col("seq") > middle), rows.where(F.col("seq") <= middle)):
-        op.apply_to_state(path, part, ["id"])
-    return op.read_state(d.spark, path)
+        state.apply_to_state(path, part, ["id"])
+    return state.read_state(d.spark, path)
+
+
+NOW_TWIN = "SELECT id, status, amount, event_time FROM (" + LAST.format(source="chg") + ") WHERE op <> 'd'"
+
+
+@register(NOW_TWIN, ("chg",))
+def grow_state(d: Data):
+    """A kept state that splits from 8 to 27 partitions between three rounds of changes, the later ones first."""
+    path, rows, middle = fresh_path(d.spark, "state"), d.fixture("chg"), _middle(d)
+    state.apply_to_state(path, rows.where(F.col("seq") > middle), ["id"], parts=8)
+    state.grow_state(d.spark, path, 20)
+    state.apply_to_state(path, rows.where((F.col("seq") <= middle) & (F.col("seq") % 2 == 0)), ["id"])
+    state.grow_state(d.spark, path, 27)
+    state.apply_to_state(path, rows.where((F.col("seq") <= middle) & (F.col("seq") % 2 == 1)), ["id"])
+    return state.read_state(d.spark, path)
+
+
+@register(NOW_TWIN, ("chg",))
+def read_table(d: Data):
+    """Five batches of a stream; the state takes in those before the fourth, a read merges the others."""
+    base, rows = fresh_path(d.spark, "table"), d.fixture("chg")
+    fifth = F.floor((F.col("seq") - 1) * 5 / d.table("events").agg(F.max("event_id")).first()[0])
+    for number in range(5):
+        rows.where(F.least(fifth, F.lit(4)) == number).write.mode("append").parquet(f"{base}/in")
+        stream = ingest.stream_files(d.spark, f"{base}/in", rows.schema)
+        ingest.run_to_end(tables.ingest_batches(stream, f"{base}/table", f"{base}/checkpoint", once=True))
+        if number == 2:
+            tables.fold_tail(d.spark, f"{base}/table", ["id"], parts=16)
+    return tables.read_table(d.spark, f"{base}/table", ["id"])
+
+
+@register("""
+    SELECT CAST(event_time AS DATE) AS day, count(*) AS rows, CAST(sum(CAST(round(amount * 10000) AS BIGINT)) AS BIGINT) AS total_units,
+           min(amount) AS low, max(amount) AS high
+    FROM (""" + LAST.format(source="chg") + """) WHERE op <> 'd' GROUP BY 1""", ("chg",))
+def refresh(d: Data):
+    """Rows, sum and range of a day, kept from one table version to the next and never computed from the whole."""
+    rows, middle, path = d.fixture("chg"), _middle(d), fresh_path(d.spark, "refresh")
+    versions = [op.fold_changes(rows.where(F.col("seq") <= end), ["id"]).select("id", F.to_date("event_time").alias("day"), "amount")
+                for end in (0, middle, 10**18)]
+    for before, after in zip(versions, versions[1:]):
+        retract.refresh(path, retract.signed(op.row_kinds(before, after, ["id"]), ["day"], "amount"), ["day"], 4)
+    kept = retract.read_refreshed(d.spark, path)
+    return kept.select("day", "rows", (F.col("total") * 10000).cast("long").alias("total_units"), "low", "high")
 
 
 @register("SELECT concat('x', seq) AS body, 'not a change envelope' AS reason FROM chg WHERE seq % 5 = 0", ("chg",))

@@ -1,9 +1,13 @@
 """Layer tables over the given tables."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators import activity
 from strata.plans import layers as op
-from strata.plans.registry import Data, register
+from strata.plans.registry import ORACLES, Data, register
 from strata.session import fresh_path
 from strata.streaming import ingest
 from strata.streaming.materialize import materialize, materialize_stream, windowed_counts, with_open_windows
@@ -113,6 +117,31 @@ def ads_user_retention(d: Data):
     return op.ads_user_retention(d.table("events"))
 
 
+ACTIVE_IN = "SELECT CAST(date_trunc('{unit}', ts) AS DATE) AS start, count(DISTINCT user_id) AS active_users FROM events GROUP BY 1"
+
+
+def _kept_activity(d: Data):
+    """Bitmaps kept over three deliveries, the last of which adds to days that are there already."""
+    path, events = fresh_path(d.spark, "activity"), d.table("events")
+    for number in range(3):
+        share = F.when(F.col("event_id") % 5 == 0, 2).when(F.col("ts") < "2024-01-10 00:00:00", 0).otherwise(1)
+        activity.add_activity(path, events.where(share == number))
+    return activity.read_activity(d.spark, path)
+
+
+@register(" UNION ALL ".join(f"SELECT '{unit}' AS unit, * FROM ({ACTIVE_IN.format(unit=unit)})" for unit in ("day", "week", "month")))
+def active_users(d: Data):
+    kept = _kept_activity(d)
+    return reduce(DataFrame.unionByName, [
+        activity.active_users(kept, unit).select(F.lit(unit).alias("unit"), "*") for unit in ("day", "week", "month")])
+
+
+@register(ORACLES["ads_user_retention"])
+def retention(d: Data):
+    """Retention from the kept bitmaps equals that from all events."""
+    return activity.retention(_kept_activity(d))
+
+
 @register("WITH" + DETAIL + """,
     grouped AS (SELECT part_type, sum(amount) AS value FROM detail GROUP BY part_type)
     SELECT part_type, CAST(value AS DOUBLE) AS value,

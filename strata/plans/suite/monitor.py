@@ -80,7 +80,7 @@ def invalid_transitions_split(d: Data):
 
 
 @register(f"""
-    SELECT task_id, seq, job_id, submitted_at, 'failed' AS status, 'submission timed out: no job id within 5 minutes' AS error
+    SELECT task_id, seq, job_id, submitted_at, 'failed' AS status, '{op.SUBMIT_TIMEOUT.format(minutes=5)}' AS error
     FROM (SELECT task_id, seq, job_id, at_time AS submitted_at, {STATUS_OF} AS status FROM tasklog)
     WHERE status = 'submitting' AND job_id IS NULL AND submitted_at < TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 5 MINUTE""", ("tasklog",))
 def stuck_submissions(d: Data):

@@ -6,8 +6,11 @@ from strata.functions.quality import alert_level as level_of
 from strata.functions.quality import alert_message as message_of
 from strata.functions.quality import breach as breach_of
 from strata.operators import quality as op
+from strata.operators import sketches
 from strata.plans.registry import Data, register
+from strata.session import fresh_path
 
+CHECKED_AT = "2024-02-01 12:00:00"
 MISSING_COLUMN = op.Rule(90, "null_rate", "orders", "no_such_column", 0.1, None, "ods")
 RUNTIME_ERROR = op.Rule(91, "range_check", "orders", None, 0.1, "o_orderkey / (o_custkey - o_custkey) > 0", "ods")
 
@@ -39,7 +42,8 @@ MEASURED = """
              CASE WHEN NOT broken THEN NULL WHEN deviation > 2 THEN 'error' WHEN deviation > 1 THEN 'warn' ELSE 'info' END AS level,
              CASE WHEN broken THEN printf('%s, %s: measured %s of %.4f, which is %s the limit of %.4f', target_table,
                   coalesce(target_column, '(whole table)'), rule_type, actual,
-                  CASE WHEN rule_type IN ('uniqueness', 'volume_compare') THEN 'below' ELSE 'above' END, threshold) END AS message
+                  CASE WHEN rule_type IN ('uniqueness', 'volume_compare') THEN 'below' ELSE 'above' END, threshold) END AS message,
+             TIMESTAMP '2024-02-01 12:00:00' AS checked_at
       FROM judged)"""
 
 
@@ -117,12 +121,50 @@ def alert_message(d: Data):
 
 @register("WITH" + MEASURED + " SELECT * FROM results", ("rules",))
 def quality_results(d: Data):
-    return op.quality_results(d.spark, _rules(d), d.table)
+    return op.quality_results(d.spark, _rules(d), d.table, at=CHECKED_AT)
+
+
+@register("WITH" + MEASURED + """, runs AS (SELECT r.status, DATE '2024-02-01' + CAST(n AS INTEGER) AS day, n FROM results r, range(3) t(n) WHERE r.rule_id >= n)
+    SELECT CAST(day AS DATE) AS day, count(*) AS checks, count(*) FILTER (status = 'pass') AS passed,
+           count(*) FILTER (status = 'pass') / count(*)::DOUBLE AS pass_rate FROM runs GROUP BY day""", ("rules",))
+def quality_trend_of_results(d: Data):
+    """The trend of kept results: three daily runs, each with one rule less."""
+    path, rules = fresh_path(d.spark, "results"), _rules(d)
+    for day in range(3):
+        results = op.quality_results(d.spark, rules[day:], d.table, at=f"2024-02-0{day + 1} 06:00:00")
+        results.write.mode("append").parquet(path)
+    return op.quality_trend(d.spark.read.parquet(path), "checked_at", F.col("status") == "pass")
+
+
+@register("WITH" + MEASURED + " SELECT * FROM results WHERE target_table = 'lineitem'", ("rules",))
+def write_checked(d: Data):
+    """Results of the rows that a write has seen; its uniqueness rule reads them once more."""
+    return op.write_checked(d.table("lineitem"), fresh_path(d.spark, "checked"), _rules(d), "lineitem", at=CHECKED_AT)
+
+
+@register("""
+    WITH counted AS (
+      SELECT 'l_orderkey' AS name, count(*) AS rows, count(DISTINCT l_orderkey) AS exact FROM lineitem UNION ALL
+      SELECT 'l_partkey', count(*), count(DISTINCT l_partkey) FROM lineitem UNION ALL
+      SELECT 'l_suppkey', count(*), count(DISTINCT l_suppkey) FROM lineitem)
+    SELECT name, rows, exact, true AS within FROM counted""")
+def merge_sketches(d: Data):
+    """Distinct counts of a grown table from kept sketches: the last two years' partitions come later."""
+    path, names = fresh_path(d.spark, "sketches"), ["l_orderkey", "l_partkey", "l_suppkey"]
+    lines = d.table("lineitem").withColumn("year", F.year("l_shipdate"))
+    late = F.col("year") >= 1997
+    for part in (lines.where(~late), lines.where(late)):
+        sketches.sketch_columns(part, names, "year").write.mode("append").parquet(path)
+    merged = sketches.merge_sketches(d.spark.read.parquet(path))
+    exact = lines.agg(*[F.count_distinct(name).alias(name) for name in names])
+    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(name).alias("name"), F.col(name).alias("exact")) for name in names])))
+    within = F.abs(F.col("distinct_values") - F.col("exact")) <= F.col("exact") * sketches.MOST_ERROR
+    return merged.join(exact, "name").select("name", "rows", "exact", within.alias("within"))
 
 
 @register("WITH" + MEASURED + " SELECT * FROM results WHERE status = 'fail'", ("rules",))
 def run_checks(d: Data):
-    return op.run_checks(d.spark, _rules(d), d.table)
+    return op.run_checks(d.spark, _rules(d), d.table, at=CHECKED_AT)
 
 
 @register("WITH" + MEASURED + """
@@ -130,7 +172,7 @@ def run_checks(d: Data):
     UNION ALL SELECT 90, 'null_rate', 'ods', 'orders', 'no_such_column', -1, 0.1, 'error', 'error'""", ("rules",))
 def run_checks_bad_rule(d: Data):
     """A rule on a missing column reports itself; all other rules still run."""
-    return op.run_checks(d.spark, [*_rules(d), MISSING_COLUMN], d.table).drop("message")
+    return op.run_checks(d.spark, [*_rules(d), MISSING_COLUMN], d.table).drop("message", "checked_at")
 
 
 @register("WITH" + MEASURED + """
@@ -138,17 +180,17 @@ def run_checks_bad_rule(d: Data):
     UNION ALL SELECT 91, 'range_check', 'ods', 'orders', NULL, -1, 0.1, 'error', 'error'""", ("rules",))
 def run_checks_failing_rule(d: Data):
     """A rule that fails while running takes its table's shared aggregate apart, not the run."""
-    return op.run_checks(d.spark, [*_rules(d), RUNTIME_ERROR], d.table, isolate_runtime=True).drop("message")
+    return op.run_checks(d.spark, [*_rules(d), RUNTIME_ERROR], d.table, isolate_runtime=True).drop("message", "checked_at")
 
 
 @register("WITH" + MEASURED + " SELECT * FROM results WHERE status = 'fail' AND layer = 'dwd'", ("rules",))
 def run_checks_for_layer(d: Data):
-    return op.run_checks_for_layer(d.spark, _rules(d), "dwd", d.table)
+    return op.run_checks_for_layer(d.spark, _rules(d), "dwd", d.table, at=CHECKED_AT)
 
 
 @register("WITH" + MEASURED + " SELECT * FROM results WHERE status = 'fail' AND rule_id = 6", ("rules",))
 def run_check(d: Data):
-    return op.run_check(d.spark, _rules(d), 6, d.table)
+    return op.run_check(d.spark, _rules(d), 6, d.table, at=CHECKED_AT)
 
 
 @register("SELECT * FROM alerts QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY triggered_at DESC, id DESC) = 1", ("alerts",))

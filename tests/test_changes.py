@@ -108,24 +108,6 @@ def test_bucketed_state_is_not_shuffled(spark, make, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_a_kept_state_equals_the_fold_of_all_changes(spark, make, tmp_path):
-    path = str(tmp_path / "state")
-    rows = [(1, "a", "c", 1), (2, "b", "c", 2), (1, "a2", "u", 5), (2, None, "d", 6), (3, "c", "c", 7), (1, "old", "u", 3), (2, "late", "u", 4)]
-    schema = "id int, v string, op string, seq bigint"
-    for part in (rows[:2], rows[2:5], rows[5:], rows[:3]):
-        op.apply_to_state(path, make(part, schema), ["id"], parts=4)
-    assert rows_of(op.read_state(spark, path), "id", "v") == [(1, "a2"), (3, "c")]
-
-
-def test_only_touched_parts_of_a_state_are_rewritten(spark, make, tmp_path):
-    path, schema = str(tmp_path / "state"), "id int, v string, op string, seq bigint"
-    op.apply_to_state(path, make([(i, "a", "c", i) for i in range(50)], schema), ["id"], parts=8)
-    before = set(spark.read.parquet(path).inputFiles())
-    op.apply_to_state(path, make([(7, "b", "u", 99)], schema), ["id"], parts=8)
-    assert len(before & set(spark.read.parquet(path).inputFiles())) == 7
-    assert op.read_state(spark, path).count() == 50
-
-
 def test_bad_envelopes_keep_their_text(make):
     good = '{"op":"u","seq":1,"after":{"id":1,"amount":2.5}}'
     rows = [good, "{broken", '{"op":"u","seq":2,"after":{"id":2,"amount":"abc"}}', None, '{"op":"d","seq":3,"before":{"id":4}}']

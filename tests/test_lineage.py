@@ -52,3 +52,32 @@ def test_layer_view_drops_edges_without_both_ends(make):
 def test_hops_go_through_the_task(make):
     edges = make([("s", "t", 7, "cdc_sync")], "src string, dst string, task_id int, lineage_type string")
     assert rows_of(op.task_hops(edges)) == [("s", "task:7", "cdc_sync"), ("task:7", "t", "cdc_sync")]
+
+
+def test_a_chain_takes_rounds_by_its_logarithm(spark, make, monkeypatch):
+    from strata.operators import lineage
+    rounds = []
+    kept = lineage.written
+    monkeypatch.setattr(lineage, "written", lambda df, name: rounds.append(name) or kept(df, name))
+    chain = make([(i, i + 1) for i in range(4095)], "src int, dst int")
+    found = lineage.reachable(chain, make([(0,)], "node int"), frontier_rounds=1)
+    assert found.count() == 4096 and found.where("node = depth").count() == 4096
+    assert 1 + rounds.count("reached") - 1 <= 13  # one step, and the doublings after the frontier's own table
+
+
+def test_doubled_hops_find_the_fewest_steps(spark, make):
+    import random
+
+    from strata.operators import lineage
+    pick = random.Random(2)
+    for trial, limit in enumerate((None, 5, 1, None)):
+        edges = {(pick.randrange(60), pick.randrange(60)) for _ in range(75)} | {(i, i + 1) for i in range(60, 60 + 9 * trial)} | {(5, 60), (60 + 9 * trial, 3)}
+        roots, depth, at = {0, 7}, {0: 0, 7: 0}, 0
+        front = set(roots)
+        while front and (limit is None or at < limit):
+            at += 1
+            front = {b for a, b in edges if a in front} - depth.keys()
+            depth.update(dict.fromkeys(front, at))
+        for rounds in (0, 1, 3):
+            found = lineage.reachable(make(sorted(edges), "src int, dst int"), make([(r,) for r in roots], "node int"), max_depth=limit, frontier_rounds=rounds)
+            assert sorted(tuple(row) for row in found.select("node", "depth").collect()) == sorted(depth.items())
