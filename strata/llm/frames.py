@@ -13,9 +13,22 @@ from pyspark.sql import functions as F
 from strata.session import written
 
 
+SMALL_BYTES = 64 << 20  # tables up to this size are broadcast
+
+
 def small(spark: SparkSession, **columns) -> DataFrame:
-    """A table from driver values. Callers pass values bounded by a parameter or by the number of partitions."""
-    return F.broadcast(spark.createDataFrame(pa.table(columns)))
+    """A table from driver values. Callers pass values bounded by a parameter or by the number of partitions.
+
+    It is broadcast up to ``SMALL_BYTES``; beyond, joins with it are planned as any others.
+    """
+    values = pa.table(columns)
+    table = spark.createDataFrame(values)
+    return F.broadcast(table) if values.nbytes <= SMALL_BYTES else table
+
+
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """``df``, which has narrow rows, to be broadcast if it has at most so many; they are counted."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def indexed(df: DataFrame, order: list, name: str) -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.frames import bounded
 from strata.session import written
 
 TRAIN_ROWS = 10_000    # labelled rows of the fit
@@ -152,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
                 .toDF("id", "toxic").orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS))
     chosen = written(admitted, "train-labels")
     # At most TRAIN_ROWS rows of two numbers are broadcast, and as many texts kept.
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(bounded(chosen, TRAIN_ROWS), "id")
     # Rows that share an id give one text.
     sample = written(texts.groupBy("id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "train-rows")
     total = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()

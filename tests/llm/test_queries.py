@@ -1,0 +1,47 @@
+"""Every registered query of the operators over the whole small tables: its SQL where there is one, and its plan."""
+
+import os
+import re
+
+import check
+import pytest
+from conftest import ROOT, SMALL
+
+from strata.llm import suite
+
+PLANS = []
+
+
+@pytest.fixture(scope="module")
+def twin():
+    return check.connect(SMALL)
+
+
+@pytest.mark.parametrize("name", sorted(suite.QUERIES))
+def test_query_equals_its_twin_and_has_no_product(spark, twin, name):
+    assert check.compare(spark, twin, name, SMALL) is None
+    plan = suite.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython", plan)
+    for line in plan.splitlines():
+        assert not re.search(r"Window \[.*\], \[\]", line), line
+
+
+def test_broadcasts_are_asked_for_in_one_place_that_checks_their_size():
+    for name in os.listdir(os.path.join(ROOT, "strata", "llm")):
+        if name.endswith(".py"):
+            with open(os.path.join(ROOT, "strata", "llm", name)) as file:
+                text = file.read()
+            assert not re.search(r"localCheckpoint|crossJoin|\.rdd\b|toPandas", text), name
+            assert "F.broadcast" not in text or name == "frames.py", name
+
+
+def test_a_large_table_of_driver_values_is_not_broadcast(spark, monkeypatch):
+    import pyarrow as pa
+
+    from strata.llm import frames
+    rows = spark.range(10).withColumnRenamed("id", "a")
+    hinted = rows.join(frames.small(spark, a=pa.array([1, 2])), "a")._jdf.queryExecution().logical().toString()
+    monkeypatch.setattr(frames, "SMALL_BYTES", 8)
+    plain = rows.join(frames.small(spark, a=pa.array([1, 2])), "a")._jdf.queryExecution().logical().toString()
+    assert "broadcast" in hinted and "broadcast" not in plain
+    assert frames.bounded(rows, 10)._jdf.queryExecution().logical().toString() != frames.bounded(rows, 9)._jdf.queryExecution().logical().toString()
