@@ -77,6 +77,24 @@ def stuck_submissions(tasks: DataFrame, now, minutes: int = SUBMIT_MINUTES) -> D
         "error", F.lit(SUBMIT_TIMEOUT.format(minutes=minutes)))
 
 
+def failed_submissions(polls: DataFrame, minutes: int = SUBMIT_MINUTES, task: str = "task_id", time: str = "at_time") -> DataFrame:
+    """Submissions (polls in a submitting state without a job id) that no job id of their task followed in time.
+
+    On a stream with a watermark on ``time`` the join keeps a submission as state until its minutes have ended, and gives it
+    out then and not at the next poll of its task; on a table the limits must have passed. Two polls of one task meet
+    only if they are at most ``minutes`` apart.
+    """
+    limit = F.expr(f"INTERVAL {minutes} MINUTES")
+    waiting = polls.where((map_job_state("job_state") == "submitting") & F.col("job_id").isNull()).select(
+        task, F.col("seq"), F.col(time).alias("submitted_at"))
+    started = polls.where(F.col("job_id").isNotNull()).select(F.col(task).alias("_task"), F.col(time).alias("_started_at"))
+    met = (F.col(task) == F.col("_task")) & (F.col("_started_at") >= F.col("submitted_at")) & (
+        F.col("_started_at") <= F.col("submitted_at") + limit)
+    alone = (waiting.join(started, met, "left").where("_task IS NULL") if polls.isStreaming else waiting.join(started, met, "left_anti"))
+    return alone.select(task, "seq", "submitted_at", (F.col("submitted_at") + limit).alias("failed_at"),
+                        F.lit("failed").alias("status"), F.lit(SUBMIT_TIMEOUT.format(minutes=minutes)).alias("error"))
+
+
 def checkpoint_metrics(df: DataFrame, json_col: str) -> DataFrame:
     """Completed checkpoints, time of the last one and its state size; 0 where the text has none."""
     parsed = df.withColumn("_c", F.from_json(json_col, CHECKPOINT_SCHEMA))

@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strata.functions.money import exact_sum, units
-from strata.session import written
 from strata.sources.tables import write_table
 
 # Days after the first active day at which retention is measured.
@@ -119,10 +118,10 @@ def ads_user_retention(events: DataFrame, days: Sequence[int] = RETENTION_DAYS,
 def share_of_total(df: DataFrame, category: str, value: str, digits: int = AMOUNT_DIGITS) -> DataFrame:
     """Percent of the total per category, to one decimal.
 
-    The grouped rows become a table, so the input is aggregated once; the total is one number from it,
-    not a window that brings all categories together.
+    The total is one value from the grouped rows, not a window that brings all categories together. It is a part of
+    the plan, whose aggregate by category serves both, so nothing runs before the result is asked for.
     """
-    grouped = written(df.groupBy(category).agg(exact_sum(value, digits).alias("value")), "shares")
+    grouped = df.groupBy(category).agg(exact_sum(value, digits).alias("value"))
     total = grouped.agg(F.sum("value").cast("double")).scalar()
     share = F.floor(F.col("value").cast("double") * 1000 / total + F.lit(0.5)) / F.lit(10.0)
     return grouped.select(category, "value", share.alias("share"))

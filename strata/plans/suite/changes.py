@@ -74,6 +74,28 @@ def read_table(d: Data):
     return tables.read_table(d.spark, f"{base}/table", ["id"])
 
 
+@register(NOW_TWIN, ("chg",))
+def restore(d: Data):
+    """A job that stopped at a savepoint, went on, and was taken back to it: the replay gives every change once."""
+    base, rows, middle = fresh_path(d.spark, "savepoint"), d.fixture("chg"), _middle(d)
+
+    def run(name):
+        stream = ingest.stream_files(d.spark, f"{base}/in", rows.schema)
+        ingest.run_to_end(tables.ingest_batches(stream, f"{base}/{name}", f"{base}/{name}-checkpoint", once=True))
+
+    rows.where(F.col("seq") <= middle // 2).write.mode("append").parquet(f"{base}/in")
+    run("first")
+    tables.fold_tail(d.spark, f"{base}/first", ["id"], parts=8)
+    rows.where((F.col("seq") > middle // 2) & (F.col("seq") <= middle)).write.mode("append").parquet(f"{base}/in")
+    run("first")
+    tables.savepoint(d.spark, f"{base}/first", f"{base}/first-checkpoint", f"{base}/kept")
+    rows.where(F.col("seq") > middle).write.mode("append").parquet(f"{base}/in")
+    run("first")
+    tables.restore(d.spark, f"{base}/kept", f"{base}/second", f"{base}/second-checkpoint")
+    run("second")
+    return tables.read_table(d.spark, f"{base}/second", ["id"])
+
+
 @register("""
     SELECT CAST(event_time AS DATE) AS day, count(*) AS rows, CAST(sum(CAST(round(amount * 10000) AS BIGINT)) AS BIGINT) AS total_units,
            min(amount) AS low, max(amount) AS high

@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from strata.functions.states import map_job_state as status_of
 from strata.operators import monitor as op
 from strata.plans.registry import Data, register
+from strata.session import fresh_path
+from strata.streaming import ingest
+from strata.streaming.metrics import as_event_time
 
 STATUS_OF = """CASE job_state WHEN 'RUNNING' THEN 'running' WHEN 'RESTARTING' THEN 'running' WHEN 'FAILED' THEN 'failed'
         WHEN 'FINISHED' THEN 'finished' WHEN 'CREATED' THEN 'submitting' ELSE lower(job_state) END"""
@@ -89,6 +92,32 @@ def stuck_submissions(d: Data):
     return op.stuck_submissions(tasks, "2024-01-20 12:00:00")
 
 
+FAILED_TWIN = f"""
+    SELECT task_id, seq, at_time AS submitted_at, at_time + INTERVAL 90 MINUTE AS failed_at, 'failed' AS status,
+           '{op.SUBMIT_TIMEOUT.format(minutes=90)}' AS error
+    FROM (SELECT *, {STATUS_OF} AS status FROM tasklog) s WHERE status = 'submitting' AND job_id IS NULL AND NOT EXISTS (
+      SELECT 1 FROM tasklog j WHERE j.task_id = s.task_id AND j.job_id IS NOT NULL AND j.at_time BETWEEN s.at_time AND s.at_time + INTERVAL 90 MINUTE)"""
+
+
+@register(FAILED_TWIN, ("tasklog",))
+def failed_submissions(d: Data):
+    return op.failed_submissions(d.fixture("tasklog"), 90)
+
+
+@register(FAILED_TWIN, ("tasklog",))
+def failed_submission_stream(d: Data):
+    """The polls as a stream, and one much later poll, which lets all limits pass."""
+    base, polls = fresh_path(d.spark, "submissions"), d.fixture("tasklog")
+    last = polls.orderBy(F.desc("at_time")).limit(1).withColumn("at_time", F.expr("at_time + INTERVAL 2 DAYS")).withColumn(
+        "task_id", F.lit(-1).cast("bigint"))
+    for rows in (polls, last):
+        rows.write.mode("append").parquet(f"{base}/in")
+        stream = as_event_time(ingest.stream_files(d.spark, f"{base}/in", polls.schema), "at_time", "1 minute")
+        ingest.run_to_end(ingest.ingest_stream(op.failed_submissions(stream, 90), f"{base}/out", f"{base}/checkpoint", once=True))
+    time = lambda name: F.col(name).cast("timestamp_ntz").alias(name)
+    return d.spark.read.parquet(f"{base}/out").select("task_id", "seq", time("submitted_at"), time("failed_at"), "status", "error")
+
+
 @register("""
     SELECT seq, CASE WHEN job_state = 'CREATED' THEN 0 ELSE lag_ms END AS checkpoint_count,
            CASE WHEN job_state NOT IN ('CREATED', 'FAILED') THEN date_trunc('millisecond', at_time) END AS last_checkpoint_time,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Source systems and their driver classes.
@@ -37,6 +40,43 @@ def key_bounds(spark: SparkSession, url: str, table: str, key: str, **extra) ->
     return tuple(spark.read.format("jdbc").options(**jdbc_options(url, query, **extra)).load().first())
 
 
+def cut_query(table: str, key: str, parts: int) -> str:
+    """A subquery for the source: the smallest key of each of ``parts`` equally large shares of its rows."""
+    return (f"(SELECT MIN({key}) AS cut FROM (SELECT {key}, NTILE({parts}) OVER (ORDER BY {key}) AS share FROM {table} "
+            f"WHERE {key} IS NOT NULL) shares GROUP BY share) cuts")
+
+
+def _literal(value) -> str:
+    if isinstance(value, bool) or not isinstance(value, (int, float, Decimal)):
+        return "'" + str(value).replace("'", "''") + "'"
+    return str(value)
+
+
+def split_predicates(key: str, cuts: Sequence) -> list[str]:
+    """Conditions that deal all rows to reads of equal size: each row, null keys too, meets exactly one.
+
+    ``cuts`` are the smallest keys of the shares. A key with more rows than a share takes several cuts, which fall
+    together, so that it is read by one task and its neighbours by others.
+    """
+    inner = sorted(set(cuts))[1:]
+    if not inner:
+        return ["1 = 1"]
+    names = [_literal(cut) for cut in inner]
+    between = [f"{key} >= {low} AND {key} < {high}" for low, high in zip(names, names[1:])]
+    return [f"{key} < {names[0]} OR {key} IS NULL", *between, f"{key} >= {names[-1]}"]
+
+
+def read_evenly(spark: SparkSession, url: str, table: str, key: str, parts: int, **extra) -> DataFrame:
+    """A source table in reads of equally many rows, however its keys are spread.
+
+    The source sorts the key once to find the cuts; at most ``parts`` rows travel for it.
+    """
+    cuts = spark.read.format("jdbc").options(**jdbc_options(url, cut_query(table, key, parts), **extra)).load()
+    options = jdbc_options(url, table, **extra)
+    options.pop("dbtable")
+    return spark.read.jdbc(options.pop("url"), table, predicates=split_predicates(key, [row[0] for row in cuts.collect()]), properties=options)
+
+
 def split_or_whole(key: str, bounds: tuple, parts: int) -> tuple:
     """Key, bounds and parts of a read; of a whole read where the source has no key value."""
     return (None, None, 1) if None in bounds else (key, bounds, parts)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strata.operators.changes import fold_changes, upsert, visible
-from strata.operators.state import _files, apply_to_state, exists, read_layout, stored_state
+from strata.operators.state import PART, _files, apply_to_state, exists, read_layout, stored_state
 from strata.streaming.ingest import CHECKPOINT_INTERVAL_MS
 
 BATCH = "_batch"
@@ -96,3 +96,62 @@ def tail_rows(spark: SparkSession, path: str) -> int:
     """Change rows that reads have to fold, which tells when ``fold_tail`` is due."""
     tail = read_tail(spark, path)
     return 0 if tail is None else tail.agg(F.count(F.lit(1))).first()[0]
+
+
+def _copy_rows(spark: SparkSession, source: str, target: str) -> None:
+    """The rows of a Parquet folder, copied by a job."""
+    if exists(spark, source):
+        rows = spark.read.parquet(source)
+        by = [PART] if PART in rows.columns else []
+        rows.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(target)
+
+
+def _copy_files(spark: SparkSession, source: str, target: str) -> None:
+    """Small files, such as a checkpoint's or a layout's, one after the other."""
+    files, folder = _files(spark, source)
+    if files.exists(folder):
+        to, place = _files(spark, target)
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(files, folder, to, place, False, True, spark._jsc.hadoopConfiguration())
+
+
+def _copy_table(spark: SparkSession, source: str, target: str, numbers: list[int]) -> None:
+    _copy_rows(spark, f"{source}/state", f"{target}/state")
+    _copy_files(spark, f"{source}/state/_layout", f"{target}/state/_layout")
+    for number in numbers:
+        _copy_rows(spark, f"{source}/log/{BATCH}={number}", f"{target}/log/{BATCH}={number}")
+
+
+def savepoint(spark: SparkSession, path: str, checkpoint: str, target: str) -> int:
+    """Keep a stopped change table and its checkpoint as they are in the folder ``target``; returns the last batch.
+
+    The table and the checkpoint must stand at the same batch: a batch that was written but not committed would be
+    read again by a job that goes on from here, so it is left out. A name is used once.
+    """
+    if exists(spark, target):
+        raise ValueError(f"the savepoint {target} exists already")
+    files, folder = _files(spark, f"{checkpoint}/commits")
+    done = [int(status.getPath().getName()) for status in files.listStatus(folder) if status.getPath().getName().isdigit()] if files.exists(folder) else []
+    last = max(done, default=-1)
+    if _applied(spark, path) > last:
+        raise ValueError(f"the state of {path} is ahead of its checkpoint")
+    _copy_table(spark, path, f"{target}/table", [number for number in batches(spark, path) if number <= last])
+    _copy_files(spark, checkpoint, f"{target}/checkpoint")
+    for name in ("offsets", "commits"):  # entries of a batch that was begun
+        files, folder = _files(spark, f"{target}/checkpoint/{name}")
+        for status in files.listStatus(folder) if files.exists(folder) else []:
+            number = status.getPath().getName().lstrip(".").split(".")[0]
+            if number.isdigit() and int(number) > last:
+                files.delete(status.getPath(), False)
+    return last
+
+
+def restore(spark: SparkSession, target: str, path: str, checkpoint: str) -> None:
+    """Set up a change table and its checkpoint from a savepoint, in folders that do not exist yet.
+
+    A job started there reads what came after the savepoint, and nothing twice.
+    """
+    for folder in (path, checkpoint):
+        if exists(spark, folder):
+            raise ValueError(f"{folder} exists already")
+    _copy_table(spark, f"{target}/table", path, batches(spark, f"{target}/table"))
+    _copy_files(spark, f"{target}/checkpoint", checkpoint)

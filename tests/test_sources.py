@@ -133,3 +133,23 @@ def test_exact_sums(make):
     many = big.selectExpr("explode(sequence(1, 2000)) AS i", "x")
     assert many.agg(exact_sum("x", 2)).first()[0] == Decimal("90000000000000.25") * 200_000
     assert make([], "x double").agg(exact_sum("x", 2)).first()[0] is None
+
+
+def test_reads_of_equal_size_take_every_row_once():
+    import random
+
+    import duckdb
+
+    from strata.sources import jdbc
+    pick, base = random.Random(3), duckdb.connect()
+    base.execute("CREATE TABLE t (k BIGINT, s VARCHAR, d DATE)")
+    keys = [pick.choice([7, 7, 7, *range(100), *(i ** 4 for i in range(60))]) for _ in range(2000)] + [None] * 5
+    base.executemany("INSERT INTO t VALUES (?, ?, CAST('2024-01-01' AS DATE) + CAST(? AS INTEGER))", [(k, f"it's {k}", (k or 0) % 50) for k in keys])
+    for key in ("k", "s", "d"):
+        for parts in (1, 4, 16):
+            cuts = [row[0] for row in base.sql(f"SELECT cut FROM {jdbc.cut_query('t', key, parts)}").fetchall()]
+            reads = [base.sql(f"SELECT count(*) FROM t WHERE {where}").fetchall()[0][0] for where in jdbc.split_predicates(key, cuts)]
+            assert sum(reads) == 2005 and len(reads) <= parts
+            largest = base.sql(f"SELECT max(n) FROM (SELECT count(*) AS n FROM t GROUP BY {key})").fetchall()[0][0]
+            assert max(reads) <= 2005 / parts + largest + 6
+    assert jdbc.split_predicates("k", []) == ["1 = 1"]

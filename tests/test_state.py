@@ -183,3 +183,53 @@ def test_rows_that_never_came_cannot_be_taken_back(spark, make, tmp_path):
     kinds = make([("d1", 5.0, "-D")], "day string, amount double, row_kind string")
     with pytest.raises(PySparkException, match="never came"):
         retract.refresh(str(tmp_path / "kept"), retract.signed(kinds, ["day"], "amount"), ["day"], 2)
+
+
+def test_a_job_goes_on_from_a_savepoint(spark, make, tmp_path):
+    base, pick = str(tmp_path), random.Random(8)
+    schema, seen = make([], SCHEMA).schema, []
+
+    def deliver(number):
+        rows = [(pick.randrange(30), f"v{number}-{i}", pick.choice("cuud"), number * 100 + i) for i in range(40)]
+        seen.extend(rows)
+        make(rows, SCHEMA).write.mode("append").parquet(f"{base}/in")
+
+    def run(name):
+        ingest.run_to_end(tables.ingest_batches(ingest.stream_files(spark, f"{base}/in", schema), f"{base}/{name}", f"{base}/{name}-c", once=True))
+
+    def current(name):
+        return rows_of(tables.read_table(spark, f"{base}/{name}", ["id"]), "id", "v")
+
+    def expected():
+        return rows_of(op.fold_changes(make(seen, SCHEMA), ["id"]), "id", "v")
+
+    deliver(0)
+    run("a")
+    tables.fold_tail(spark, f"{base}/a", ["id"], parts=4)
+    deliver(1)
+    run("a")
+    assert tables.savepoint(spark, f"{base}/a", f"{base}/a-c", f"{base}/kept") == 1
+    at_savepoint = expected()
+    deliver(2)
+    run("a")
+    tables.fold_tail(spark, f"{base}/a", ["id"])
+    tables.restore(spark, f"{base}/kept", f"{base}/b", f"{base}/b-c")
+    assert current("b") == at_savepoint and tables.batches(spark, f"{base}/b") == [1]
+    run("b")
+    assert current("b") == current("a") == expected()
+    assert spark.read.parquet(f"{base}/b/log").groupBy("seq").count().where("count > 1").isEmpty()
+    with pytest.raises(ValueError, match="exists"):
+        tables.savepoint(spark, f"{base}/a", f"{base}/a-c", f"{base}/kept")
+    with pytest.raises(ValueError, match="exists"):
+        tables.restore(spark, f"{base}/kept", f"{base}/b", f"{base}/other")
+
+
+def test_a_batch_that_was_not_committed_is_no_part_of_a_savepoint(spark, make, tmp_path):
+    base = str(tmp_path)
+    make([(1, "a", "c", 1)], SCHEMA).write.parquet(f"{base}/in")
+    ingest.run_to_end(tables.ingest_batches(ingest.stream_files(spark, f"{base}/in", make([], SCHEMA).schema), f"{base}/t", f"{base}/c", once=True))
+    make([(2, "b", "c", 2)], SCHEMA).write.parquet(f"{base}/t/log/_batch=1")  # written, then the job died
+    with open(f"{base}/c/offsets/1", "w") as file:
+        file.write("begun")
+    assert tables.savepoint(spark, f"{base}/t", f"{base}/c", f"{base}/kept") == 0
+    assert os.listdir(f"{base}/kept/table/log") == ["_batch=0"] and "1" not in os.listdir(f"{base}/kept/checkpoint/offsets")

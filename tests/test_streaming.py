@@ -83,3 +83,51 @@ def test_lag_of_the_newest_fetch(make):
     df = make([("a", s(0), s(9)), ("a", s(10), s(12)), ("b", s(5), s(4))], "source string, e timestamp_ntz, f timestamp_ntz")
     assert rows_of(metrics.lag_by_source(df, "source", "e", "f")) == [("a", 2000, 9000), ("b", -1000, -1000)]
     assert metrics.lag_by_source(df.where(F.lit(False)), "source", "e", "f").count() == 0
+
+
+POLLS = "task_id bigint, seq bigint, job_state string, job_id string, at_time timestamp_ntz"
+
+
+def test_submissions_fail_when_their_minutes_end(spark, make, tmp_path):
+    import datetime
+
+    from strata.operators.monitor import failed_submissions
+    from strata.streaming.status import failed_submission_stream
+    at = lambda minute: datetime.datetime(2024, 1, 1, 10) + datetime.timedelta(minutes=minute)
+    first = [(1, 1, "CREATED", None, at(0)), (1, 2, "RUNNING", "j1", at(5)), (2, 3, "CREATED", None, at(1)), (3, 4, "CREATED", None, at(2)),
+             (2, 5, "RUNNING", "j2", at(7)), (4, 6, "RUNNING", None, at(2)), (5, 7, "CREATED", "j5", at(3))]
+    later = [(3, 8, "CREATED", None, at(9)), (6, 9, "CREATED", None, at(30))]
+    base, found = str(tmp_path), []
+    for rows in (first, later, [(9, 10, "RUNNING", "j", at(200))]):
+        make(rows, POLLS).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(make([], POLLS).schema).parquet(f"{base}/in")
+        query = failed_submission_stream(stream, f"{base}/out", f"{base}/c", once=True)
+        query.awaitTermination()
+        assert query.exception() is None
+        found.append(sorted(row.seq for row in spark.read.parquet(f"{base}/out").collect()))
+    # After the second delivery the watermark stands at 29 minutes: no poll of task 2 or 3 was needed for that.
+    assert found[1:] == [[3, 4, 8], [3, 4, 8, 9]]
+    batch = failed_submissions(make(first + later, POLLS))
+    assert sorted(row.seq for row in batch.collect()) == [3, 4, 8, 9]
+    assert {row.seq: row.failed_at for row in batch.collect()}[3] == at(6)
+
+
+def test_folded_status_files_give_the_same_status(spark, make, tmp_path):
+    import pytest
+
+    from strata.streaming.status import fold_status, read_status, task_status_stream
+    base = str(tmp_path)
+    for number in range(5):
+        rows = [(task, number * 10 + task, "RUNNING" if (task + number) % 3 else "FAILED", None, None) for task in range(number, 6)]
+        make(rows, POLLS).selectExpr("*", "seq AS lag_ms").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
+        query = task_status_stream(stream, f"{base}/out", f"{base}/c", once=True)
+        query.awaitTermination()
+        assert query.exception() is None
+    before = sorted(tuple(row) for row in read_status(spark, f"{base}/out").collect())
+    folders = spark.read.parquet(f"{base}/out").select("_batch").distinct().count()
+    assert fold_status(spark, f"{base}/out") == folders - 2 > 0
+    assert sorted(tuple(row) for row in read_status(spark, f"{base}/out").collect()) == before
+    assert spark.read.parquet(f"{base}/out").select("_batch").distinct().count() == 2 and fold_status(spark, f"{base}/out") == 0
+    with pytest.raises(ValueError, match="missing"):
+        task_status_stream(stream, f"{base}/out", f"{base}/other", once=True)
