@@ -2,8 +2,12 @@
 
 A page is read as a sequence of words and tags. Words score positive and tags negative, each with a weight learned
 from labelled pages: those whose article is marked by exactly one ``article`` element. Words of page furniture
-(elements that are named as such and do not hold the content) count against. One linear scan finds the contiguous run with the highest sum; the
-smallest container around it is the content, and its text without furniture is the result.
+(elements that are named as such and do not hold the content) and tags never seen in labelled pages do not count, and words of
+links do as far as labelled articles have them. One linear scan finds the contiguous run with the highest sum.
+The run, extended to the borders of its first and last block, is the content; its text without furniture is the result.
+
+Names of furniture are the fixed ones below and those learned: classes, ids and roles whose words stand outside the
+labelled articles (log-odds below ``NAME_ODDS`` in at least ``NAME_PAGES`` pages).
 
 The weights come from at most ``LABELLED`` pages, those with the smallest hashed ids; every page is read whole.
 
@@ -29,6 +33,9 @@ from pyspark.sql import functions as F
 
 LABELLED = 1000
 TAG_NAMES = 200  # tag names that get a weight of their own
+NAMES = 500      # classes, ids and roles that are learned
+NAME_PAGES = 5   # pages that a learned name occurs in
+NAME_ODDS = -3.0
 MOST = 0.5       # share of a page's words beyond which elements of one name are no furniture, if no article or main stands outside
 NEARLY_ALL = 0.75  # the same beside an article or main
 _LEAST = 0.02    # a tag costs at least this much, a word earns at least as much
@@ -52,14 +59,15 @@ LAYOUT = ("has", "with", "no", "without")
 INLINE = ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
           "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
           "time", "tt", "u", "var", "wbr")
-CONTAINERS = ("article", "main", "section", "div", "td", "body", "html", "blockquote", "table", "tr", "tbody", "ul", "ol", "dl")
 # Elements whose id is the target of a link, often made of the words of a heading.
 ANCHORED = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "dt", "dd", "pre", *INLINE))
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|iframe|svg|title|math|object|textarea)\b[^>]*>.*?</\1\s*>"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
+# Elements whose content is no markup.
+RAW = ("script", "style", "noscript", "template", "iframe", "svg", "title", "math", "object", "textarea")
+_RAW_END = {name: re.compile(f"</{name}\\s*>", re.I) for name in RAW}
+_OPENING = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_PLAIN = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
@@ -69,9 +77,16 @@ _FURNITURE_WORDS = frozenset(FURNITURE_WORDS)
 Event = tuple[str, str, bool]  # kind (a tag name, "/" and a tag name, or "" for text), text, in furniture
 
 
+def names_of(name: str, attributes: str) -> list[str]:
+    """Classes, roles and id of an element; not the ids of headings and the like, which are targets of links."""
+    return [token for match in _ATTRIBUTE.finditer(attributes)
+            if (key := match[1].lower()) in ("class", "role") or key == "id" and name not in ANCHORED
+            for token in (match[2] or match[3] or match[4] or "").lower().split()]
+
+
 @lru_cache(maxsize=1 << 14)
-def _furniture_names(name: str, attributes: str) -> frozenset[str]:
-    """Furniture words that name an element: a whole class, id or role, or the last part of one.
+def _furniture_names(name: str, attributes: str, learned: frozenset[str]) -> frozenset[str]:
+    """Names of furniture that an element has: a learned class, id or role, or a fixed word as the last part of one.
 
     ``hidden`` stands for an element that is not shown, ``form`` for a form, which may as well wrap a page.
     """
@@ -82,27 +97,94 @@ def _furniture_names(name: str, attributes: str) -> frozenset[str]:
         key, value = match[1].lower(), (match[2] or match[3] or match[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value.strip() == "true" or key == "style" and _UNSEEN.search(value):
             found.add("hidden")
-        elif key in ("class", "role") or key == "id" and name not in ANCHORED:
-            for token in value.split():
-                parts = _PARTS.split(token.strip("-_"))
-                if parts[-1] in _FURNITURE_WORDS and (len(parts) == 1 or parts[0] not in LAYOUT):
-                    found.add(parts[-1])
+    for token in names_of(name, attributes):
+        parts = _PARTS.split(token.strip("-_"))
+        if parts[-1] in _FURNITURE_WORDS and (len(parts) == 1 or parts[0] not in LAYOUT):
+            found.add(parts[-1])
+        elif token in learned:
+            found.add(token)
     return frozenset(found)
 
 
-def events(page: str) -> list[Event]:
-    """Tags and texts of a page in order; comments and silent elements are left out."""
-    raw: list[tuple[str, str, str]] = []
-    for token in _TOKEN.finditer(page):
-        if token[3]:
-            raw.append((token[2] + token[3].lower(), "", token[4]))
-        elif token[0][0] != "<" or token[0] == "<":
-            raw.append(("", token[0], ""))
-    inside = _furniture(raw)
+class _Finder:
+    """Forward searches in a page, whose number of failures does not grow with the page."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def raw_end(self, name: str, at: int) -> int:
+        """After the end tag of a raw element; -1 if there is none."""
+        if name in self.missing:
+            return -1
+        found = _RAW_END[name].search(self.page, at)
+        if not found:
+            self.missing.add(name)
+        return found.end() if found else -1
+
+    def tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag; one in quotes does not, unless a quote is left open."""
+        begin = at
+        if self.find(">", at) < 0:
+            return -1
+        while True:
+            at = _PLAIN.match(self.page, at).end()
+            if at >= len(self.page):
+                return self.find(">", begin)
+            if self.page[at] == ">":
+                return at
+            at = self.find(self.page[at], at + 1) + 1
+            if not at:
+                return self.find(">", begin)
+
+
+def scanned(page: str) -> Iterator[tuple[str, str, str]]:
+    """kind, text and attributes of tags and texts in order, in one pass; comments and raw elements are left out."""
+    finder, at, size = _Finder(page), 0, len(page)
+    while at < size:
+        if page[at] != "<":
+            to = finder.find("<", at)
+            to = size if to < 0 else to
+            yield "", page[at:to], ""
+            at = to
+            continue
+        if page.startswith("<!--", at):
+            to = finder.find("-->", at + 4)
+            at = size if to < 0 else to + 3
+            continue
+        if page.startswith(("<!", "<?"), at):
+            to = finder.find(">", at)
+            if to >= 0:
+                at = to + 1
+                continue
+        opening = _OPENING.match(page, at)
+        to = finder.tag_end(opening.end()) if opening else -1
+        if to < 0:
+            yield "", "<", ""
+            at += 1
+            continue
+        name = opening[2].lower()
+        after = finder.raw_end(name, to + 1) if not opening[1] and name in _RAW_END else -1
+        if after < 0:
+            yield opening[1] + name, "", page[opening.end():to]
+        at = max(after, to + 1)
+
+
+def events(page: str, learned: frozenset[str] = frozenset()) -> list[Event]:
+    """Tags and texts of a page in order, and whether they stand in furniture."""
+    raw = list(scanned(page))
+    inside = _furniture(raw, learned)
     return [(kind, text, inside[i]) for i, (kind, text, _) in enumerate(raw)]
 
 
-def _furniture(raw: list[tuple[str, str, str]]) -> list[bool]:
+def _furniture(raw: list[tuple[str, str, str]], learned: frozenset[str]) -> list[bool]:
     """Which events stand in furniture: elements by their tag name first, then those that a class, id or role names.
 
     What holds the content is no furniture, whatever its name: an element with an ``article`` or ``main`` (outside
@@ -134,7 +216,7 @@ def _furniture(raw: list[tuple[str, str, str]]) -> list[bool]:
         inside[i] = i < until
     named = [(i, names) for i, (kind, _, attributes) in enumerate(raw)
              if kind and kind[0] != "/" and not inside[i] and (attributes or kind == "form") and kind not in VOID
-             and (names := _furniture_names(kind, attributes))]
+             and (names := _furniture_names(kind, attributes, learned))]
     if not named:
         return inside
     articles, mains = ([i for i in places if not inside[i]] for places in (articles, mains))
@@ -169,16 +251,30 @@ def _ends(raw: list[tuple[str, str, str]]) -> list[int]:
 
 
 def tally(page: str) -> Counter | None:
-    """Words ("") and tags of a page inside and outside its one article; None for a page that is no label."""
-    found = events(page)
-    if sum(kind == "article" for kind, _, _ in found) != 1 or sum(kind == "/article" for kind, _, _ in found) != 1:
+    """Words ("", of links "a ") and tags of a page inside and outside its one article, words under each name (".name"),
+    and the page itself for each name outside ("/.name"); None for a page that is no label."""
+    raw = list(scanned(page))
+    kinds = [kind for kind, _, _ in raw]
+    if kinds.count("article") != 1 or kinds.count("/article") != 1:
         return None
+    furniture = _furniture(raw, frozenset())
+    first, last = kinds.index("article"), kinds.index("/article")
     counts: Counter = Counter()
-    inside = False
-    for kind, text, furniture in found:
-        inside &= kind != "/article"
-        counts[kind, inside and not furniture] += len(text.split()) if not kind else 1
-        inside |= kind == "article"
+    links = 0
+    words = [0]
+    for i, (kind, text, _) in enumerate(raw):
+        n = len(text.split())
+        words.append(words[-1] + n)
+        links = max(0, links + (kind == "a") - (kind == "/a"))
+        counts[kind if kind else "a " if links else "", first < i < last and not furniture[i]] += 1 if kind else n
+    ends, seen = _ends(raw), set()
+    for i, (kind, _, attributes) in enumerate(raw):
+        if attributes and kind[0] != "/" and not furniture[i] and not i < first < ends[i]:
+            for name in set(names_of(kind, attributes)):
+                counts[f".{name}", first < i < last] += words[ends[i]] - words[i]
+                if not first < i < last and name not in seen:
+                    seen.add(name)
+                    counts[f"/.{name}", False] += 1
     return counts
 
 
@@ -201,29 +297,42 @@ def learn(pages: DataFrame) -> dict[str, float]:
                 [pa.array(kinds, pa.string()), pa.array(insides, pa.bool_()), pa.array(counts, pa.int64())],
                 names=["kind", "inside", "n"])
 
-    rows = (sample.select("html").mapInArrow(count, "kind string, inside boolean, n long").groupBy("kind")
-            .agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("inside"),
-                 F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("outside"))
-            .orderBy(F.desc(F.col("kind") == ""), F.desc(F.col("inside") + F.col("outside")), "kind").limit(TAG_NAMES + 1).collect())
+    counted = (sample.select("html").mapInArrow(count, "kind string, inside boolean, n long").groupBy("kind")
+               .agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("inside"),
+                    F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("outside")))
+    most = F.desc(F.col("inside") + F.col("outside"))
+    is_name, is_page = F.col("kind").startswith("."), F.col("kind").startswith("/.")
+    rows = counted.where(~is_name & ~is_page).orderBy(F.desc(F.col("kind").isin("", "a ")), most, "kind").limit(TAG_NAMES + 2).collect()
+    pages_of = counted.where(is_page & (F.col("outside") >= NAME_PAGES)).select(F.substring("kind", 2, 1 << 20).alias("kind"))
+    rows += counted.where(is_name).join(pages_of, "kind").orderBy(most, "kind").limit(NAMES).collect()
     return weights({row["kind"]: (row["inside"], row["outside"]) for row in rows})
 
 
 def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
-    """Log-odds of standing in content; a word's is kept above zero and a tag's below."""
+    """Log-odds of standing in content; a word's is kept above zero and a tag's below, those of links and names as they are."""
     odds = {kind: math.log((inside + 0.5) / (outside + 0.5)) for kind, (inside, outside) in counts.items()}
-    return {kind: max(_LEAST, value) if not kind else min(-_LEAST, value) for kind, value in odds.items()} | (
-        {} if "" in odds else {"": 1.0})
+    kept = {kind: value if kind == "a " or kind[:1] == "." else max(_LEAST, value) if not kind else min(-_LEAST, value)
+            for kind, value in odds.items()}
+    return kept | ({} if "" in odds else {"": 1.0})
+
+
+def learned_names(weight: dict[str, float]) -> frozenset[str]:
+    return frozenset(kind[1:] for kind, value in weight.items() if kind[:1] == "." and value < NAME_ODDS)
 
 
 def best_run(found: list[Event], weight: dict[str, float]) -> tuple[int, int] | None:
     """First and last event of the run with the highest sum, by one scan; None if nothing scores above zero."""
-    word, other = weight[""], min((value for kind, value in weight.items() if kind), default=-1.0)
-    best, run, begin, answer = 0.0, 0.0, 0, None
+    word = weight[""]
+    linked = min(word, weight.get("a ", word))
+    best, run, begin, answer, links = 0.0, 0.0, 0, None, 0
     for i, (kind, text, furniture) in enumerate(found):
-        if kind:
-            value = weight.get(kind, other)
+        if furniture:
+            value = 0.0
+        elif kind:
+            value = weight.get(kind, -_LEAST)
+            links = max(0, links + (kind == "a") - (kind == "/a"))
         else:
-            value = len(text.split()) * (-word if furniture else word)
+            value = len(text.split()) * (linked if links else word)
         if run <= 0:
             run, begin = 0.0, i
         run += value
@@ -232,34 +341,25 @@ def best_run(found: list[Event], weight: dict[str, float]) -> tuple[int, int] |
     return answer
 
 
-def _around(found: list[Event], first: int, last: int) -> tuple[int, int]:
-    """The smallest container element around the run, as places; the whole page if none holds it."""
-    open_: list[tuple[str, int]] = []
-    best = (0, len(found))
-    for i, (kind, _, _) in enumerate(found):
-        if not kind:
-            continue
-        if kind[0] != "/":
-            if kind in CONTAINERS:
-                open_.append((kind, i))
-        elif kind[1:] in CONTAINERS:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == kind[1:]:
-                    begin = open_[k][1]
-                    del open_[k:]
-                    if begin <= first and i >= last:
-                        return begin, i + 1
-                    break
-    return best
+def _block(found: list[Event], first: int, last: int) -> tuple[int, int]:
+    """The run extended to where its first block begins and its last one ends, as places."""
+    def border(i: int) -> bool:
+        return bool(found[i][0]) and found[i][0].lstrip("/") not in INLINE
+
+    while first > 0 and not border(first) and not border(first - 1):
+        first -= 1
+    while last + 1 < len(found) and not border(last) and not border(last + 1):
+        last += 1
+    return first, last + 1
 
 
 def main_text(page: str | None, weight: dict[str, float]) -> str:
     """The text of the content: blocks in page order, joined by one space."""
-    found = events(page) if page else []
+    found = events(page, learned_names(weight)) if page else []
     run = best_run(found, weight)
     if run is None:
         return ""
-    begin, end = _around(found, *run)
+    begin, end = _block(found, *run)
     parts: list[str] = []
     for kind, text, furniture in found[begin:end]:
         if kind and kind.lstrip("/") not in INLINE:

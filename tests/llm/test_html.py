@@ -98,3 +98,45 @@ def test_given_pages(spark):
         inner = re.search(r"<article>(.*)</article>", row["html"], re.S)[1]
         inner = html.entities.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", inner)))
         assert row["text"] == " ".join(inner.split())
+
+
+LINKS = "".join(f"<a href=/{i}>one two</a> <br>" for i in range(12))
+FLAT = f"<body>{LINKS}<h1>T</h1><p>the text of the page goes on</p><p>and on, with <a href=x>a link</a> in it, for a while</p>{LINKS}</body>"
+LEARNED = WEIGHTS | {"a": -1.0, "/a": -1.0, "a ": -2.0}
+
+
+def test_a_flat_page_has_the_run_and_not_its_container():
+    assert html.main_text(FLAT, LEARNED) == "T the text of the page goes on and on, with a link in it, for a while"
+
+
+def test_the_run_decides(monkeypatch):
+    unnamed = f"<body><table><tr><td>{LINKS}</td></tr></table><p>the text goes on here</p><td>{LINKS}</td></body>"
+    right = [html.main_text(page, LEARNED) for page in (FLAT, unnamed)]
+    monkeypatch.setattr(html, "best_run", lambda found, weight: (0, len(found) - 1))
+    assert right[1] == "the text goes on here"
+    assert all(html.main_text(page, LEARNED) != text for page, text in zip((FLAT, unnamed), right))
+
+
+def test_names_are_learned_from_labelled_pages(spark):
+    box = "<div class='zq-box'>some words that stand beside the text of the page, many of them</div>"
+    labelled = [(i, "u", f"<body>{box}<article><div class=body-copy><p>{'the text ' * 20}number {i}</p></div></article></body>") for i in range(8)]
+    other = (9, "u", f"<body><div class=body-copy><p>{'the text ' * 20}</p>{box}<p>goes on</p></div></body>")
+    pages = spark.createDataFrame([*labelled, other], "page_id long, url string, html string")
+    weight = html.learn(pages)
+    assert html.learned_names(weight) == {"zq-box"}
+    assert {row.page_id: row.text for row in html.extracted(pages).collect()}[9] == "the text " * 20 + "goes on"
+
+
+@pytest.mark.parametrize("part", ["<p ", "<a href=\"", "<a title='", "<!-- ", "<!x ", "<script>", "</p", "<", "<p x=\"'\" ", "<div class=widget>", "&lt;"])
+def test_a_page_of_open_ends_takes_linear_time(part):
+    import time
+    page = part * ((1 << 20) // len(part))
+    begun = time.process_time()
+    html.main_text(page, LEARNED)
+    html.tally(page)
+    assert time.process_time() - begun < 6
+
+
+def test_tags_end_outside_of_quotes():
+    kinds = [(kind or text, attributes) for kind, text, attributes in html.scanned("<p a='>' b=\">\">x</p><q c='>y</q><i d=\">z")]
+    assert kinds == [("p", " a='>' b=\">\""), ("x", ""), ("/p", ""), ("q", " c='"), ("y", ""), ("/q", ""), ("i", " d=\""), ("z", "")]
