@@ -25,7 +25,7 @@ from strata.session import written
 
 BLOCK = 8192   # vectors of a block
 PIVOTS = 256   # most pivots, and so vectors that reach the driver
-TILE = 1024    # rows compared at once in a task
+TILE = 256     # rows compared at once in a task
 _ROUNDING = 1e-5  # what single precision may lose; pairs this near the threshold are compared in double
 
 
@@ -43,34 +43,50 @@ def _matrix(column) -> np.ndarray:
     return values / np.sqrt((values * values).sum(axis=1, keepdims=True))
 
 
-def _forest(left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Smallest id that each place reaches by the links left-right within one block."""
-    label = ids.copy()
+def _union(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``root`` (of each place, the smallest place it is linked with) after the links left-right have been added."""
     while True:
-        low = np.minimum(label[left], label[right])
-        new = label.copy()
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, right, low)
-        if (new == label).all():
-            return label
-        label = new
-
-
-def _links(a: np.ndarray, b: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places in a and b whose cosine reaches the threshold; single precision first, the near ones in double."""
-    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    single = b.astype(np.float32)
+        a, b = root[left], root[right]
+        apart = a != b
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while True:  # every place hangs on its root again
+            above = root[root]
+            if (above == root).all():
+                break
+            root = above
+
+
+def _tallied(a: np.ndarray, b: np.ndarray, same: bool, threshold: float, copies_a: np.ndarray,
+             copies_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each place of a and b (of a alone, if they are the ``same``), counting copies, and its root.
+
+    Tiles of pairs are compared in single precision, those near the threshold in double; a tile's links are counted and
+    united, and no pair is kept.
+    """
+    shift = 0 if same else len(a)
+    copies = copies_a if same else np.concatenate([copies_a, copies_b])
+    links, root = np.zeros(len(copies), dtype=np.int64), np.arange(len(copies))
+    single, turned = a.astype(np.float32), np.ascontiguousarray(b.astype(np.float32).T)
     for at in range(0, len(a), TILE):
-        left, right = np.nonzero(a[at: at + TILE].astype(np.float32) @ single.T >= threshold - _ROUNDING)
-        left = left + at
+        begin = at if same else 0
+        scores = single[at: at + TILE] @ turned[:, begin:]
+        left, right = np.nonzero(scores >= threshold - _ROUNDING)
+        sure = scores[left, right] >= threshold + _ROUNDING
+        left, right = left + at, right + begin
         if same:
-            left, right = left[right > left], right[right > left]
-        for i in range(0, len(left), 1 << 17):
-            near, far = left[i: i + (1 << 17)], right[i: i + (1 << 17)]
-            found = np.einsum("ij,ij->i", a[near], b[far]) >= threshold
-            lefts.append(near[found])
-            rights.append(far[found])
-    return np.concatenate(lefts), np.concatenate(rights)
+            sure, left, right = (part[right > left] for part in (sure, left, right))
+        near = np.flatnonzero(~sure)
+        for i in range(0, len(near), 1 << 14):
+            part = near[i: i + (1 << 14)]
+            sure[part] = np.einsum("ij,ij->i", a[left[part]], b[right[part]]) >= threshold
+        left, right = left[sure], right[sure] + shift
+        if len(left):
+            links += np.bincount(left, weights=copies[right], minlength=len(copies)).astype(np.int64)
+            links += np.bincount(right, weights=copies[left], minlength=len(copies)).astype(np.int64)
+            root = _union(root, left, right)
+    return links, root
 
 
 def _cells(vectors: DataFrame, pivots: dict[int, np.ndarray], reach: float) -> DataFrame:
@@ -126,21 +142,15 @@ def _joined(cells: DataFrame, threshold: float) -> DataFrame:
         own = table["home"].to_numpy() & (table["at"].to_numpy() == a)
         left = table.filter(pa.array(own))
         right = left if a == b else table.filter(pa.array(~own))
-        i, j = _links(_matrix(left["embedding"]), _matrix(right["embedding"]), a == b, threshold) \
-            if left.num_rows and right.num_rows else (np.zeros(0, np.int64),) * 2
-        if a == b:
-            ids, copies, shift = left["rep"].to_numpy(), left["copies"].to_numpy(), 0
-        else:
-            ids = np.concatenate([left["rep"].to_numpy(), right["rep"].to_numpy()])
-            copies = np.concatenate([left["copies"].to_numpy(), right["copies"].to_numpy()])
-            shift = left.num_rows
-        j = j + shift
-        links = np.zeros(len(ids), dtype=np.int64)
-        np.add.at(links, i, copies[j])
-        np.add.at(links, j, copies[i])
-        root = _forest(i, j, ids)
+        if not left.num_rows or not right.num_rows:
+            return pa.table({name: pa.array([], pa.int64()) for name in ("node", "links", "root")})
+        links, root = _tallied(_matrix(left["embedding"]), _matrix(right["embedding"]), a == b, threshold,
+                               left["copies"].to_numpy(), right["copies"].to_numpy())
+        ids = left["rep"].to_numpy() if a == b else np.concatenate([left["rep"].to_numpy(), right["rep"].to_numpy()])
+        least = ids.copy()
+        np.minimum.at(least, root, ids)
         some = links > 0
-        return pa.table({"node": ids[some], "links": links[some], "root": root[some]})
+        return pa.table({"node": ids[some], "links": links[some], "root": least[root][some]})
 
     return tasks.groupBy("dim", "cell", "a", "b").applyInArrow(join, "node long, links long, root long")
 

@@ -3,11 +3,13 @@
 Every component becomes ``floor(scale * x)``; the score is the integer inner product. A node holds one part of the
 components of one block of candidates.
 
-1. Each node gives the best ``k`` partial scores of every query, and its extremes. The totals of these candidates
+1. Each node gives the best ``LISTS`` times ``k`` partial scores of every query, and its extremes. The totals of these candidates
    give each query a score that its k-th result reaches for certain.
 2. That score, less what the lowest partial scores add, is split evenly over the parts: a result must reach the
    cutoff in some part. With the cutoffs every node gives all entries that reach them.
-3. The totals of these entries are computed exactly and ranked, ties to the smaller id.
+3. Entries keep their partial scores: those seen in every part raise the score that the k-th result reaches, and all
+   whose bound stays below it are dropped. The totals of the others are computed exactly and ranked, ties to the
+   smaller id.
 
 Queries and candidates meet in blocks of fixed size, so no task holds more than two blocks.
 
@@ -31,6 +33,7 @@ from strata.session import written
 CANDIDATES = 4096  # candidates of a block
 QUERIES = 1024     # queries of a block
 PARTS = 2          # parts of the components
+LISTS = 8          # local lists hold so many times k entries: their totals set the certain score, a longer list a higher one
 COPIES = 64        # copies of a query block, so that its meetings with candidates spread over as many tasks
 
 
@@ -95,9 +98,11 @@ def _sufficient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cutoff = np.array(row["cutoffs"], dtype=np.float64) - slack
             q, c = np.nonzero((scores >= cutoff[:, None]) & ~own)
             for at in range(0, len(q), 1 << 18):
+                rows, columns = q[at: at + (1 << 18)], c[at: at + (1 << 18)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(queries[q[at: at + (1 << 18)]]), pa.array(ids[c[at: at + (1 << 18)]])],
-                    names=["query_id", "vec_id"])
+                    [pa.array(queries[rows]), pa.array(ids[columns]), pa.array([row["part"]] * len(rows), pa.int32()),
+                     pa.array(scores[rows, columns]), pa.array([slack] * len(rows))],
+                    names=["query_id", "vec_id", "part", "partial", "slack"])
 
 
 def _totals(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -108,6 +113,27 @@ def _totals(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFra
             .select("query_id", "vec_id", product.alias("score")).where(F.col("score").isNotNull()))
 
 
+def _resolvable(seen: DataFrame, cutoffs: DataFrame, k: int, parts: int) -> DataFrame:
+    """The pairs whose totals may be among the best ``k``, from the partial scores that reached their cutoffs.
+
+    A pair seen in all parts has its total already, up to rounding: the k-th best of these is a score that the result
+    reaches for certain. Where a pair was not seen its partial score is below the cutoff, which bounds its total.
+    Ids with several rows can mix partial scores of two rows: they give bounds, but no certain score.
+    """
+    names = range(parts)
+    pairs = written(seen.groupBy("query_id", "vec_id").agg(
+        *[F.max(F.when(F.col("part") == p, F.col("partial"))).alias(f"p{p}") for p in names],
+        F.count("*").alias("seen"), (F.max("slack") * 2 * parts).alias("slack")), "seen-pairs")
+    total = sum((F.col(f"p{p}") for p in names), F.lit(0.0))
+    whole = pairs.where((F.col("seen") == parts) & total.isNotNull()).select("query_id", (total - F.col("slack")).alias("total"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("total"))
+    certain = whole.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).groupBy("query_id").agg(
+        F.min("total").alias("reached"), F.count("*").alias("n")).where(F.col("n") >= k).drop("n")
+    bound = sum((F.coalesce(f"p{p}", f"cut{p}", F.lit(float("inf"))) for p in names), F.col("slack"))
+    return (pairs.join(cutoffs, "query_id").join(certain, "query_id", "left")
+            .where(F.col("reached").isNull() | (bound >= F.col("reached"))).select("query_id", "vec_id"))
+
+
 def _first(scores: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -159,9 +185,9 @@ def search(table: DataFrame, is_query: Column, k: int = 10, scale: int = 1024) -
         return each.join(copies.hint("shuffle_hash"), ["block", "part", "copy"])
 
     local = written(meet(None).mapInArrow(
-        _local_best(k), "query_id long, part int, vec_id long, partial double, low double, high double"), "local-lists")
+        _local_best(k * LISTS), "query_id long, part int, vec_id long, partial double, low double, high double"), "local-lists")
     by_part = Window.partitionBy("query_id", "part").orderBy(F.desc("partial"), "vec_id")
-    gathered = local.withColumn("n", F.row_number().over(by_part)).where(F.col("n") <= k).select("query_id", "vec_id").distinct()
+    gathered = local.withColumn("n", F.row_number().over(by_part)).where(F.col("n") <= k * LISTS).select("query_id", "vec_id").distinct()
     certain = _first(_totals(gathered, queries, candidates), k).groupBy("query_id").agg(
         F.count("*").alias("n"), F.min("score").cast("double").alias("score"))
     extremes = local.groupBy("query_id").pivot("part", list(range(len(cuts) - 1))).agg(
@@ -173,5 +199,6 @@ def search(table: DataFrame, is_query: Column, k: int = 10, scale: int = 1024) -
     cutoffs = extremes.join(certain, "query_id", "left").select("query_id", *[
         F.greatest(F.col(f"{p}_low") + (score - floor_sum) / len(parts), score - (top_sum - F.col(f"{p}_high"))).alias(f"cut{p}")
         for p in parts])
-    entries = written(meet(cutoffs).mapInArrow(_sufficient, "query_id long, vec_id long").distinct(), "entries")
+    entries = _resolvable(written(meet(cutoffs).mapInArrow(
+        _sufficient, "query_id long, vec_id long, part int, partial double, slack double"), "entries"), cutoffs, k, len(parts))
     return _first(_totals(entries, queries, candidates), k).select("query_id", "rank", "vec_id", "score")

@@ -97,3 +97,43 @@ def test_fewer_candidates_than_k(vectors):
 def test_top_k_of_nothing(vectors):
     assert topk.search(vectors([]), F.col("vec_id") == 0).count() == 0
     assert topk.search(vectors([(1, [1.0])]), F.col("vec_id") == 0).count() == 0
+
+
+def test_dense_blocks_are_counted_without_their_pairs():
+    import tracemalloc
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=16)
+    a, b = (base + rng.normal(size=(4096, 16)) * 0.01 for _ in "ab")
+    a, b = (x / np.sqrt((x * x).sum(axis=1, keepdims=True)) for x in (a, b))
+    ones = np.ones(4096, dtype=np.int64)
+    tracemalloc.start()
+    links, root = metricjoin._tallied(a, b, False, 0.9, ones, ones)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (links == 4096).all() and (root == 0).all() and peak < 150 << 20
+
+
+def test_tiles_agree_with_one_comparison(monkeypatch):
+    monkeypatch.setattr(metricjoin, "TILE", 7)
+    rows = metricjoin._matrix(__import__("pyarrow").array([v for _, v in clustered(90)]))
+    copies = np.arange(1, 91)
+    for same in (True, False):
+        a, b = (rows, rows) if same else (rows[:40], rows[40:])
+        links, root = metricjoin._tallied(a, b, same, 0.9, copies if same else copies[:40], copies if same else copies[40:])
+        met = rows @ rows.T >= 0.9
+        if not same:
+            met[:40, :40] = met[40:, 40:] = False
+        np.fill_diagonal(met, False)
+        assert links.tolist() == (met @ copies).tolist()
+        groups = linked_groups(range(90), list(zip(*np.nonzero(met))))
+        assert root.tolist() == [groups[i] for i in range(90)]
+
+
+def test_few_pairs_are_resolved(spark, vectors, monkeypatch):
+    counted = []
+    kept = topk._totals
+    monkeypatch.setattr(topk, "_totals", lambda pairs, *rest: counted.append(pairs.count()) or kept(pairs, *rest))
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(1500)]
+    found = topk.search(vectors(rows), F.col("vec_id") % 100 == 0, 10).collect()
+    assert len(found) == 150 and counted[-1] < 0.2 * 15 * 1500
