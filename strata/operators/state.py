@@ -35,19 +35,19 @@ class Layout:
     version: int = 0
 
 
-def _files(spark: SparkSession, path: str):
+def files_of(spark: SparkSession, path: str):
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    files, folder = _files(spark, path)
+    files, folder = files_of(spark, path)
     return files.exists(folder)
 
 
 def read_layout(spark: SparkSession, path: str) -> Layout | None:
     """The newest layout of a state folder; None if there is no state yet."""
-    files, folder = _files(spark, f"{path}/_layout")
+    files, folder = files_of(spark, f"{path}/_layout")
     if not files.exists(folder):
         return None
     names = [status.getPath() for status in files.listStatus(folder) if status.getPath().getName().endswith(".json")]
@@ -61,9 +61,9 @@ def read_layout(spark: SparkSession, path: str) -> Layout | None:
     return Layout(**values | {"keys": tuple(values["keys"])})
 
 
-def _put_layout(spark: SparkSession, path: str, layout: Layout) -> None:
-    """A new version beside the old ones, complete before it gets its name; the two before stay."""
-    files, folder = _files(spark, f"{path}/_layout")
+def put_layout(spark: SparkSession, path: str, layout: Layout) -> None:
+    """Replace the layout: a new version beside the old ones, complete before it gets its name; the two before stay."""
+    files, folder = files_of(spark, f"{path}/_layout")
     files.mkdirs(folder)
     place = spark._jvm.org.apache.hadoop.fs.Path
     part = place(folder, f".{layout.version:08d}.tmp")
@@ -98,6 +98,11 @@ def _origin(base: int, part: int, before: int) -> int:
     return part
 
 
+def splits(base: int, before: int, after: int) -> list[int]:
+    """The partitions that lose rows when ``before`` of them become ``after``."""
+    return sorted({_origin(base, part, before) for part in range(before, after)})
+
+
 def _rows(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
     """Rows where the layout puts their keys, with their partition."""
     return spark.read.parquet(path).where(F.col(PART) == address(layout.keys, layout.base, layout.parts))
@@ -144,7 +149,7 @@ def apply_to_state(path: str, changes: DataFrame, keys: Sequence[str], seq: str
             F.col(name) if name in keys else F.col(f"_n.{name}").alias(name) for name in last.columns]), "state")
     _write(new, path)
     applied = layout.applied if batch is None else batch
-    _put_layout(spark, path, Layout(layout.keys, layout.base, layout.parts, applied, layout.version + 1))
+    put_layout(spark, path, Layout(layout.keys, layout.base, layout.parts, applied, layout.version + 1))
     if rows_per_part:
         needed = -(-_rows(spark, path, layout).count() // rows_per_part)
         if needed > layout.parts:
@@ -158,14 +163,14 @@ def grow_state(spark: SparkSession, path: str, parts: int) -> list[int]:
         raise ValueError(f"no state in {path}")
     if parts < layout.parts:
         raise ValueError(f"the state in {path} has {layout.parts} partitions already")
-    split = sorted({_origin(layout.base, part, layout.parts) for part in range(layout.parts, parts)})
+    split = splits(layout.base, layout.parts, parts)
     if not split:
         return []
     now = address(layout.keys, layout.base, parts)
     rows = _rows(spark, path, layout).where(F.col(PART).isin(split)).withColumn("_now", now)
     moved = rows.where(F.col("_now") != F.col(PART)).drop(PART).withColumnRenamed("_now", PART)
     _write(moved, path)  # into new partitions, which nobody reads yet
-    _put_layout(spark, path, Layout(layout.keys, layout.base, parts, layout.applied, layout.version + 1))
+    put_layout(spark, path, Layout(layout.keys, layout.base, parts, layout.applied, layout.version + 1))
     stay = written(rows.where(F.col("_now") == F.col(PART)).drop("_now"), "split")
     _write(stay, path)  # frees the room of what has moved; a reader sees no difference
     return split
@@ -184,4 +189,5 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
     return visible(stored_state(spark, path))
 
 
-__all__ = ["DELETED", "SEQ", "Layout", "address", "apply_to_state", "grow_state", "read_layout", "read_state", "stored_state"]
+__all__ = ["DELETED", "SEQ", "Layout", "address", "apply_to_state", "exists", "files_of", "grow_state", "put_layout", "read_layout", "read_state",
+           "splits", "stored_state"]

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from strata.functions.states import map_job_state
 from strata.operators.monitor import evaluate_alert_rules, failed_submissions, task_metrics, task_status
-from strata.operators.state import _files, exists
+from strata.operators.state import files_of, exists
 from strata.session import written
 from strata.streaming.ingest import ingest_stream
 from strata.streaming.metrics import as_event_time
@@ -55,7 +55,7 @@ def fold_status(spark: SparkSession, path: str) -> int:
     folded.withColumn("_batch", F.lit(old[-1])).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(path)
     for number in old[:-1]:
-        files, folder = _files(spark, f"{path}/_batch={number}")
+        files, folder = files_of(spark, f"{path}/_batch={number}")
         files.delete(folder, True)
     return len(old) - 1
 

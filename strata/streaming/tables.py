@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strata.operators.changes import fold_changes, upsert, visible
-from strata.operators.state import PART, _files, apply_to_state, exists, read_layout, stored_state
+from strata.operators.state import PART, files_of, apply_to_state, exists, read_layout, stored_state
 from strata.streaming.ingest import CHECKPOINT_INTERVAL_MS
 
 BATCH = "_batch"
@@ -42,7 +42,7 @@ def ingest_batches(stream: DataFrame, path: str, checkpoint: str, interval_ms: i
 
 def batches(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the complete batches in the log; the log is short, since folded batches go."""
-    files, folder = _files(spark, f"{path}/log")
+    files, folder = files_of(spark, f"{path}/log")
     if not files.exists(folder):
         return []
     place, found = spark._jvm.org.apache.hadoop.fs.Path, []
@@ -87,7 +87,7 @@ def fold_tail(spark: SparkSession, path: str, keys: Sequence[str], seq: str = "s
     applied = _applied(spark, path)
     for number in numbers:
         if number <= applied:
-            files, folder = _files(spark, f"{path}/log/{BATCH}={number}")
+            files, folder = files_of(spark, f"{path}/log/{BATCH}={number}")
             files.delete(folder, True)
     return applied
 
@@ -108,9 +108,9 @@ def _copy_rows(spark: SparkSession, source: str, target: str) -> None:
 
 def _copy_files(spark: SparkSession, source: str, target: str) -> None:
     """Small files, such as a checkpoint's or a layout's, one after the other."""
-    files, folder = _files(spark, source)
+    files, folder = files_of(spark, source)
     if files.exists(folder):
-        to, place = _files(spark, target)
+        to, place = files_of(spark, target)
         spark._jvm.org.apache.hadoop.fs.FileUtil.copy(files, folder, to, place, False, True, spark._jsc.hadoopConfiguration())
 
 
@@ -129,7 +129,7 @@ def savepoint(spark: SparkSession, path: str, checkpoint: str, target: str) -> i
     """
     if exists(spark, target):
         raise ValueError(f"the savepoint {target} exists already")
-    files, folder = _files(spark, f"{checkpoint}/commits")
+    files, folder = files_of(spark, f"{checkpoint}/commits")
     done = [int(status.getPath().getName()) for status in files.listStatus(folder) if status.getPath().getName().isdigit()] if files.exists(folder) else []
     last = max(done, default=-1)
     if _applied(spark, path) > last:
@@ -137,7 +137,7 @@ def savepoint(spark: SparkSession, path: str, checkpoint: str, target: str) -> i
     _copy_table(spark, path, f"{target}/table", [number for number in batches(spark, path) if number <= last])
     _copy_files(spark, checkpoint, f"{target}/checkpoint")
     for name in ("offsets", "commits"):  # entries of a batch that was begun
-        files, folder = _files(spark, f"{target}/checkpoint/{name}")
+        files, folder = files_of(spark, f"{target}/checkpoint/{name}")
         for status in files.listStatus(folder) if files.exists(folder) else []:
             number = status.getPath().getName().lstrip(".").split(".")[0]
             if number.isdigit() and int(number) > last:

@@ -153,3 +153,16 @@ def test_reads_of_equal_size_take_every_row_once():
             largest = base.sql(f"SELECT max(n) FROM (SELECT count(*) AS n FROM t GROUP BY {key})").fetchall()[0][0]
             assert max(reads) <= 2005 / parts + largest + 6
     assert jdbc.split_predicates("k", []) == ["1 = 1"]
+
+
+def test_many_files_are_listed_by_few_tasks(spark, tmp_path):
+    from strata.sources.files import list_files
+    for number in range(1200):
+        folder = tmp_path / f"t{number % 7}" / f"b{number % 40}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"data-{number}.bin").write_bytes(b"x" * (number % 50))
+    with open(tmp_path / "t0" / "data-large.bin", "wb") as file:
+        file.truncate(3 << 30)
+    listing = list_files(spark, str(tmp_path), "data-*")
+    assert listing.count() == 1201 and listing.agg({"length": "max"}).first()[0] == 3 << 30
+    assert listing.rdd.getNumPartitions() <= 16

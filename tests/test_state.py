@@ -68,7 +68,7 @@ def test_growing_leaves_other_parts_alone_and_survives_a_break(spark, make, tmp_
     before = set(glob.glob(f"{path}/_part=*/*.parquet"))
     expected = rows_of(state.read_state(spark, path), "id", "v")
     # ends after the copies have been written, and then after the layout has changed
-    for broken in ("_put_layout", "written"):
+    for broken in ("put_layout", "written"):
         with monkeypatch.context() as patch:
             patch.setattr(state, broken, lambda *args: 1 / 0)
             with pytest.raises(ZeroDivisionError):
