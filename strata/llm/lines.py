@@ -8,10 +8,10 @@ the one with the largest id. The state of an index is
 * counts: each key's number of documents and its last one (exact),
 * filters: per shard, a cuckoo filter of the common keys.
 
-``insert`` and ``delete`` change the counts of the touched keys only and put keys into the filters or take them out
-as they become common or cease to be. ``kept`` looks lines up in the filters first, so only lines that may be
-common meet the exact counts. A shard holds about ``SHARD_KEYS`` keys, so its filter is a few kilobytes, however
-many shards there are.
+``insert`` and ``delete`` put keys into the filters or take them out as they become common or cease to be; on tables as
+these they go over all counts. An index kept on storage (``lineindex``) passes them the touched shards only, and splits
+shards that have filled. ``kept`` looks lines up in the filters first, so only lines that may be common meet the exact
+counts. A new index has shards of about ``SHARD_KEYS`` keys, so a filter is a few kilobytes, however many there are.
 
 Defined cases: a null or empty text is one empty line; rows that share a ``doc_id`` are one document, whose lines
 count once; a row with a null id keeps all lines and counts nowhere; an empty table gives no rows. Other columns
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import cuckoo
+from strata.operators.state import address
 from strata.session import written
 
 MIN_LENGTH = 20
@@ -39,7 +40,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 class Index(NamedTuple):
     references: DataFrame  # key, doc_id
     counts: DataFrame      # key, refs, last_doc
-    filters: DataFrame     # shard, shards, data
+    filters: DataFrame     # shard, data
+    shards: int = 1        # how many there are
 
 
 def _lines(text: Column) -> Column:
@@ -64,23 +66,22 @@ def _counted(references: DataFrame) -> DataFrame:
     return references.groupBy("key").agg(F.count("*").alias("refs"), F.max("doc_id").alias("last_doc"))
 
 
-def _shard(shards: Column) -> Column:
-    return F.pmod(F.xxhash64("key"), shards)
+def shard_of(shards: int) -> Column:
+    """A key's shard, by linear hashing: a further shard takes its keys from one other."""
+    return address(["key"], 1, shards).cast("long")
 
 
 def _second() -> Column:
     return F.xxhash64(F.lit(1), F.col("key"))
 
 
-def _built(keys: DataFrame) -> DataFrame:
-    """Filters of (key, shards) rows, one group for each shard; its size is bounded by the number of shards."""
+def filters_of(keys: DataFrame, shards: int) -> DataFrame:
+    """Filters of keys, one group for each shard; its size is bounded by the number of shards."""
 
     def make(table: pa.Table) -> pa.Table:
-        return pa.table({"shard": table["shard"][:1], "shards": table["shards"][:1],
-                         "data": pa.array([cuckoo.build(table["g"].to_pylist()).data()], pa.binary())})
+        return pa.table({"shard": table["shard"][:1], "data": pa.array([cuckoo.build(table["g"].to_pylist()).data()], pa.binary())})
 
-    return (keys.select(_shard(F.col("shards")).alias("shard"), "shards", _second().alias("g"))
-            .groupBy("shard").applyInArrow(make, "shard long, shards long, data binary"))
+    return keys.select(shard_of(shards).alias("shard"), _second().alias("g")).groupBy("shard").applyInArrow(make, "shard long, data binary")
 
 
 def index(docs: DataFrame, least: int = MIN_DOCUMENTS) -> Index:
@@ -93,8 +94,7 @@ def _index_of(lines: DataFrame, least: int) -> Index:
     counts = written(_counted(references), "line-counts")
     common = counts.where(F.col("refs") >= least)
     shards = max(1, -(-common.count() // SHARD_KEYS))
-    filters = written(_built(common.withColumn("shards", F.lit(shards).cast("long"))), "line-filters")
-    return Index(references, counts, filters)
+    return Index(references, counts, written(filters_of(common, shards), "line-filters"), shards)
 
 
 def _changed(old: Index, references: DataFrame, counts: DataFrame, touched: DataFrame, least: int) -> Index:
@@ -103,30 +103,32 @@ def _changed(old: Index, references: DataFrame, counts: DataFrame, touched: Data
     before = old.counts.join(touched, "key", "left_semi").where(is_common).select("key", F.lit(-1).alias("change"))
     after = counts.join(touched, "key", "left_semi").where(is_common).select("key", F.lit(1).alias("change"))
     changes = before.unionByName(after).groupBy("key").agg(F.sum("change").alias("change")).where("change <> 0")
-    head = old.filters.select("shards").first()
-    shards = head["shards"] if head else 1
-    moved = changes.select(_shard(F.lit(shards)).alias("shard"), _second().alias("g"), "change")
+    shards = old.shards
+    moved = changes.select(shard_of(shards).alias("shard"), _second().alias("g"), "change")
 
     def apply(key, held: pa.Table, rows: pa.Table) -> pa.Table:
         filter_ = cuckoo.Filter(held["data"][0].as_py() if held.num_rows else None)
         full = False
         for change, g in sorted(zip(rows["change"].to_pylist(), rows["g"].to_pylist())):
             full |= not (filter_.insert(g) if change > 0 else filter_.delete(g))
-        return pa.table({"shard": [key[0].as_py()], "shards": pa.array([shards], pa.int64()),
-                         "data": pa.array([None if full else filter_.data()], pa.binary())})
+        return pa.table({"shard": [key[0].as_py()], "data": pa.array([None if full else filter_.data()], pa.binary())})
 
     made = written(old.filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInArrow(
-        apply, "shard long, shards long, data binary"), "line-filters")
+        apply, "shard long, data binary"), "line-filters")
     # A filter without room left is built anew from the exact counts.
     full = made.where("data is null").select("shard")
-    again = counts.where(is_common).withColumn("shards", F.lit(shards).cast("long")).withColumn(
-        "shard", _shard(F.col("shards"))).join(full, "shard", "left_semi").drop("shard")
-    return Index(references, counts, written(made.where("data is not null").unionByName(_built(again)), "line-filters"))
+    again = counts.where(is_common).withColumn("shard", shard_of(shards)).join(full, "shard", "left_semi").drop("shard")
+    return Index(references, counts, written(made.where("data is not null").unionByName(filters_of(again, shards)), "line-filters"), shards)
 
 
 def insert(old: Index, docs: DataFrame, least: int = MIN_DOCUMENTS) -> Index:
     """The index with the documents added; lines it already has of a document count once."""
-    new = written(keyed_lines(docs).select("key", "doc_id").distinct().join(old.references, ["key", "doc_id"], "left_anti"), "new-lines")
+    return insert_lines(old, keyed_lines(docs).select("key", "doc_id").distinct(), least)
+
+
+def insert_lines(old: Index, lines: DataFrame, least: int = MIN_DOCUMENTS) -> Index:
+    """The same for distinct (key, doc_id)."""
+    new = written(lines.join(old.references, ["key", "doc_id"], "left_anti"), "new-lines")
     delta = _counted(new)
     counts = written(old.counts.unionByName(delta).groupBy("key").agg(
         F.sum("refs").alias("refs"), F.max("last_doc").alias("last_doc")), "line-counts")
@@ -145,8 +147,7 @@ def delete(old: Index, doc_ids: DataFrame, least: int = MIN_DOCUMENTS) -> Index:
 
 def dropped(lines: DataFrame, state: Index, least: int = MIN_DOCUMENTS) -> DataFrame:
     """doc_id, row and the sorted numbers of the lines that go."""
-    shards = F.lit((state.filters.select("shards").first() or {"shards": 1})["shards"])
-    maybe = (lines.withColumn("shard", _shard(shards)).join(state.filters.select("shard", "data"), "shard")
+    maybe = (lines.withColumn("shard", shard_of(state.shards)).join(state.filters.select("shard", "data"), "shard")
              .where(cuckoo.may_hold(F.col("data"), _second())).drop("shard", "data"))
     exact = state.counts.where(F.col("refs") >= least).select("key", "last_doc")
     return (maybe.join(exact, "key").where("doc_id <> last_doc").groupBy("doc_id", "row")

@@ -100,3 +100,39 @@ def test_key_is_exact(docs):
     line = "Ünïcode STAYS but ascii falls"
     want = hashlib.sha256("Ünïcode stays but ascii falls".encode()).digest()
     assert [bytes(row["key"]) for row in lines.keyed_lines(docs([(1, line)])).collect()] == [want]
+
+
+def filter_keys(state):
+    return sum(int((cuckoo.Filter(bytes(row["data"])).table > 0).sum()) for row in state.filters.collect())
+
+
+def test_a_kept_index_grows_shard_by_shard(docs, spark, tmp_path, monkeypatch):
+    import glob
+
+    from strata.llm.lineindex import KeptIndex
+    monkeypatch.setattr(lines, "SHARD_KEYS", 16)
+    rng = random.Random(11)
+    pool = [f"line number {i} is long enough" for i in range(150)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(12))) for i in range(90)]
+    kept, sizes = KeptIndex(spark, str(tmp_path / "index")), []
+    for begin in range(0, 90, 30):
+        kept.insert(docs(rows[begin:begin + 30]))
+        state, whole = kept.read(), lines.index(docs(rows[:begin + 30]))
+        assert table(state.counts, "key", "refs", "last_doc") == table(whole.counts, "key", "refs", "last_doc")
+        assert filter_keys(state) == state.counts.where("refs >= 3").count()
+        sizes.append(state.shards)
+    assert sizes == sorted(set(sizes)) and sizes[-1] >= 8
+    assert table(lines.kept(docs(rows), kept.read()), "doc_id", "text") == sorted(((d, t) for d, _, _, t in brute(rows)), key=repr)
+    before = set(glob.glob(f"{tmp_path}/index/counts/*/*.parquet"))
+    kept.insert(docs([(500, f"short\n{pool[0]}")]))
+    after = set(glob.glob(f"{tmp_path}/index/counts/*/*.parquet"))
+    assert len({name.split("_shard=")[1].split("/")[0] for name in before ^ after}) == 1
+    kept.insert(docs([(500, f"short\n{pool[0]}")]))  # again: no change
+    assert kept.read().counts.where("last_doc = 500").first()["refs"] == lines.index(docs(rows + [(500, pool[0])])).counts.where("last_doc = 500").first()["refs"]
+    kept.delete(spark.createDataFrame([(500,), (12345,)] + [(i,) for i in range(45, 90)], "doc_id long"))
+    rest = lines.index(docs(rows[:45]))
+    state = kept.read()
+    assert table(state.counts, "key", "refs", "last_doc") == table(rest.counts, "key", "refs", "last_doc")
+    assert filter_keys(state) == state.counts.where("refs >= 3").count()
+    kept.delete(spark.createDataFrame([(i,) for i in range(45)], "doc_id long"))
+    assert kept.read().counts.count() == 0 and filter_keys(kept.read()) == 0
