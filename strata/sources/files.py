@@ -17,7 +17,7 @@ SNAPSHOT_SCHEMA = (
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Path, length and modification time of all files below a folder; contents are never opened.
+    """Path, length and modification time of all files below a folder that are not empty; contents are never opened.
 
     Spark packs files into tasks by their lengths, as if they were read. In a session of its own it does not, so there are
     about as many tasks as cores however many and however large the files are.

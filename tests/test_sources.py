@@ -160,7 +160,7 @@ def test_many_files_are_listed_by_few_tasks(spark, tmp_path):
     for number in range(1200):
         folder = tmp_path / f"t{number % 7}" / f"b{number % 40}"
         folder.mkdir(parents=True, exist_ok=True)
-        (folder / f"data-{number}.bin").write_bytes(b"x" * (number % 50))
+        (folder / f"data-{number}.bin").write_bytes(b"x" * (1 + number % 50))
     with open(tmp_path / "t0" / "data-large.bin", "wb") as file:
         file.truncate(3 << 30)
     listing = list_files(spark, str(tmp_path), "data-*")
