@@ -100,7 +100,7 @@ def test_an_empty_corpus(spark, folder, tmp_path):
 
 
 def test_a_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 def test_texts_of_the_given_vocabulary():
