@@ -16,7 +16,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 
-MEMORY = 96 << 20  # bytes for chunks, for words and for marks; a full memory is emptied, which costs time only
+MEMORY = 128 << 20 # bytes for chunks, for words and for marks; a full memory is emptied, which costs time only
 ENTRY = 200        # bytes that an entry has besides its letters and ids
 _LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
 
