@@ -24,6 +24,7 @@ from strata.llm.frames import indexed
 from strata.llm.wordbpe import encoder, packed
 from strata.session import written
 
+WORDS = 96 << 20  # bytes of each word memory; less than alone, as other stages of a pipeline share the worker
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Pattern = tuple[tuple[int, ...], int]  # lengths from the front of a sequence, number of such sequences
 
@@ -164,7 +165,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int = 0) -> Data
     end = packed([end_id])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = encoder(vocabulary)
+        to_ids = encoder(vocabulary, WORDS)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):

@@ -37,23 +37,23 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memory(dict):
-    def __init__(self, answer: Callable[[str], bytes]):
-        self.answer, self.size = answer, 0
+    def __init__(self, answer: Callable[[str], bytes], most: int):
+        self.answer, self.most, self.size = answer, most, 0
 
     def __missing__(self, key: str) -> bytes:
         value = self.answer(key)
         cost = ENTRY + len(key) + len(value)
-        if self.size + cost > MEMORY:
+        if self.size + cost > self.most:
             self.clear()
             self.size = 0
-        if cost <= MEMORY:
+        if cost <= self.most:
             self[key] = value
             self.size += cost
         return value
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[str], bytes]:
+def encoder(path: str, memory: int = MEMORY) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian unsigned 32-bit integers; one per worker and vocabulary."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
@@ -68,7 +68,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
         spelled = lower if lower.isascii() else "".join(map(letters.__getitem__, lower.encode()))
         return packed([token.id for token in model.tokenize(spelled)])
 
-    words, marks = _Memory(word), _Memory(whole)
+    words, marks = _Memory(word, memory), _Memory(whole, memory)
 
     def chunk_ids(chunk: str) -> bytes:
         parts = _LETTERS(chunk)
@@ -76,7 +76,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
             return whole(chunk)
         return words[parts[1].lower()] + marks[parts[2]]
 
-    chunks = _Memory(chunk_ids)
+    chunks = _Memory(chunk_ids, memory)
 
     def encode(text: str | None) -> bytes:
         if not text:
