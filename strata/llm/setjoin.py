@@ -39,7 +39,7 @@ from strata.session import written
 ENTRY_COST = 3     # what an entry of an inverted list costs (order, pivot, comparison), a subset's order being 1
 X = 15             # per cent of a set that its prefix has beyond what a single common shingle needs
 CELLS = 256        # bits that tell apart what two sets can have in common
-SEEN = 1 << 18     # sets that a task remembers, to count copies once
+SEEN = 1 << 18     # sets that a task remembers, to count copies once, and tokens, to report them once
 
 
 def _missing(n, threshold: int):
@@ -78,10 +78,19 @@ def _names(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _prefixes(docs: DataFrame, threshold: int) -> DataFrame:
-    """token, doc: the first shingles of each set in the order of their hashes; copies in a task give them once."""
+    """token, doc, n: the first shingles of each set in the order of their hashes; copies in a task give them once.
+
+    A task settles what it can itself: a token that two sets of a slice have, or that it has reported before, counts
+    for its sets at once. So a token leaves a task in a few rows, however many sets have it. Rows are of three kinds:
+    an even token with its only set in the slice (n is 1), an even token that is shared (no set, n is 2), and an odd
+    token, which carries the number n of tokens settled for a set.
+    """
+
+    most = SEEN
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        reported = np.zeros(0, dtype=np.uint64)
         for batch in batches:
             for rows in slices(batch):
                 values, counts = sets(rows["text"])
@@ -91,17 +100,30 @@ def _prefixes(docs: DataFrame, threshold: int) -> DataFrame:
                     if name in seen:
                         size[i] = 0
                     seen.add(name)
-                if len(seen) > SEEN:
+                if len(seen) > most:
                     seen.clear()
                 owner = np.repeat(np.arange(len(counts)), size)
                 at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + first[owner]
                 # 48 bits are enough to count by: a token that seems shared only makes a set go on to the exact count.
-                tokens = (values[at] & ~np.uint64(0xFFFF)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tokens), rows["doc_id"].take(pa.array(owner))], names=["token", "doc"])
+                tokens, place, times = np.unique(values[at] & ~np.uint64(0xFFFF), return_inverse=True, return_counts=True)
+                known = np.zeros(len(tokens), dtype=bool)
+                if len(reported):
+                    known = reported[np.minimum(np.searchsorted(reported, tokens), len(reported) - 1)] == tokens
+                shared = known | (times > 1)
+                news = tokens[shared & ~known]
+                reported = news if len(reported) + len(news) > most else np.union1d(reported, news)
+                settled = np.bincount(owner[shared[place]], minlength=len(counts))
+                carriers, single = np.flatnonzero(settled), ~shared[place]
+                ids = rows["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([tokens[place[single]], news, mixed(ids[carriers].view(np.uint64)) | np.uint64(1)])
+                             .view(np.int64)),
+                    pa.concat_arrays([pa.array(ids[owner[single]]), pa.nulls(len(news), pa.int64()), pa.array(ids[carriers])]),
+                    pa.array(np.concatenate([np.ones(int(single.sum()), np.int64), np.full(len(news), 2), settled[carriers]])),
+                ], names=["token", "doc", "n"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(
-        prefix, "token long, doc long")
+        prefix, "token long, doc long, n long")
 
 
 def _least_overlap(n: Column, threshold: int) -> Column:
@@ -125,8 +147,10 @@ def _boundary(nodes: DataFrame) -> int:
 
 def _able(docs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
     """node: representatives of the sets that share enough of their first shingles to have a partner."""
-    shared = (_prefixes(docs, threshold).withColumn("df", F.count("*").over(Window.partitionBy("token")))
-              .where("df > 1").groupBy("doc").agg(F.count("*").alias("s")))
+    carried = F.col("token").bitwiseAND(F.lit(1)) == 1
+    shared = (_prefixes(docs, threshold).withColumn("owners", F.sum("n").over(Window.partitionBy("token")))
+              .where(F.col("doc").isNotNull() & (carried | (F.col("owners") > 1)))
+              .groupBy("doc").agg(F.sum(F.when(carried, F.col("n")).otherwise(1)).alias("s")))
     return (shared.join(members.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "rep"), "doc")
             .where(F.col("s") >= _least_common(F.col("n"), threshold)).select(F.col("rep").alias("node")).distinct())
 
@@ -141,7 +165,8 @@ def _meetings(texts: DataFrame, threshold: int) -> DataFrame:
     """
     rows = texts.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     o = _least_overlap(F.col("n"), threshold)
-    counted = (rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    shared = written(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-tokens")
+    counted = (rows.join(shared, "token")
                .withColumn("k", F.greatest(F.lit(0), F.floor(F.log2(F.col("n") / CELLS))).cast("int"))
                .withColumn("cell", F.col("token").bitwiseAND(F.lit(CELLS - 1)).cast("int"))
                .withColumn("marks", F.expr("shiftright(token, 8) & (shiftleft(1L, k) - 1) = 0")))
@@ -212,13 +237,16 @@ def grouped(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
     profile = written(profiles(docs), "profiles")
     some = profile.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # Counts and pivots are partial aggregates, written before the rows are joined with them: a join of two exchanges
+    # is one whose hot keys the adaptive planner splits.
+    classes = written(some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     members = written(some.join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", "rep"), "members")
     texts = written(_sets_of(docs, _able(docs, members, threshold)), "sets")
-    by_key = Window.partitionBy("key")
-    lists = written(_meetings(texts, threshold)
-                    .withColumn("pivot", F.max_by("about", F.struct("centre", "about.node")).over(by_key))
-                    .withColumn("size", F.count("*").over(by_key)).where("size > 1").select("key", "about", "pivot"), "lists")
+    meetings = _meetings(texts, threshold)
+    pivots = written(meetings.groupBy("key").agg(
+        F.max_by("about", F.struct("centre", "about.node")).alias("pivot"), F.count("*").alias("size"))
+        .where("size > 1").drop("size"), "pivots")
+    lists = written(meetings.drop("centre").join(pivots, "key").select("key", "about", "pivot"), "lists")
     first = (lists.where((F.col("about.node") != F.col("pivot.node")) & _may_link("about", "pivot", threshold))
              .select(F.col("pivot.node").alias("u"), F.col("about.node").alias("v")).distinct())
     linked = written(_verified(first, texts, threshold), "pivot-links")

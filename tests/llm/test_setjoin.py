@@ -133,3 +133,32 @@ def test_words_do_not_depend_on_pieces(monkeypatch):
     values, sizes = shingles.sets(whole)
     ends = np.cumsum(sizes)
     assert [values[end - size: end].tolist() for end, size in zip(ends, sizes)] == sets
+
+
+def test_a_token_of_all_sets_leaves_a_task_in_few_rows(docs):
+    rng = random.Random(3)
+    passage = " ".join(rng.choice("abcdefgh") * 3 + str(i) for i in range(40))
+    rows = [(i, f"{passage} " + " ".join(f"own{i}x{k}" for k in range(6))) for i in range(900)]
+    found = setjoin._prefixes(docs(rows).coalesce(1), 75).where("token & 1 = 0")
+    assert found.groupBy("token").count().agg(F.max("count")).first()[0] == 1
+    carried = setjoin._prefixes(docs(rows).coalesce(1), 75).where("token & 1 = 1")
+    assert carried.count() == carried.select("doc").distinct().count() > 800
+
+
+@pytest.mark.parametrize("memory", [0, 40])
+def test_small_memories_of_tasks_lose_no_link(docs, monkeypatch, memory):
+    monkeypatch.setattr(setjoin, "SEEN", memory)
+    rows = corpus(5)
+    assert table(setjoin.grouped(docs(rows)), "doc_id", "n_shingles", "component_id") == brute(rows)
+
+
+def test_hot_keys_are_joined_not_windowed(docs, monkeypatch):
+    """Copies, keys and tokens meet their counts in joins over written tables; only few rows a task reach a window."""
+    plans = []
+    original = setjoin.written
+    monkeypatch.setattr(setjoin, "written", lambda df, name: plans.append(
+        (name, df._jdf.queryExecution().executedPlan().toString())) or original(df, name))
+    rows = corpus(6)
+    assert table(setjoin.grouped(docs(rows)), "doc_id", "n_shingles", "component_id") == brute(rows)
+    for name, plan in plans:
+        assert "Window" not in plan or name == "sets", name
