@@ -5,18 +5,24 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strata.functions.catalog import NORMAL_BELOW
 from strata.operators.quality import search
-from strata.sources.files import list_files
+from strata.session import written
+from strata.sources.files import data_files, list_files
 
 # Compaction strategies, snapshots kept by default.
 STRATEGIES = ("minor", "full")
 RETAIN_LAST = 10
 
+SHARE_FILES = 10_000  # small files of a folder that one task packs, about
+SHARE_PACKS = 64      # and their bytes, in target sizes
+
 
 def _sized_session(spark: SparkSession, target_mb: int) -> SparkSession:
     """A session of its own, so that the settings do not leak into the caller's queries.
@@ -77,6 +83,86 @@ def _in_same_partition(rows: DataFrame, chosen: DataFrame, partition_by: Sequenc
     return rows.join(other, same, "left_semi")
 
 
+def file_groups(files: DataFrame, target: int) -> DataFrame:
+    """folder, file_path, file_size, pack: small files of one folder that fit into ``target`` bytes together.
+
+    ``files`` has file_path and file_size. Files of the target size or more, and files that are alone in their pack, are
+    left out. Packs are filled first-fit, the longest file first. A folder with very many files is dealt by the hash
+    of the path into shares of about ``SHARE_FILES`` files or ``SHARE_PACKS`` targets, each packed on its own.
+    """
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["file_size", "file_path"], ascending=[False, True])
+        room, places = np.zeros(len(rows), dtype=np.int64), []
+        room[:] = target
+        for size in rows["file_size"]:
+            place = int(np.argmax(room >= size))
+            room[place] -= size
+            places.append(place)
+        rows["pack"] = places
+        return rows[rows.groupby("pack")["pack"].transform("size") > 1]
+
+    small = files.where(F.col("file_size") < target).withColumn("folder", F.regexp_replace("file_path", "/[^/]*$", ""))
+    shares = small.groupBy("folder").agg(F.greatest(
+        F.ceil(F.count("*") / SHARE_FILES), F.ceil(F.sum("file_size") / (target * SHARE_PACKS))).alias("shares"))
+    dealt = small.join(shares, "folder").select(
+        "folder", "file_path", "file_size", F.pmod(F.xxhash64("file_path"), "shares").alias("share"))
+    return (dealt.groupBy("folder", "share")
+            .applyInPandas(packed, "folder string, file_path string, file_size long, share long, pack long")
+            .select("folder", "file_path", "file_size", F.xxhash64("folder", "share", "pack").alias("pack")))
+
+
+def compact_files(spark: SparkSession, path: str, output: str, target_mb: int = 128,
+                  partition_by: Sequence[str] = ()) -> dict[str, int]:
+    """Rewrite the small files of a Parquet table in groups; of files of the target size and more only footers are read.
+
+    The input is only read. New files go to ``output``/rows, laid out as the table is; when their schema, row count and
+    content have been compared, the list of the files they replace goes to ``output``/replaced. That list is
+    what makes the new files count: ``read_compacted`` sees the old files before it is there and the new ones after.
+    Later ``delete_files`` may remove the replaced files. Returns rows, files and bytes that were rewritten; without
+    any, nothing is written.
+    """
+    target = target_mb * 1024 * 1024
+    sized = _sized_session(spark, target_mb)
+    groups = written(file_groups(data_files(spark, path), target), "file-groups")
+    size = groups.agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes")).first()
+    if not size["files"]:
+        return {"rows": 0, "files_before": 0, "bytes_before": 0, "files_after": 0}
+    whole = sized.read.option("mergeSchema", True).parquet(path)
+    names = [f"`{name}`" for name in whole.columns]
+    rows = whole.where(F.col("_metadata.file_size") < target).withColumn("_file", F.col("_metadata.file_path")).join(
+        groups.select(F.col("file_path").alias("_file"), F.col("pack").alias("_pack")), "_file")
+    layout = [*partition_by, "_pack"]
+    rows.hint("rebalance", *layout).select(*names).write.mode("errorifexists").partitionBy(*partition_by).parquet(f"{output}/rows")
+    before, after = _content(rows.select(*names)), _content(_new_files(whole, output).select(*names))
+    if before != after:
+        raise RuntimeError(f"compaction of {path} wrote other rows than it read: {before[0]} and {after[0]}")
+    groups.select("file_path", "file_size").write.mode("errorifexists").parquet(f"{output}/replaced")
+    return {"rows": after[0], "files_before": size["files"], "bytes_before": size["bytes"],
+            "files_after": data_files(spark, f"{output}/rows").count()}
+
+
+def _new_files(whole: DataFrame, output: str) -> DataFrame:
+    return whole.sparkSession.read.schema(whole.schema).parquet(f"{output}/rows")
+
+
+def read_compacted(spark: SparkSession, path: str, output: str) -> DataFrame:
+    """The rows of a table whose small files ``compact_files`` has rewritten into ``output``.
+
+    Partition values stay the text of their folder. Without the list of replaced files ``output`` does not count.
+    """
+    # The schema comes from a session that keeps partition values as text, the plan is the caller's.
+    schema = _sized_session(spark, 128).read.option("mergeSchema", True).parquet(path).schema
+    whole = spark.read.schema(schema).parquet(path)
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{output}/replaced/_SUCCESS")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        return whole
+    replaced = spark.read.schema("file_path string, file_size bigint").parquet(f"{output}/replaced")
+    kept = whole.withColumn("_file", F.col("_metadata.file_path")).join(
+        replaced.select(F.col("file_path").alias("_file")), "_file", "left_anti").drop("_file")
+    return kept.unionByName(_new_files(whole, output))
+
+
 def switch_table(spark: SparkSession, table: str, location: str) -> None:
     """Point a catalog table at the compacted folder; the old folder stays for a later cleanup."""
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{location}'")

@@ -38,6 +38,17 @@ def compact_minor(d: Data):
     return d.spark.table(name)
 
 
+@register("SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate, l_returnflag FROM lineitem")
+def compact_file_groups(d: Data):
+    """Small files beside large ones are rewritten in groups, and the table is read without those they replace."""
+    path, output = fresh_path(d.spark, "mixed-files"), fresh_path(d.spark, "compacted")
+    rows = d.table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "l_returnflag")
+    rows.where("l_linenumber < 4").hint("rebalance", "l_returnflag").write.partitionBy("l_returnflag").parquet(path)
+    rows.where("l_linenumber >= 4").repartition(16).write.mode("append").partitionBy("l_returnflag").parquet(path)
+    op.compact_files(d.spark, path, output, partition_by=["l_returnflag"])
+    return op.read_compacted(d.spark, path, output)
+
+
 @register("""
     SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 2 THEN l_quantity END AS l_quantity,
            lpad(CAST(l_linenumber AS VARCHAR), 1 + CAST(l_linenumber % 3 AS INTEGER), '0') AS code

@@ -16,8 +16,8 @@ SNAPSHOT_SCHEMA = (
 )
 
 
-def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Path, length and modification time of all files below a folder that are not empty; contents are never opened.
+def _unopened(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """All files below a folder that are not empty; contents are never opened as long as they are not selected.
 
     Spark packs files into tasks by their lengths, as if they were read. In a session of its own it does not, so there are
     about as many tasks as cores however many and however large the files are.
@@ -25,10 +25,18 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     unread = spark.newSession()
     unread.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 60))
     unread.conf.set("spark.sql.files.openCostInBytes", "0")
-    return (
-        unread.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern).load(root).select("path", "length", "modificationTime")
-    )
+    return (unread.read.format("binaryFile").option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", pattern).load(root))
+
+
+def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """Path, length and modification time of all files below a folder that are not empty; contents are never opened."""
+    return _unopened(spark, root, pattern).select("path", "length", "modificationTime")
+
+
+def data_files(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
+    """file_path and file_size of the files below a folder, written as a table's own ``_metadata`` has them."""
+    return _unopened(spark, root, pattern).select("_metadata.file_path", "_metadata.file_size")
 
 
 def _file_name(path: str = "path") -> Column:

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from conftest import rows_of
@@ -36,6 +37,84 @@ def test_minor_compaction_rewrites_partitions_with_small_files(spark, tmp_path):
     assert kept <= files and all(f in kept or "/out/" in f for f in files)
 
 
+def first_fit(sizes, target):
+    rooms, packs = [], []
+    for size in sorted(sizes, reverse=True):
+        for i, room in enumerate(rooms):
+            if room >= size:
+                rooms[i] -= size
+                packs[i].append(size)
+                break
+        else:
+            rooms.append(target - size)
+            packs.append([size])
+    return sorted(sorted(pack) for pack in packs if len(pack) > 1)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_file_groups_are_first_fit_by_length(make, seed):
+    rng = random.Random(seed)
+    files = [(f"file:///t/p={p}/f{i}", rng.choice([0, 1, 30, 49, 50, 51, 99, 100, 101, rng.randrange(1, 130)]))
+             for p in range(3) for i in range(rng.randrange(1, 40))]
+    got = {}
+    for row in op.file_groups(make(files, "file_path string, file_size long"), 100).collect():
+        got.setdefault(row.folder, {}).setdefault(row.pack, []).append(row.file_size)
+    for p in range(3):
+        folder = f"file:///t/p={p}"
+        sizes = [size for path, size in files if path.startswith(f"{folder}/") and size < 100]
+        assert sorted(sorted(pack) for pack in got.get(folder, {}).values()) == first_fit(sizes, 100)
+
+
+def test_a_folder_of_very_many_files_is_dealt_to_several_tasks(make, monkeypatch):
+    monkeypatch.setattr(op, "SHARE_FILES", 20)
+    files = make([(f"file:///t/f{i}", 7) for i in range(400)], "file_path string, file_size long")
+    packs = op.file_groups(files, 50).groupBy("pack").agg({"file_size": "sum", "file_path": "count"}).collect()
+    assert 400 - 20 <= sum(row["count(file_path)"] for row in packs) <= 400
+    assert all(row["sum(file_size)"] <= 50 for row in packs) and len(packs) <= 400 // 7 + 2 * 20
+
+
+def test_only_small_files_are_rewritten(spark, tmp_path):
+    path, output = str(tmp_path / "t"), str(tmp_path / "out")
+    large = spark.range(400_000).selectExpr("id", "uuid() AS u", "concat('0', id % 2) AS part")
+    large.coalesce(1).write.partitionBy("part").parquet(path)
+    kept = set(parquet_files(path))
+    more = spark.range(400_000, 400_060).selectExpr("id", "uuid() AS u", "'00' AS part")
+    more.repartition(4).write.mode("append").partitionBy("part").parquet(path)
+    spark.range(500_000, 500_010).selectExpr("id", "uuid() AS u", "id AS extra", "'a b' AS part").coalesce(1).write.mode(
+        "append").partitionBy("part").parquet(path)
+    small = set(parquet_files(path)) - kept
+    read = spark.read.schema("id long, u string, extra long, part string").parquet(path)
+    expected = rows_of(read, "id", "u", "extra", "part")
+    assert rows_of(op.read_compacted(spark, path, output), "id", "u", "extra", "part") == expected
+    summary = op.compact_files(spark, path, output, target_mb=1, partition_by=["part"])
+    alone = [f for f in small if "part=00" not in f]  # one small file of its folder: nothing to join it with
+    bytes_ = sum(os.path.getsize(f) for f in small if f not in alone)
+    assert summary == {"rows": 60, "files_before": 4, "bytes_before": bytes_, "files_after": 1} and len(alone) == 1
+    assert rows_of(op.read_compacted(spark, path, output), "id", "u", "extra", "part") == expected
+    replaced = spark.read.parquet(f"{output}/replaced")
+    assert op.delete_files(replaced, "file_path", confirm=True) == 4 and kept <= set(parquet_files(path))
+    assert rows_of(op.read_compacted(spark, path, output), "id", "u", "extra", "part") == expected
+
+
+def test_rows_of_large_files_are_not_read(spark, tmp_path):
+    path, output = str(tmp_path / "t"), str(tmp_path / "out")
+    spark.range(200_000).selectExpr("id", "uuid() AS u").coalesce(1).write.parquet(path)
+    with open(parquet_files(path)[0], "r+b") as large:  # the footer stays readable
+        large.seek(4)
+        large.write(b"\xff" * 100_000)
+    spark.range(20).selectExpr("id", "uuid() AS u").repartition(3).write.mode("append").parquet(path)
+    with pytest.raises(Exception):
+        spark.read.parquet(path).agg({"id": "max", "u": "max"}).collect()
+    assert op.compact_files(spark, path, output, target_mb=1)["rows"] == 20
+
+
+def test_nothing_small_to_rewrite(spark, tmp_path):
+    path, output = str(tmp_path / "t"), str(tmp_path / "out")
+    spark.range(10).coalesce(1).write.parquet(path)
+    assert op.compact_files(spark, path, output) == {"rows": 0, "files_before": 0, "bytes_before": 0, "files_after": 0}
+    assert rows_of(op.read_compacted(spark, path, output)) == rows_of(spark.range(10))
+
+
 def test_compaction_keeps_new_columns_and_partition_values(spark, make, tmp_path):
     path, output = str(tmp_path / "t"), str(tmp_path / "out")
     make([(1, "007"), (2, "7")], "id int, code string").write.partitionBy("code").parquet(path)
