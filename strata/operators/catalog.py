@@ -23,6 +23,9 @@ TABLE_OPTIONS = {
 # Fixed value: type of a schema field that names none.
 DEFAULT_TYPE = "STRING"
 
+# What a metastore's flags say for yes.
+YES_WORDS = ("true", "1", "yes")
+
 # Field names of a schema document.
 FIELD_SCHEMA = "array<struct<name:string,type:string,comment:string,nullable:boolean,default:string>>"
 
@@ -121,6 +124,26 @@ def parse_schema_json(df: DataFrame, json_col: str, pk_col: str | None = None) -
         F.col("_f.default").alias("default_value"), "sort_order")
 
 
+def _flag(text: str, default: bool) -> Column:
+    """A yes/no text of a metastore; null means ``default``, any other word no."""
+    return F.when(F.col(text).isNull(), F.lit(default)).otherwise(F.lower(F.col(text).cast("string")).isin(*YES_WORDS))
+
+
+def metastore_columns(metastore: DataFrame, documents: DataFrame, key: Sequence[str] = TABLE_KEY) -> DataFrame:
+    """Columns of each table from the metastore's rows; tables without any take those of their schema document.
+
+    ``documents`` are rows of ``parse_schema_json`` with the same ``key``. A missing flag means nullable and no
+    primary key, a missing place means 0.
+    """
+    listed = metastore.select(
+        *key, F.col("column_name").alias("name"), F.col("column_type").alias("type"), "comment",
+        _flag("is_nullable", True).alias("nullable"), _flag("is_primary_key", False).alias("is_pk"),
+        F.col("default_value").cast("string").alias("default_value"),
+        F.coalesce(F.col("sort_order").cast("int"), F.lit(0)).alias("sort_order"))
+    unlisted = documents.join(metastore.select(*key).distinct(), list(key), "left_anti")
+    return listed.unionByName(unlisted.select(*listed.columns))
+
+
 def parse_schema_tables(df: DataFrame, json_col: str) -> DataFrame:
     """Schema documents to one row per table: partition_keys, primary_keys, comment, n_fields and options.
 

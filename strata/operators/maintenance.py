@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from itertools import batched
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from strata.functions.catalog import NORMAL_BELOW
 from strata.operators.quality import search
@@ -216,17 +219,22 @@ def orphan_files(listing: DataFrame, referenced: DataFrame, path: str = "path",
     return listing.join(referenced.select(path), path, "left_anti")
 
 
-def delete_files(orphans: DataFrame, path: str = "path", confirm: bool = False) -> int:
-    """Delete reported files, only on request; returns how many went."""
+def delete_files(orphans: DataFrame, path: str = "path", confirm: bool = False, at_once: int = 16) -> int:
+    """Delete reported files, only on request; returns how many went.
+
+    The driver streams the paths and keeps ``at_once`` requests to the file system open; no file is read.
+    """
     if not confirm:
         raise ValueError("deleting files needs confirm=True")
     spark = orphans.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    gone = 0
-    for row in orphans.select(path).toLocalIterator():
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+
+    def delete(row: Row) -> bool:
         target = hadoop.Path(row[0])
-        gone += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, False))
-    return gone
+        return bool(target.getFileSystem(conf).delete(target, False))
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return sum(sum(pool.map(delete, rows)) for rows in batched(orphans.select(path).toLocalIterator(), 1000))
 
 
 def compaction_candidates(tables: DataFrame, layer: str | None = None, threshold: int = NORMAL_BELOW) -> DataFrame:
@@ -234,25 +242,39 @@ def compaction_candidates(tables: DataFrame, layer: str | None = None, threshold
     return search(tables, layer=layer).where(F.col("file_count") >= max(1, threshold))
 
 
-def run_batch(tables: DataFrame, operation: Callable[[Row], None], name: str) -> DataFrame:
+def run_batch(tables: DataFrame, operation: Callable[[Row], None], name: str, at_once: int = 4) -> DataFrame:
     """One maintenance operation on each table of a catalog selection; a failure does not stop the rest.
 
-    The loop runs over catalog rows on the driver, one at a time; the work of each operation is a Spark
-    job of its own. Returns one result row per table for ``maintenance_report``.
+    The work of each operation is a Spark job of its own, and ``at_once`` of them share the executors. The driver holds
+    one row per table. Returns one result row per table, in their order, for ``maintenance_report``.
     """
-    results = []
-    for table in tables.toLocalIterator():
+    spark = tables.sparkSession
+
+    @inheritable_thread_target(spark)
+    def run(table: Row) -> tuple:
         begun, status, message = time.monotonic(), "success", None
         try:
             operation(table)
         except Exception as problem:
             status, message = "failed", str(problem) or "operation failed"
-        results.append((table["id"], f"{table['db']}.{table['table_name']}", name, status, message,
-                        int((time.monotonic() - begun) * 1000)))
-    return tables.sparkSession.createDataFrame(
+        return (table["id"], f"{table['db']}.{table['table_name']}", name, status, message,
+                int((time.monotonic() - begun) * 1000))
+
+    with ThreadPoolExecutor(at_once) as pool:
+        results = list(pool.map(run, tables.toLocalIterator()))
+    return spark.createDataFrame(
         results, "table_id bigint, table string, operation string, status string, message string, duration_ms bigint")
 
 
+def maintenance_overview(tables: DataFrame, snapshots: DataFrame, layer: str = "ods") -> DataFrame:
+    """One row: tables of a layer, tables with too many files, tables with more snapshots than are kept by default."""
+    counts = snapshots.groupBy(F.col("table_id").alias("_table")).agg(F.count(F.lit(1)).alias("_snapshots"))
+    return tables.select("id", "layer", "file_count").join(counts, F.col("id") == F.col("_table"), "left").agg(
+        F.count_if(F.col("layer") == layer).alias("n_layer"),
+        F.count_if(F.col("file_count") > NORMAL_BELOW).alias("to_compact"),
+        F.count_if(F.col("_snapshots") > RETAIN_LAST).alias("many_snapshots"))
+
+
 def maintenance_report(results: DataFrame, operation: str = "operation", failed=None) -> DataFrame:
     """Per operation: how many were triggered and how many failed."""
     failed = F.col("status") == "failed" if failed is None else failed

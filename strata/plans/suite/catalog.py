@@ -51,6 +51,31 @@ def merge_columns_unread(d: Data):
     return op.merge_columns(d.fixture("cols"), d.fixture("cols_next").where("table_id % 7 <> 0"), kept=["source_column"])
 
 
+@register("""
+    SELECT table_id, name, type, comment, sort_order IN (1, 2, 3) AS nullable, sort_order IN (0, 2) AS is_pk,
+           CASE WHEN sort_order = 4 THEN type END AS default_value, sort_order
+    FROM cols WHERE table_id % 3 <> 0
+    UNION ALL
+    SELECT p_partkey, concat('k', p_size), 'INT', p_brand, false, true, NULL, 0 FROM part WHERE p_partkey % 3 = 0
+    UNION ALL
+    SELECT p_partkey, 'v', 'STRING', NULL, true, false, NULL, 1 FROM part WHERE p_partkey % 3 = 0""", ("cols",))
+def metastore_columns(d: Data):
+    """Two tables of three have rows in the metastore, all have a document."""
+    place = F.col("sort_order")
+    metastore = d.fixture("cols").where("table_id % 3 <> 0").select(
+        "table_id", F.col("name").alias("column_name"), F.col("type").alias("column_type"), "comment",
+        F.when(place == 0, "0").when(place == 1, "YES").when(place == 3, "True").when(place == 4, "no").alias("is_nullable"),
+        F.when(place == 0, "1").when(place == 2, "yes").when(place == 3, "false").alias("is_primary_key"),
+        F.when(place == 4, F.col("type")).alias("default_value"), "sort_order")
+    documents = d.table("part").select(
+        F.col("p_partkey").alias("table_id"), F.concat(F.lit("k"), "p_size").alias("pk"),
+        F.to_json(F.array(
+            F.struct(F.concat(F.lit("k"), "p_size").alias("name"), F.lit("INT NOT NULL").alias("type"), F.col("p_brand").alias("comment")),
+            F.struct(F.lit("v").alias("name"), F.lit("STRING").alias("type"), F.lit(None).cast("string").alias("comment")),
+        )).alias("doc"))
+    return op.metastore_columns(metastore, op.parse_schema_json(documents, "doc", "pk"), ["table_id"])
+
+
 @register("""
     SELECT c.* FROM cols c JOIN tbl t ON t.id = c.table_id
     WHERE NOT EXISTS (SELECT 1 FROM tbl_next i WHERE i.db = t.db AND i.table_name = t.table_name)""", ("cols", "tbl", "tbl_next"))

@@ -99,6 +99,14 @@ def file_health(d: Data):
     return d.fixture("tbl").select("id", health_of("file_count").alias("health"))
 
 
+@register("""
+    SELECT count(*) FILTER (layer = 'ods') AS n_layer, count(*) FILTER (file_count > 200) AS to_compact,
+           count(*) FILTER (id IN (SELECT table_id FROM snap GROUP BY table_id HAVING count(*) > 10)) AS many_snapshots
+    FROM tbl""", ("tbl", "snap"))
+def maintenance_overview(d: Data):
+    return op.maintenance_overview(d.fixture("tbl"), d.fixture("snap"))
+
+
 @register("""
     SELECT operation, count(*) FILTER (status <> 'failed') AS triggered, count(*) FILTER (status = 'failed') AS failed
     FROM hist GROUP BY operation""", ("hist",))

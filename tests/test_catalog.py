@@ -141,3 +141,20 @@ def test_snapshot_files(spark, tmp_path):
     found = files.list_snapshots(spark, str(tmp_path)).collect()
     assert [row.snapshot_id for row in found] == [10, 2, 1]
     assert found[0].manifest_size == 42 and str(found[0].commit_time) == "2024-01-01 00:00:00"
+
+
+def test_metastore_flags_and_tables_known_by_their_document_only(spark, make):
+    metastore = make(
+        [("ods", "a", "x", "INT", None, "TRUE", "1", None, 2), ("ods", "a", "y", "INT", "", None, None, "0", None),
+         ("ods", "a", "z", "INT", "c", "n", " yes", None, 1)],
+        "db string, table_name string, column_name string, column_type string, comment string, is_nullable string, "
+        "is_primary_key string, default_value string, sort_order int")
+    listed = make([("ods", "a", '[{"name":"old","type":"INT"}]'), ("ods", "b", '[{"name":"k","type":"INT NOT NULL"}]'),
+                   ("ods", "c", "unreadable"), (None, "d", '[{"name":"n"}]')], "db string, table_name string, doc string")
+    documents = op.parse_schema_json(listed, "doc")
+    got = op.metastore_columns(metastore, documents)
+    assert rows_of(got, "table_name", "name", "nullable", "is_pk", "default_value", "sort_order") == [
+        ("a", "x", True, True, None, 2), ("a", "y", True, False, "0", 0), ("a", "z", False, False, None, 1),
+        ("b", "k", False, False, None, 0), ("d", "n", True, False, None, 0)]
+    assert op.metastore_columns(metastore.limit(0), documents).count() == 3
+    assert op.metastore_columns(metastore, documents.limit(0)).count() == 3

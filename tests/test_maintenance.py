@@ -1,5 +1,6 @@
 import os
 import random
+import threading
 
 import pytest
 from conftest import rows_of
@@ -208,3 +209,18 @@ def test_batch_goes_on_after_a_failure(spark, make, tmp_path):
     assert rows_of(op.maintenance_report(results)) == [("compact", 2, 1)]
     assert [row.table_id for row in op.maintenance_failures(results).collect()] == [2]
     assert len(parquet_files(str(tmp_path / "a-new"))) == 1
+
+
+def test_batch_runs_operations_side_by_side_in_order(make):
+    tables = make([(number, "ods", f"t{number}") for number in range(8)], "id bigint, db string, table_name string")
+    meeting = threading.Barrier(4, timeout=60)
+    results = op.run_batch(tables.orderBy("id"), lambda table: meeting.wait(), "expire", at_once=4)
+    assert [(row.table_id, row.status) for row in results.collect()] == [(number, "success") for number in range(8)]
+
+
+def test_overview_counts_unknown_files_and_missing_snapshots_as_none(make):
+    tables = make([(1, "ods", 200), (2, "ods", 201), (3, "dwd", None), (4, None, 900)], "id bigint, layer string, file_count bigint")
+    snapshots = make([(1, i) for i in range(10)] + [(3, i) for i in range(11)] + [(9, i) for i in range(20)],
+                     "table_id bigint, snapshot_id bigint")
+    assert rows_of(op.maintenance_overview(tables, snapshots)) == [(2, 2, 1)]
+    assert rows_of(op.maintenance_overview(tables.limit(0), snapshots)) == [(0, 0, 0)]
