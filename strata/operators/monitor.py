@@ -16,6 +16,14 @@ from strata.session import written
 SUBMIT_MINUTES = 5
 SUBMIT_TIMEOUT = "still without a job after {minutes} minutes, given up"
 
+# Statuses of tasks that a job stands behind, job states that end one, and the error texts of their tasks.
+ACTIVE = ("running", "submitting", "saving_point")
+FAILED_STATES = ("FAILED", "Failing")
+ENDED_STATES = ("CANCELED", "FINISHED")
+JOB_FAILED = "the job failed, its log says why"
+JOB_CANCELLED = "the job was cancelled by someone else"
+SAVEPOINT_FAILED = "no savepoint could be taken, the job goes on"
+
 # Field names of a checkpoint document.
 CHECKPOINT_SCHEMA = (
     "struct<counts:struct<completed:bigint>,"
@@ -95,6 +103,28 @@ def failed_submissions(polls: DataFrame, minutes: int = SUBMIT_MINUTES, task: st
                         F.lit("failed").alias("status"), F.lit(SUBMIT_TIMEOUT.format(minutes=minutes)).alias("error"))
 
 
+def follow_jobs(tasks: DataFrame, polls: DataFrame, task: str = "task_id", seq: str = "seq") -> DataFrame:
+    """Tasks (with status, job_id, error) after the newest poll of their job that was answered.
+
+    Only active tasks with a job change: a failed job fails its task, a finished or cancelled one finishes it. A cancelled job
+    is an error unless its task was saving. A failure while saving whose poll has ``savepoint_status`` FAILED
+    is the savepoint's alone, and the task runs on. All other states, and no answer, change nothing.
+    """
+    savepoint = F.col("savepoint_status") if "savepoint_status" in polls.columns else F.lit(None).cast("string")
+    newest = polls.where(F.col("job_state").isNotNull()).groupBy(F.col(task).alias("_task")).agg(
+        F.max(F.struct(F.col(seq).alias("seq"), F.col("job_state").alias("state"), savepoint.alias("savepoint"))).alias("_poll"))
+    state, saving = F.col("_poll.state"), F.col("status") == "saving_point"
+    failed, ended = state.isin(*FAILED_STATES), state.isin(*ENDED_STATES)
+    runs_on = failed & saving & (F.col("_poll.savepoint") == "FAILED")
+    status = F.when(runs_on, "running").when(failed, "failed").when(ended, "finished").otherwise(F.col("status"))
+    error = F.when(runs_on, SAVEPOINT_FAILED).when(failed, JOB_FAILED).when(
+        (state == "CANCELED") & ~saving, JOB_CANCELLED).otherwise(F.col("error"))
+    active = F.col("status").isin(*ACTIVE) & F.col("job_id").isNotNull()
+    changed = {"status": status, "error": error}
+    return tasks.join(newest, F.col(task) == F.col("_task"), "left").select(*[
+        F.when(active, changed[name]).otherwise(F.col(name)).alias(name) if name in changed else F.col(name) for name in tasks.columns])
+
+
 def checkpoint_metrics(df: DataFrame, json_col: str) -> DataFrame:
     """Completed checkpoints, time of the last one and its state size; 0 where the text has none."""
     parsed = df.withColumn("_c", F.from_json(json_col, CHECKPOINT_SCHEMA))

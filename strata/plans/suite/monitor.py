@@ -63,6 +63,37 @@ def task_status_metrics(d: Data):
                           .withColumn("checkpoint_count", F.col("seq") % 50))
 
 
+FOLLOWED = """
+    SELECT user_id AS task_id, CASE user_id % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'submitting' WHEN 2 THEN 'saving_point' ELSE 'paused' END AS status,
+           CASE WHEN user_id % 5 <> 0 THEN concat('job', CAST(user_id AS VARCHAR(20))) END AS job_id,
+           CASE WHEN user_id % 7 = 0 THEN 'an older error' END AS error
+    FROM events GROUP BY user_id"""
+POLLED = """
+    SELECT user_id AS task_id, event_id AS seq,
+           CASE WHEN event_id % 11 <> 0 THEN CASE event_type WHEN 'click' THEN 'RUNNING' WHEN 'view' THEN 'CANCELED' WHEN 'error' THEN 'FAILED'
+                                                  WHEN 'purchase' THEN 'FINISHED' ELSE 'CREATED' END END AS job_state,
+           CASE WHEN event_id % 2 = 0 THEN 'FAILED' END AS savepoint_status
+    FROM events"""
+
+
+@register(f"""
+    WITH tasks AS ({FOLLOWED}), polls AS ({POLLED}),
+         newest AS (SELECT * FROM polls WHERE job_state IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY seq DESC) = 1),
+         met AS (SELECT t.*, CASE WHEN t.job_id IS NOT NULL AND t.status <> 'paused' THEN n.job_state END AS state, n.savepoint_status
+                 FROM tasks t LEFT JOIN newest n USING (task_id))
+    SELECT task_id, job_id,
+           CASE WHEN state = 'FAILED' AND status = 'saving_point' AND savepoint_status = 'FAILED' THEN 'running'
+                WHEN state = 'FAILED' THEN 'failed' WHEN state IN ('CANCELED', 'FINISHED') THEN 'finished' ELSE status END AS status,
+           CASE WHEN state = 'FAILED' AND status = 'saving_point' AND savepoint_status = 'FAILED' THEN '{op.SAVEPOINT_FAILED}'
+                WHEN state = 'FAILED' THEN '{op.JOB_FAILED}'
+                WHEN state = 'CANCELED' AND status <> 'saving_point' THEN '{op.JOB_CANCELLED}' ELSE error END AS error
+    FROM met""")
+def follow_jobs(d: Data):
+    events = d.table("events")
+    bound = lambda text: d.spark.sql(text.replace("FROM events", "FROM {events}"), events=events)
+    return op.follow_jobs(bound(FOLLOWED), bound(POLLED))
+
+
 INVALID = f"""
     WITH moves AS (SELECT task_id, seq, at_time, {STATUS_OF} AS to_status,
                           lag({STATUS_OF}) OVER (PARTITION BY task_id ORDER BY seq) AS from_status FROM tasklog)

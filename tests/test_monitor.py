@@ -133,3 +133,19 @@ def test_alerts_as_rows_of_the_alert_table(make):
     assert rows_of(log, "rule_id", "subject", "level", "message", "resolved") == [
         (1, "1", "error", "task_failure of 1 is 1.0, limit 0.0", False), (2, "2", "warn", "data_delay of 2 is 9000.0, limit 5000.0", False)]
     assert [row.level for row in op.alert_feed(log, level="warn").collect()] == ["warn"]
+
+
+def test_tasks_follow_the_newest_answer_of_their_job(make):
+    tasks = make([(1, "running", "a", None), (2, "running", "b", "old"), (3, "saving_point", "c", "old"), (4, "saving_point", "d", None),
+                  (5, "saving_point", "e", None), (6, "paused", "f", None), (7, "submitting", None, None), (8, "running", "h", "old"),
+                  (9, "running", "i", None), (10, "submitting", "j", None)], "task_id int, status string, job_id string, error string")
+    polls = make([(1, 1, "FAILED", None), (1, 2, "CANCELED", None), (2, 1, "FINISHED", None), (3, 1, "CANCELED", None), (4, 1, "FAILED", "FAILED"),
+                  (5, 1, "Failing", None), (6, 1, "FAILED", None), (7, 1, "FAILED", None), (8, 1, "SUSPENDED", None), (8, 2, None, None),
+                  (10, 1, "FAILED", "FAILED")],
+                 "task_id int, seq int, job_state string, savepoint_status string")
+    assert rows_of(op.follow_jobs(tasks, polls), "task_id", "status", "error") == sorted([
+        (1, "finished", op.JOB_CANCELLED), (2, "finished", "old"), (3, "finished", "old"), (4, "running", op.SAVEPOINT_FAILED),
+        (5, "failed", op.JOB_FAILED), (6, "paused", None), (7, "submitting", None), (8, "running", "old"), (9, "running", None),
+        (10, "failed", op.JOB_FAILED)], key=repr)
+    assert rows_of(op.follow_jobs(tasks, polls.limit(0))) == rows_of(tasks)
+    assert ("4", "failed") in [(str(row.task_id), row.status) for row in op.follow_jobs(tasks, polls.drop("savepoint_status")).collect()]
