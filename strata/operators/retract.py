@@ -30,9 +30,19 @@ def signed(kinds: DataFrame, group: Sequence[str], value: str, kind: str = "row_
 
 
 def _replace(rows: DataFrame, path: str, by: str) -> None:
+    if not exists(rows.sparkSession, path):  # a file without rows keeps the types: folder names do not, and no partition may follow
+        rows.select(*[name for name in rows.columns if name != by], by).limit(0).write.mode("overwrite").parquet(f"{path}-types")
     rows.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """What ``_replace`` has written, with its types, also where that is no row at all."""
+    reader = spark.read
+    if exists(spark, f"{path}-types"):
+        reader = reader.schema(spark.read.parquet(f"{path}-types").schema)
+    return reader.parquet(path)
+
+
 def refresh(path: str, deltas: DataFrame, group: Sequence[str], scale: int) -> None:
     """Fold ``deltas`` (see ``signed``) into the aggregate kept in the folder ``path``, created if missing.
 
@@ -44,7 +54,7 @@ def refresh(path: str, deltas: DataFrame, group: Sequence[str], scale: int) -> N
     held = deltas
     if exists(spark, f"{path}/support"):
         touched = deltas.select(group[0]).distinct()
-        old = spark.read.parquet(f"{path}/support").select(*deltas.columns)
+        old = _read(spark, f"{path}/support").select(*deltas.columns)
         held = old.join(touched.withColumnRenamed(group[0], "_touched"), F.col(group[0]).eqNullSafe(F.col("_touched")), "left_semi").unionByName(deltas)
     gone = deltas.select(*group).distinct().select(*group, F.lit(None).cast(deltas.schema["value"].dataType).alias("value"),
                                                    F.lit(0).cast("long").alias("n"))
@@ -62,4 +72,4 @@ def refresh(path: str, deltas: DataFrame, group: Sequence[str], scale: int) -> N
 
 def read_refreshed(spark: SparkSession, path: str) -> DataFrame:
     """group..., rows, total, low, high of every group that has rows."""
-    return spark.read.parquet(f"{path}/totals").where("rows > 0")
+    return _read(spark, f"{path}/totals").where("rows > 0")

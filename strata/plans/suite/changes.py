@@ -103,8 +103,8 @@ def restore(d: Data):
 def refresh(d: Data):
     """Rows, sum and range of a day, kept from one table version to the next and never computed from the whole."""
     rows, middle, path = d.fixture("chg"), _middle(d), fresh_path(d.spark, "refresh")
-    versions = [op.fold_changes(rows.where(F.col("seq") <= end), ["id"]).select("id", F.to_date("event_time").alias("day"), "amount")
-                for end in (0, middle, 10**18)]
+    versions = [op.fold_changes(part, ["id"]).select("id", F.to_date("event_time").alias("day"), "amount")
+                for part in (rows.where(F.lit(False)), rows.where(F.col("seq") <= middle), rows)]
     for before, after in zip(versions, versions[1:]):
         retract.refresh(path, retract.signed(op.row_kinds(before, after, ["id"]), ["day"], "amount"), ["day"], 4)
     kept = retract.read_refreshed(d.spark, path)

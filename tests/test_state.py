@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strata.operators import changes as op
 from strata.operators import retract, state
+from strata.plans import suite
 from strata.streaming import ingest, tables
 
 SCHEMA = "id int, v string, op string, seq bigint"
@@ -185,6 +186,25 @@ def test_rows_that_never_came_cannot_be_taken_back(spark, make, tmp_path):
         retract.refresh(str(tmp_path / "kept"), retract.signed(kinds, ["day"], "amount"), ["day"], 2)
 
 
+def test_an_aggregate_may_begin_without_rows(spark, make, tmp_path):
+    path, group = str(tmp_path / "kept"), "day string, amount double, row_kind string"
+    retract.refresh(path, retract.signed(make([], group), ["day"], "amount"), ["day"], 2)
+    assert retract.read_refreshed(spark, path).collect() == []
+    retract.refresh(path, retract.signed(make([("007", 5.0, "+I"), ("7", 1.5, "+I"), (None, 2.0, "+I")], group), ["day"], "amount"), ["day"], 2)
+    retract.refresh(path, retract.signed(make([("007", 5.0, "-U"), ("007", 4.0, "+U")], group), ["day"], "amount"), ["day"], 2)
+    assert rows_of(retract.read_refreshed(spark, path), "day", "rows", "low") == [("007", 1, 4.0), ("7", 1, 1.5), (None, 1, 2.0)]
+
+
+@pytest.mark.parametrize("first", [-3, 0, 500])  # the lowest change number; at 500 the first half has no changes
+def test_the_kept_days_of_the_query_follow_from_an_empty_table(spark, make, tmp_path, first):
+    kinds = ["view", "signup", "click", "purchase", "error", "view", "view", "click"]
+    rows = [(first + i, f"2024-01-0{1 + i // 3} 10:00:00", i % 3, kind, 1.25 * i, "") for i, kind in enumerate(kinds)]
+    make(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn(
+        "ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    kept = suite.QUERIES["refresh"](spark, str(tmp_path)).select(F.col("day").cast("string"), "rows", "total_units", "low", "high")
+    assert rows_of(kept) == [("2024-01-02", 1, 62500, 6.25, 6.25), ("2024-01-03", 2, 162500, 7.5, 8.75)]
+
+
 def test_a_job_goes_on_from_a_savepoint(spark, make, tmp_path):
     base, pick = str(tmp_path), random.Random(8)
     schema, seen = make([], SCHEMA).schema, []
