@@ -80,8 +80,11 @@ def merge_columns(current: DataFrame, incoming: DataFrame, key: Sequence[str] =
 
     ``kept`` columns (such as the source column) always come from the known row when there is one.
     A table without any incoming column (its document could not be read) keeps its own.
+
+    Both sides grow alike, and the planner may take either for small (file sizes say little about rows that come out of
+    lists or compress well): the joins are sorted, which spill, and never broadcast.
     """
-    c = current.select(*key, F.struct(comment, *kept).alias("c"))
+    c = current.select(*key, F.struct(comment, *kept).alias("c")).hint("merge")
     fallback = F.when(F.trim(F.coalesce(comment, F.lit(""))) != "", F.col(comment)).otherwise(
         F.when(F.col("c").isNotNull(), F.col(f"c.{comment}")).otherwise(F.col(comment)))
     chosen = []
@@ -93,7 +96,7 @@ def merge_columns(current: DataFrame, incoming: DataFrame, key: Sequence[str] =
         else:
             chosen.append(F.col(name))
     table = list(key[:-1])
-    unread = current.join(incoming.select(*table).distinct(), table, "left_anti")
+    unread = current.join(incoming.select(*table).distinct().hint("merge"), table, "left_anti")
     return incoming.join(c, list(key), "left").select(*chosen).unionByName(
         unread.select(*[name for name in incoming.columns if name in current.columns]), allowMissingColumns=True)
 

@@ -71,6 +71,15 @@ def test_a_table_without_readable_columns_keeps_its_own(make):
         (1, "a", "new", "s1"), (2, "b", "y", "s2"), (2, "c", "z", "s3")]
 
 
+def test_columns_without_a_key_and_columns_that_come_twice_meet_as_before(make):
+    schema = "table_id int, name string, comment string, source_column string"
+    current = make([(None, "a", "x", "s1"), (1, None, "y", "s2"), (2, "b", "z", "s3"), (2, "b", "w", "s4")], schema)
+    incoming = make([(None, "a", "", None), (1, None, " ", None), (2, "b", "", "s9"), (2, "b", "n", None)], schema)
+    assert rows_of(op.merge_columns(current, incoming, kept=["source_column"])) == sorted([
+        (None, "a", "", None), (1, None, " ", None), (2, "b", "z", "s3"), (2, "b", "w", "s4"), (2, "b", "n", "s3"),
+        (2, "b", "n", "s4"), (None, "a", "x", "s1")], key=repr)
+
+
 def test_texts_stay_and_snapshots_are_cleared(make):
     schema = "id int, layer string, db string, table_name string, description string, latest_snapshot_id bigint"
     current = make([(1, "ods", "ods", "a", "mine", 7), (2, "ods", "ods", "b", " ", 8), (3, "ods", "ods", "gone", "x", 9)], schema)

@@ -30,6 +30,12 @@ def test_no_product_joins_no_python(no_broadcast, name):
         assert not re.search(r"Window \[.*\], \[\]|Window \[.*windowspecdefinition\(specified", line), line
 
 
+@pytest.mark.parametrize("name", ["merge_columns_unread"])
+def test_columns_meet_sorted_however_small_their_files_are(spark, name):
+    plan = plan_of(suite.QUERIES[name](spark, SMALL))
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+
+
 def test_scans_read_only_what_they_need(spark):
     plan = plan_of(contract.queries()["dws_user_active"](spark, SMALL))
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>" in plan
