@@ -30,7 +30,7 @@ def test_no_product_joins_no_python(no_broadcast, name):
         assert not re.search(r"Window \[.*\], \[\]|Window \[.*windowspecdefinition\(specified", line), line
 
 
-@pytest.mark.parametrize("name", ["merge_columns_unread"])
+@pytest.mark.parametrize("name", ["merge_columns", "merge_columns_unread"])
 def test_columns_meet_sorted_however_small_their_files_are(spark, name):
     plan = plan_of(suite.QUERIES[name](spark, SMALL))
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
